@@ -242,13 +242,14 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_capture(s: SparkSession, d: str) -> DataFrame:
-    rows = sc.stream_capture(_stream(s, d), tv.scenario_log(s, d), tv.recording_windows(s, d))
+    rows = sc.stream_capture(
+        _stream(s, d), tv.scenario_log(s, d), tv.recording_windows(s, d), ttl_seconds=None)
     return _ts_us(_drain(s, rows, "stream-capture"))
 
 
 def stream_counter_deltas(s: SparkSession, d: str) -> DataFrame:
     polls = cap.with_flow_key(_stream(s, d))
-    rows = _drain(s, sc.stream_counter_deltas(polls, "flow_key"), "stream-deltas")
+    rows = _drain(s, sc.stream_counter_deltas(polls, "flow_key", ttl_seconds=None), "stream-deltas")
     return _ts_us(rows).select("ts_us", *[c for c in DELTAS if c != "event_id"])
 
 
@@ -262,7 +263,8 @@ def _scorer(s: SparkSession, d: str):
 def _scored_stream(s: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(s, "scorer")
     sources.save_model(_scorer(s, d), path)
-    rows = sc.stream_capture(_stream(s, d), tv.scenario_log(s, d), tv.recording_windows(s, d))
+    rows = sc.stream_capture(
+        _stream(s, d), tv.scenario_log(s, d), tv.recording_windows(s, d), ttl_seconds=None)
     return ss.score_flows(rows, sources.load_model(path))
 
 

@@ -2,67 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from flowscope.operators.counters import COUNTERS, add_deltas
+from flowscope.operators.counters import COUNTERS, add_deltas, flow_features
 from flowscope.operators.intervals import label_by_scenario, within_recording
-from flowscope.operators.counters import flow_features
 from flowscope.plans.capture import rated, with_flow_key
 from flowscope.schemas import IDENTITY
+from flowscope.streaming.previous_sample import PreviousSample
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TTL_SECONDS = 3600
 
 
-class PreviousSample(StatefulProcessor):
-    """Adds ``prev_<c>`` to each sample of a key; state is the newest sample.
-
-    A sample older than the state is ignored. State that is not renewed within the time to
-    live is dropped.
-    """
-
-    def __init__(self, order: list[str], carried: T.StructType, out: list[str], ttl_ms: int):
-        self._order = order
-        self._carried = carried
-        self._out = out
-        self._ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._newest = handle.getValueState("newest", self._carried, self._ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = self._carried.fieldNames()
-        batch = pd.concat(rows, ignore_index=True).sort_values(self._order, kind="stable")
-        before = self._newest.get() if self._newest.exists() else None
-        if before is not None:
-            last = dict(zip(names, before))
-            ts = self._order[0]
-            batch = batch[batch[ts] >= pd.Timestamp(last[ts])]
-        if len(batch):
-            self._newest.update(tuple(_plain(batch[c].iloc[-1]) for c in names))
-            shifted = batch[names].shift(1)
-            if before is not None:
-                for c in names:
-                    shifted.loc[shifted.index[0], c] = last[c]
-            batch = batch.assign(**{f"prev_{c}": shifted[c] for c in names})
-            yield batch[self._out]
-
-    def close(self) -> None:
-        pass
-
-
-def _plain(value):
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    return value.item() if hasattr(value, "item") else value
-
-
 def stream_counter_deltas(
     df: DataFrame,
     key: str | list[str],
@@ -70,13 +23,14 @@ def stream_counter_deltas(
     counters: list[str] = COUNTERS,
     tiebreak: str | None = None,
     session: str | None = None,
-    ttl_seconds: int = TTL_SECONDS,
+    ttl_seconds: int | None = TTL_SECONDS,
 ) -> DataFrame:
     """Streaming form of ``counter_deltas``.
 
     The session is part of the key, so a new recording starts from no state. What one key
     brings in one micro-batch is sorted together; the source's files or bytes per trigger
-    bound it. Needs the RocksDB state store.
+    bound it. Needs the RocksDB state store. A time to live follows the clock, so Spark
+    never sees such a stream as finished: give None to drain what there is and stop.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if session is not None:
@@ -88,11 +42,12 @@ def stream_counter_deltas(
         *df.schema.fields,
         *[T.StructField(f"prev_{f.name}", f.dataType) for f in carried],
     ])
+    ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
     sampled = df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=PreviousSample(order, carried, out.fieldNames(), ttl_seconds * 1000),
+        statefulProcessor=PreviousSample(order, carried, out.fieldNames(), ttl_ms),
         outputStructType=out,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
     extra = [f"prev_{c}" for c in names if c not in (ts, *counters)]
     return add_deltas(sampled, ts, counters).drop(*extra)
@@ -104,11 +59,12 @@ def stream_capture(
     recording_windows: DataFrame,
     tiebreak: str | None = None,
     gap: float = 0.1,
+    ttl_seconds: int | None = TTL_SECONDS,
 ) -> DataFrame:
     """Streaming form of ``capture``: the same steps over a stream of polls."""
     recorded = within_recording(with_flow_key(flow_stats), recording_windows)
     deltas = stream_counter_deltas(
-        recorded, "flow_key", tiebreak=tiebreak, session="session_id")
+        recorded, "flow_key", tiebreak=tiebreak, session="session_id", ttl_seconds=ttl_seconds)
     return flow_features(label_by_scenario(rated(deltas, gap), scenario_log), IDENTITY)
 
 
