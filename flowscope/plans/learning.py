@@ -21,6 +21,7 @@ from flowscope.operators.features import (
 )
 from flowscope.operators.models import inference_cost, predict_all, training_cost
 from flowscope.schemas import IDENTITY, N_FEATURES
+from flowscope.sizing import stored
 
 
 def scaling_stages(stats: DataFrame, features: list[str]) -> list:
@@ -45,13 +46,12 @@ def prepare(
     ``classes``, ``features`` and ``scaler``. The encoder sees all rows; selection and
     scaling are fitted on train only.
     """
-    kept = traffic_columns(raw.drop(*IDENTITY))
-    cleaned = clean(kept)
+    # several passes follow: the shuffle that removes copies must not be run for each
+    cleaned = stored(clean(traffic_columns(raw.drop(*IDENTITY))), "cleaned")
     classes = class_list(cleaned)
     rows = stratified_split(encode_label(cleaned, classes), "label", key=key)
     columns = [c for c in cleaned.columns if c not in ("label", key)]
 
-    rows = rows.persist()
     train = rows.filter(F.col("split") == "train")
     importances = forest_importance(train, columns)
     selected = [r["feature"] for r in top_features(importances, n_features).collect()]
@@ -60,7 +60,7 @@ def prepare(
     scaled = assemble(apply_scaler(rows, scaler), selected)
     return scaled.select("split", "label", "label_index", "features"), {
         "classes": classes, "features": selected, "scaler": scaler,
-        "importances": importances, "rows": rows,
+        "importances": importances,
     }
 
 

@@ -45,3 +45,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if base is None:
         base = tempfile.mkdtemp(prefix="flowscope-")
     return f"{base.rstrip('/')}/flowscope-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    Later passes read only the columns they need, and a lost executor costs no recomputation.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

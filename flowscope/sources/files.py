@@ -72,14 +72,24 @@ def _file_rows(df: DataFrame, fmt: str) -> DataFrame:
 
 
 def append_raw_flows(
-    df: DataFrame, path: str, fmt: str = "csv", checkpoint: str | None = None
+    df: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery | None:
-    """Append labelled rows; a stream needs a ``checkpoint`` folder and returns its query."""
+    """Append labelled rows.
+
+    A stream needs a ``checkpoint`` folder and returns its query; ``trigger`` is passed on,
+    and by default it takes what there is and stops.
+    """
     rows = _file_rows(df, fmt)
     if df.isStreaming:
         return (
             rows.writeStream.format(fmt).option("header", True).outputMode("append")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start(path)
         )
     rows.write.mode("append").format(fmt).option("header", True).save(path)
     return None

@@ -26,7 +26,11 @@ def decide_action(df: DataFrame) -> DataFrame:
 
 
 def emit_metrics(
-    stream: DataFrame, path: str, checkpoint: str, event_ts: str = "event_ts"
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    event_ts: str = "event_ts",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append one telemetry row per scored flow.
 
@@ -53,6 +57,6 @@ def emit_metrics(
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
