@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from flowscope.functions import order_key
-from flowscope.operators.ordered import ROWS_PER_CHUNK, with_latest
+from flowscope.operators.ordered import ROWS_PER_CHUNK, time_cuts, with_latest
 from flowscope.schemas import DEFAULT_SCENARIO
 from flowscope.sizing import small_rows
 
@@ -98,7 +98,7 @@ def _sorted_lookup(df, ts, log, start, tiebreak, payload, rows_per_chunk) -> Dat
     both = rows.unionByName(marks, allowMissingColumns=True)
     found = with_latest(
         both, ["_salt"], "_at", ["_at", "_kind", "_tie"], "_value",
-        order_key("_at", "_tie"), "_found", rows_per_chunk,
+        order_key("_at", "_tie"), "_found", time_cuts(both, "_at", rows_per_chunk),
     ).filter(F.col("_kind") == 1)
     # a row without a time has nothing before it
     hit = {c: F.when(F.col("_at").isNotNull(), F.col("_found")[c]) for c in payload}

@@ -16,28 +16,37 @@ from pyspark.sql.window import Window as W
 from flowscope.functions import order_key
 
 ROWS_PER_CHUNK = 20_000_000
-GRID_SECONDS = 60
+MICROS = 1_000_000
+GRIDS = [60 * MICROS, MICROS, MICROS // 1000]
 
 
-def time_cuts(
-    df: DataFrame, ts: str, rows_per_chunk: int = ROWS_PER_CHUNK, grid_seconds: int = GRID_SECONDS
-) -> list[int]:
+def time_cuts(df: DataFrame, ts: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> list[int]:
     """Chunk borders in epoch microseconds, about ``rows_per_chunk`` rows apart.
 
-    Reads the time column only. The grid table has one row per minute of data, and only
-    the borders, one per ``rows_per_chunk`` rows, come to the driver.
+    Reads the time column only and counts rows per minute. Minutes with more rows than a
+    chunk are counted again per second, and those per millisecond. What comes to the driver
+    is one number per ``rows_per_chunk`` rows.
     """
-    cell = F.floor(F.unix_seconds(ts) / F.lit(grid_seconds))
-    grid = df.filter(F.col(ts).isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.orderBy("cell")) - F.col("n")
-    chunk = F.floor(before / F.lit(rows_per_chunk))
-    cuts = (
-        grid.withColumn("chunk", chunk)
-        .withColumn("prior", F.lag("chunk").over(W.orderBy("cell")))
-        .filter(F.col("chunk") > F.col("prior"))
-        .select("cell")
-    )
-    return sorted(row["cell"] * grid_seconds * 1_000_000 for row in cuts.collect())
+    rows = df.filter(F.col(ts).isNotNull()).select(F.unix_micros(ts).alias("us"))
+    cuts: set[int] = set()
+    for width in GRIDS:
+        cell = F.floor(F.col("us") / F.lit(width))
+        grid = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+        in_order = W.orderBy("cell")
+        chunk = F.floor((F.sum("n").over(in_order) - F.col("n")) / F.lit(rows_per_chunk))
+        picked = (
+            grid.withColumn("chunk", chunk)
+            .withColumn("opens", F.col("chunk") > F.lag("chunk").over(in_order))
+            .withColumn("crowded", F.col("n") > rows_per_chunk)
+            .filter("opens OR crowded")
+            .collect()
+        )
+        cuts.update(r["cell"] * width for r in picked if r["opens"])
+        crowded = [r["cell"] for r in picked if r["crowded"]]
+        if not crowded:
+            break
+        rows = rows.filter(cell.isin(crowded))
+    return sorted(cuts)
 
 
 def _chunked(df: DataFrame, ts: str, cuts: list[int]) -> DataFrame:
@@ -92,14 +101,13 @@ def with_latest(
     value: str,
     newest: Column,
     out: str,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    cuts: list[int],
 ) -> DataFrame:
     """Add ``out``: the last non-null ``value`` at or before each row, per key.
 
     ``order`` sorts the rows of a key; ``newest`` is one number ordered the same way among
-    the rows that have a value.
+    the rows that have a value; ``cuts`` are the chunk borders.
     """
-    cuts = time_cuts(rows, ts, rows_per_chunk)
 
     def latest(*by: str) -> Column:
         w = W.partitionBy(*by).orderBy(*order)

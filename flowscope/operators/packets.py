@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.functions import order_key
-from flowscope.operators.ordered import ROWS_PER_CHUNK, with_latest
+from flowscope.operators.ordered import ROWS_PER_CHUNK, time_cuts, with_latest
 from flowscope.schemas import DEVICE_LIVE, ETHERTYPE_LLDP, FLOOD
 
 
@@ -47,7 +47,8 @@ def forwarding_decisions(packets: DataFrame, rows_per_chunk: int = ROWS_PER_CHUN
     rows = frames.select("dpid", "event_ts", "seq", F.inline(F.array(lesson, question)))
     known = with_latest(
         rows, ["dpid", "mac"], "event_ts", ["event_ts", "seq", "kind"], "port",
-        order_key("event_ts", "seq"), "learned", rows_per_chunk,
+        order_key("event_ts", "seq"), "learned",
+        time_cuts(frames, "event_ts", max(rows_per_chunk // 2, 1)),
     )
     out_port = F.coalesce(F.col("learned").cast("string"), F.lit(FLOOD))
     return known.filter(F.col("kind") == 1).select("packet.*", out_port.alias("out_port"))

@@ -128,7 +128,7 @@ def exact_percentiles(df: DataFrame, by: str, col: str, probs: dict[str, float])
             (F.col("size") == 0)
             | ((F.col("lower") < F.col("before") + F.col("n")) & (F.col("upper") >= F.col("before")))
         )
-        .select(by, "bin", "before", "size", "mean", "max", "name", "at", "lower", "upper")
+        .select(by, "bin", "before", "size", "mean", "max", "name", "lower", "upper")
     )
     ranks = small_or_same(ranks)
 
@@ -143,20 +143,26 @@ def exact_percentiles(df: DataFrame, by: str, col: str, probs: dict[str, float])
 
     def at_rank(rank: str) -> Column:
         here = (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("stop"))
-        return F.max(F.when(here, F.col("v")))
-
-    share = F.col("at") - F.col("lower")
-    points = (
-        ranks.join(placed, [by, "bin"], "left")
-        .groupBy(by, "name", "at", "lower", "size", "mean", "max")
-        .agg(at_rank("lower").alias("a"), at_rank("upper").alias("b"))
-        .withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * share)
-    )
-    chosen = [
-        F.max(F.when(F.col("name") == F.lit(name), F.col("q"))).alias(name) for name in probs
-    ]
-    return points.groupBy(by).agg(
-        F.max("size").alias("n"), F.max("mean").alias("mean"), F.max("max").alias("max"), *chosen)
+        return F.when(here, F.col("v"))
+
+    found = placed.join(ranks, [by, "bin"]).select(
+        by, "name", "size", "mean", "max", at_rank("lower").alias("a"), at_rank("upper").alias("b"))
+    # the ranks themselves keep groups in that have no value
+    points = found.unionByName(ranks.select(by, "name", "size", "mean", "max"), allowMissingColumns=True)
+
+    def of(name: str, c: str) -> Column:
+        return F.max(F.when(F.col("name") == F.lit(name), F.col(c))).alias(f"{name}_{c}")
+
+    ends = points.groupBy(by).agg(
+        F.max("size").alias("n"), F.max("mean").alias("mean"), F.max("max").alias("max"),
+        *[of(name, c) for name in probs for c in ("a", "b")])
+
+    def between(name: str, p: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(float(p))
+        a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+        return (a + (b - a) * (at - F.floor(at))).alias(name)
+
+    return ends.select(by, "n", "mean", "max", *[between(name, p) for name, p in probs.items()])
 
 
 def inference_stats(metrics: DataFrame, exact: bool = True) -> DataFrame:

@@ -67,17 +67,23 @@ fs AS (
          CAST(user_id % 2 AS INTEGER) AS priority, k % 3 AS hard_timeout,
          k % 5 AS idle_timeout, CAST(event_id % 2 AS INTEGER) AS flags,
          us // 86400000000 AS session_id
-  FROM ev)"""
+  FROM ev),
+windows AS (
+  SELECT us // 86400000000 AS session_id, min(us) FILTER (event_type = 'signup') AS start_us,
+         max(us) FILTER (event_type = 'error') AS end_us
+  FROM ev GROUP BY ALL),
+recorded AS (
+  SELECT fs.* FROM fs JOIN windows USING (session_id) WHERE us >= start_us AND us < end_us)"""
 
 
-def _deltas(resets: bool, session: bool = False, only_recorded: bool = False) -> str:
-    keys = "flow_key, session_id" if session else "flow_key"
-    where = "WHERE session_id % 2 = 0" if only_recorded else ""
+def _deltas(resets: bool, sessions: bool = False) -> str:
+    keys = "flow_key, session_id" if sessions else "flow_key"
+    rows = "recorded" if sessions else "fs"
     return _flow_stats(resets) + f""",
 lagged AS (
   SELECT *, lag(us) OVER w AS prev_us, lag(packet_count) OVER w AS prev_packet_count,
          lag(byte_count) OVER w AS prev_byte_count
-  FROM fs {where}
+  FROM {rows}
   WINDOW w AS (PARTITION BY {keys} ORDER BY us, event_id)),
 deltas AS (
   SELECT *, (us - prev_us) / 1e6 AS dt, packet_count - prev_packet_count AS dp,
@@ -91,14 +97,16 @@ gated AS (
   FROM deltas WHERE dt > 0.1 AND (dp > 0 OR packet_count > 0))"""
 
 
-def _log(users: str) -> str:
-    return f""",
-log AS (
-  SELECT ['normal', 'ddos', 'scanning', 'spoofing'][k % 4 + 1] AS scenario, us AS start_us
-  FROM ev WHERE event_type = 'signup' {users})"""
+NAMES = "['normal', 'ddos', 'scanning', 'spoofing']"
 
+LOG = f""",
+log AS (
+  SELECT {NAMES}[arg_min(k, event_id) % 4 + 1] AS scenario, min(us) AS start_us
+  FROM ev GROUP BY us // 3600000000)"""
 
-FIRST_USERS = "AND user_id < 10"
+LONG_LOG = f""",
+log AS (
+  SELECT {NAMES}[k % 4 + 1] AS scenario, us AS start_us FROM ev WHERE event_type = 'signup')"""
 
 PACKETS = EV + """,
 packets AS (
@@ -198,7 +206,7 @@ SELECT flow_key, event_id, dt, prev_packet_count, prev_byte_count,
 
 RATE_COLS = "SELECT flow_key, event_id, pkts_per_s, byts_per_s, pkt_len_mean FROM gated"
 
-RECORDED_FEATURES = _deltas(True, session=True, only_recorded=True) + _log(FIRST_USERS)
+RECORDED_FEATURES = _deltas(True, sessions=True) + LOG
 
 COSTS = EV + """,
 training AS (
@@ -241,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "counter_deltas": _q(_deltas(True), DELTA_COLS),
         "counter_deltas_chunked": _q(_deltas(True), DELTA_COLS),
         "counter_deltas_sessions": _q(
-            _deltas(True, session=True, only_recorded=True), DELTA_COLS),
+            _deltas(True, sessions=True), DELTA_COLS),
         "min_gap": _q(_deltas(True), DELTA_COLS + " WHERE dt > 600"),
         "active_only": _q(_deltas(True), DELTA_COLS + " WHERE dp > 0 OR packet_count > 0"),
         "flow_rates": _q(_deltas(True), RATE_COLS),
@@ -249,13 +257,13 @@ def oracle_sql() -> dict[str, str]:
         "flow_duration": _q(_flow_stats(True), f"""
             SELECT event_id, {rint("duration_sec + duration_nsec * 1e-9", 4)} AS flow_duration
             FROM fs"""),
-        "flow_features": _q(_deltas(True) + _log(FIRST_USERS), ASOF_LABEL.format(
+        "flow_features": _q(_deltas(True) + LOG, ASOF_LABEL.format(
             cols=FEATURES, table="gated")),
-        "label_by_scenario": _q(_flow_stats(True) + _log(FIRST_USERS), labelled_rows),
-        "label_by_scenario_sorted": _q(_flow_stats(True) + _log(FIRST_USERS), labelled_rows),
-        "label_by_scenario_long_log": _q(_flow_stats(True) + _log(""), labelled_rows),
+        "label_by_scenario": _q(_flow_stats(True) + LOG, labelled_rows),
+        "label_by_scenario_sorted": _q(_flow_stats(True) + LOG, labelled_rows),
+        "label_by_scenario_long_log": _q(_flow_stats(True) + LONG_LOG, labelled_rows),
         "within_recording": _q(_flow_stats(True), """
-            SELECT event_id, session_id FROM fs WHERE session_id % 2 = 0"""),
+            SELECT event_id, session_id FROM recorded"""),
         "capture": _q(RECORDED_FEATURES, capture),
         "stream_capture": _q(RECORDED_FEATURES, capture),
         "stream_counter_deltas": _q(
@@ -277,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "relative_bin": _q(METRICS, """
             SELECT event_id, floor(scenario_time_sec / 2e0) * 2e0 AS time_bin FROM rel"""),
         # selection and cleaning
-        "traffic_columns": _q(_deltas(True) + _log(FIRST_USERS), ASOF_LABEL.format(
+        "traffic_columns": _q(_deltas(True) + LOG, ASOF_LABEL.format(
             cols="flow_duration, pkts_per_s, byts_per_s, pkt_len_mean, byte_count, packet_count",
             table="gated")),
         "for_scenario": _q(METRICS, """

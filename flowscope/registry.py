@@ -22,7 +22,7 @@ from flowscope.operators import telemetry as tm
 from flowscope.plans import capture as cap
 from flowscope.plans import learning as ln
 from flowscope.plans import reports as rp
-from flowscope.schemas import METRICS
+from flowscope.schemas import DEFAULT_SCENARIO, METRICS
 from flowscope.sizing import scratch_dir
 from flowscope.streaming import counters as sc
 from flowscope.streaming import scoring as ss
@@ -96,7 +96,6 @@ def _write_stats(s: SparkSession, d: str, slices: int = 1) -> str:
     """Flow polls as parquet files, in ``slices`` steps of time."""
     path = scratch_dir(s, "flow-stats")
     stats = tv.flow_stats(s, d)
-    # both ends are known from file statistics on real data; here one row of the scan
     ends = stats.agg(F.min(F.unix_micros("event_ts")), F.max(F.unix_micros("event_ts"))).first()
     step = (ends[1] - ends[0]) // slices + 1
     part = F.floor((F.unix_micros("event_ts") - F.lit(ends[0])) / F.lit(step))
@@ -112,9 +111,9 @@ def read_flow_stats(s: SparkSession, d: str) -> DataFrame:
 def append_raw_flows(s: SparkSession, d: str, fmt: str = "csv") -> DataFrame:
     path = scratch_dir(s, "raw-flows")
     rows = _capture(s, d)
-    early = F.pmod(F.xxhash64("flow_key"), F.lit(2)) == 0
-    sources.append_raw_flows(rows.filter(early), path, fmt)
-    sources.append_raw_flows(rows.filter(~early), path, fmt)
+    attack = F.col("label") != DEFAULT_SCENARIO
+    sources.append_raw_flows(rows.filter(~attack), path, fmt)
+    sources.append_raw_flows(rows.filter(attack), path, fmt)
     return sources.read_raw_flows(s, path, fmt)
 
 
@@ -400,9 +399,8 @@ def _relative_time(s: SparkSession, d: str) -> DataFrame:
     return tm.relative_time(rows, t0).select("event_id", "scenario_time_sec")
 
 
-def _label(s: SparkSession, d: str, users: int | None = 10, **options) -> DataFrame:
-    return iv.label_by_scenario(
-        _stats(s, d), tv.scenario_log(s, d, users), **options).select("event_id", "label")
+def _label(s: SparkSession, d: str, log: Callable = tv.scenario_log, **options) -> DataFrame:
+    return iv.label_by_scenario(_stats(s, d), log(s, d), **options).select("event_id", "label")
 
 
 def _decisions(s: SparkSession, d: str, **options) -> DataFrame:
@@ -441,7 +439,7 @@ def queries() -> dict[str, Query]:
         "flow_features": lambda s, d: ct.flow_features(_labelled(s, d)),
         "label_by_scenario": _label,
         "label_by_scenario_sorted": partial(_label, small_log=0, rows_per_chunk=SMALL_CHUNK),
-        "label_by_scenario_long_log": partial(_label, users=None),
+        "label_by_scenario_long_log": partial(_label, log=tv.long_scenario_log),
         "within_recording": lambda s, d: _recorded(s, d).select("event_id", "session_id"),
         "capture": lambda s, d: _ts_us(_capture(s, d)),
         # packets and devices

@@ -99,12 +99,20 @@ def flow_stats(spark: SparkSession, folder: str, resets: bool = True, keep: tupl
     )
 
 
-def scenario_log(spark: SparkSession, folder: str, users: int | None = 10) -> DataFrame:
-    """Scenario changes: sign-ups of the first ``users`` users, or of all."""
-    rows = events(spark, folder).filter(F.col("event_type") == "signup")
-    if users is not None:
-        rows = rows.filter(F.col("user_id") < users)
-    return rows.select(
+def scenario_log(spark: SparkSession, folder: str) -> DataFrame:
+    """One scenario change per hour, at and by the hour's first event."""
+    hour = F.floor(F.unix_seconds("ts") / F.lit(3600))
+    first = F.min_by("k", "event_id")
+    return (
+        events(spark, folder).groupBy(hour.alias("hour"))
+        .agg(first.alias("k"), F.min("ts").alias("start_ts"), F.min("event_id").alias("seq"))
+        .select(_scenario(F.col("k") % 4).alias("scenario"), "start_ts", "seq")
+    )
+
+
+def long_scenario_log(spark: SparkSession, folder: str) -> DataFrame:
+    """A scenario change at every sign-up, so the log grows with the table."""
+    return events(spark, folder).filter(F.col("event_type") == "signup").select(
         _scenario(F.col("k") % 4).alias("scenario"),
         F.col("ts").alias("start_ts"),
         F.col("event_id").alias("seq"),
@@ -112,16 +120,16 @@ def scenario_log(spark: SparkSession, folder: str, users: int | None = 10) -> Da
 
 
 def recording_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Every second day is recorded."""
+    """One window per day, from the first sign-up to the last error."""
     day = F.floor(F.unix_seconds("ts") / F.lit(DAY))
+    kind = F.col("event_type")
     return (
-        events(spark, folder).select(day.alias("session_id")).distinct()
-        .filter(F.col("session_id") % 2 == 0)
-        .select(
-            "session_id",
-            F.timestamp_seconds(F.col("session_id") * DAY).alias("start_ts"),
-            F.timestamp_seconds((F.col("session_id") + 1) * DAY).alias("end_ts"),
+        events(spark, folder).groupBy(day.alias("session_id"))
+        .agg(
+            F.min(F.when(kind == "signup", F.col("ts"))).alias("start_ts"),
+            F.max(F.when(kind == "error", F.col("ts"))).alias("end_ts"),
         )
+        .filter(F.col("start_ts") < F.col("end_ts"))
     )
 
 
