@@ -28,8 +28,11 @@ def in_force(
     payload: list[str],
     small_log: int = SMALL_LOG,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    required: bool = False,
 ) -> DataFrame:
-    """Add the ``payload`` of the newest ``log`` row at or before ``ts``; null if none.
+    """Add the ``payload`` of the newest ``log`` row at or before ``ts``.
+
+    Rows before the first log row get nulls, or are left out if it is ``required``.
 
     A log of at most ``small_log`` rows is broadcast. A longer one is sorted together with
     the rows, salted and chunked, so neither its length nor a busy moment meets one task.
@@ -42,17 +45,23 @@ def in_force(
                 f"the log has more than {small_log} rows: "
                 "call this on each micro-batch in foreachBatch"
             )
-        return _sorted_lookup(df, ts, log, start, tiebreak, payload, rows_per_chunk)
+        found = _sorted_lookup(df, ts, log, start, tiebreak, payload, rows_per_chunk)
+        return (found.filter(F.col("_found").isNotNull()) if required else found).drop("_found")
     if head.num_rows == 0:
-        return df.withColumns({c: F.lit(None).cast(log.schema[c].dataType) for c in payload})
+        rows = df.filter(F.lit(False)) if required else df
+        return rows.withColumns({c: F.lit(None).cast(log.schema[c].dataType) for c in payload})
     local = df.sparkSession.createDataFrame(head, schema=log.schema)
     micros = pc.min_max(pc.cast(head.column(start), "int64")).as_py()
+    if required:
+        # a plain comparison reaches the file scan, which skips what is older
+        df = df.filter(F.col(ts) >= F.timestamp_micros(F.lit(micros["min"])))
     return _broadcast_lookup(
-        df, ts, local, start, tiebreak, payload, micros["min"], micros["max"], head.num_rows
+        df, ts, local, start, tiebreak, payload, micros["min"], micros["max"], head.num_rows,
+        "inner" if required else "left",
     )
 
 
-def _broadcast_lookup(df, ts, log, start, tiebreak, payload, first, last, n) -> DataFrame:
+def _broadcast_lookup(df, ts, log, start, tiebreak, payload, first, last, n, how) -> DataFrame:
     """Equi-join on a time bucket, about one bucket per log row, with the range as residual."""
     width = (last - first) // n + 1
     top = (last - first) // width
@@ -78,7 +87,7 @@ def _broadcast_lookup(df, ts, log, start, tiebreak, payload, first, last, n) ->
         & (end.isNull() | (F.col("_us") < end))
     )
     # at most two rows per log row, and the log was counted
-    joined = rows.join(F.broadcast(spans), match, "left")
+    joined = rows.join(F.broadcast(spans), match, how)
     return joined.drop("_us", "_cell", "_bucket", "_begin", "_end")
 
 
@@ -101,8 +110,9 @@ def _sorted_lookup(df, ts, log, start, tiebreak, payload, rows_per_chunk) -> Dat
         order_key("_at", "_tie"), "_found", time_cuts(both, "_at", rows_per_chunk),
     ).filter(F.col("_kind") == 1)
     # a row without a time has nothing before it
-    hit = {c: F.when(F.col("_at").isNotNull(), F.col("_found")[c]) for c in payload}
-    return found.withColumns(hit).select(*df.columns, *payload)
+    found = found.withColumn("_found", F.when(F.col("_at").isNotNull(), F.col("_found")))
+    hit = {c: F.col("_found")[c] for c in payload}
+    return found.withColumns(hit).select(*df.columns, *payload, "_found")
 
 
 def label_by_scenario(
@@ -133,7 +143,7 @@ def within_recording(
     sessions = windows.select("start_ts", "session_id", F.col("end_ts").alias("_until"))
     sessions = sessions.withColumn("_order", F.col("session_id"))
     found = in_force(
-        df, ts, sessions, "start_ts", "_order", ["session_id", "_until"], small_log, rows_per_chunk
+        df, ts, sessions, "start_ts", "_order", ["session_id", "_until"], small_log, rows_per_chunk,
+        required=True,
     )
-    inside = F.col("_until").isNull() | (F.col(ts) < F.col("_until"))
-    return found.filter(F.col("session_id").isNotNull() & inside).drop("_until")
+    return found.filter(F.col("_until").isNull() | (F.col(ts) < F.col("_until"))).drop("_until")

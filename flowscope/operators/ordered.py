@@ -54,7 +54,8 @@ def _chunked(df: DataFrame, ts: str, cuts: list[int]) -> DataFrame:
     cutter = Bucketizer(
         splits=borders, inputCol="_us", outputCol="_chunk", handleInvalid="keep"
     )
-    return cutter.transform(df.withColumn("_us", F.unix_micros(ts).cast("double"))).drop("_us")
+    placed = cutter.transform(df.withColumn("_us", F.unix_micros(ts).cast("double"))).drop("_us")
+    return placed.withColumn("_chunk", F.col("_chunk").cast("int"))
 
 
 def with_previous(

@@ -310,6 +310,8 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT * FROM dirty)"""),
         "clean": _q(CLEAN, "SELECT * FROM clean"),
         "metric_rows": _q(METRICS, METRIC_ROWS),
+        "round_np": _q(METRICS, f"""
+            SELECT event_id, {rint("pkt_rate / 8", 2)} AS rounded FROM metrics"""),
         "class_name": _q(METRICS, """
             SELECT event_id, ['ddos', 'normal', 'scanning', 'spoofing'][dst_port % 5 + 1] AS name
             FROM metrics"""),
@@ -372,6 +374,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT "Model", "Metric", "Score" FROM
             (UNPIVOT mm ON "Accuracy", "Precision", "Recall", "F1-Score"
              INTO NAME "Metric" VALUE "Score")"""),
+        "melt_metrics": _q(SCENARIO_PAIRS, """
+            SELECT "Model", "Metric", "Score" FROM
+            (UNPIVOT mm ON "Accuracy", "Precision", "Recall", "F1-Score"
+             INTO NAME "Metric" VALUE "Score")"""),
         # reports
         "attack_timeline_ddos": _q(METRICS, TIMELINE.format("ddos")),
         "attack_timeline_spoofing": _q(METRICS, TIMELINE.format("spoofing")),

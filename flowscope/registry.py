@@ -469,6 +469,8 @@ def queries() -> dict[str, Query]:
         "complete_rows": _complete,
         "dedupe_rows": _shown_dirty,
         "clean": lambda s, d: cl.clean(tv.dirty_rows(s, d)),
+        "round_np": lambda s, d: _keyed_metrics(s, d).select(
+            "event_id", round_np(F.col("pkt_rate") / 8, 2).alias("rounded")),
         "class_name": lambda s, d: _keyed_metrics(s, d).select(
             "event_id", class_name(
                 F.col("dst_port") % 5, ["ddos", "normal", "scanning", "spoofing"]).alias("name")),
@@ -509,6 +511,7 @@ def queries() -> dict[str, Query]:
         "model_metrics": _scores(ev.model_metrics),
         "best_model": lambda s, d: ev.best_model(
             ev.model_metrics(tv.predictions(s, d))).select("Model"),
+        "melt_metrics": _scores(lambda p: ev.melt_metrics(ev.model_metrics(p))),
         "model_comparison": _scores(rp.model_comparison),
         # reports
         "attack_timeline_ddos": _reported(rp.attack_timeline, "ddos"),

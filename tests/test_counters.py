@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowscope.functions import flow_duration, flow_key
 from flowscope.operators.counters import counter_deltas, flow_features, min_gap
 from flowscope.operators.intervals import label_by_scenario, within_recording
+from flowscope.operators.ordered import time_cuts
 from flowscope.plans.capture import capture, rated
 from flowscope.schemas import CSV_HEADERS, FLOW_STATS, RECORDING_WINDOWS, SCENARIO_LOG
 
@@ -74,6 +75,27 @@ def test_chunks_do_not_change_the_result(spark):
     assert result(100) == sorted(expected)
 
 
+def test_crowded_minutes_are_cut_finer(spark):
+    # a third of all rows fall into one second
+    times = [30 + i / 1000 for i in range(500)] + [60 * i for i in range(1000)]
+    df = spark.createDataFrame([(at(t),) for t in times], "ts timestamp")
+    cuts = time_cuts(df, "ts", 100)
+    stamps = sorted(int(at(t).timestamp() * 1e6) for t in times)
+    assert cuts == sorted(set(cuts))
+    edges = [stamps[0], *cuts, stamps[-1] + 1]
+    sizes = [sum(a <= s < b for s in stamps) for a, b in zip(edges, edges[1:])]
+    assert sum(sizes) == len(times) and max(sizes) <= 220
+    assert time_cuts(df, "ts", 10_000) == []
+
+
+def test_recording_filter_reaches_the_scan(spark, tmp_path):
+    stats = spark.createDataFrame([(at(0), 1, 0, {}, 1, 1, 1, 0, 1, 0, 0, 0)], FLOW_STATS)
+    stats.write.parquet(str(tmp_path / "s"))
+    windows = spark.createDataFrame([(1, at(10), at(20))], RECORDING_WINDOWS)
+    kept = within_recording(spark.read.schema(FLOW_STATS).parquet(str(tmp_path / "s")), windows)
+    assert "GreaterThanOrEqual(event_ts" in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_flow_key_ignores_match_order(spark):
     df = spark.sql("""
         SELECT 1L AS d, 0 AS t, map('a', '1', 'b', '2') AS m
