@@ -18,6 +18,8 @@ from flowscope.schemas import FOREST_TREES, LOGISTIC_ITERATIONS, MODEL_NAMES, SE
 
 LABEL = "label_index"
 MAX_DEPTH = 30  # the deepest tree Spark grows
+# deep trees: keep each row's node with the row instead of sending all trees every level
+DEEP = {"cacheNodeIds": True}
 
 
 def train_logistic(train: DataFrame, max_iter: int = LOGISTIC_ITERATIONS) -> Model:
@@ -31,7 +33,7 @@ def train_logistic(train: DataFrame, max_iter: int = LOGISTIC_ITERATIONS) -> Mod
 
 def train_tree(train: DataFrame, seed: int = SEED, max_depth: int = MAX_DEPTH) -> Model:
     return DecisionTreeClassifier(
-        featuresCol="features", labelCol=LABEL, maxDepth=max_depth, seed=seed).fit(train)
+        featuresCol="features", labelCol=LABEL, maxDepth=max_depth, seed=seed, **DEEP).fit(train)
 
 
 def train_forest(
@@ -40,7 +42,7 @@ def train_forest(
     """Forest with class weights that balance the classes."""
     return RandomForestClassifier(
         featuresCol="features", labelCol=LABEL, numTrees=trees, weightCol="weight",
-        maxDepth=max_depth, seed=seed,
+        maxDepth=max_depth, seed=seed, **DEEP,
     ).fit(balanced_weights(train, LABEL))
 
 

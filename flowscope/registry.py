@@ -180,7 +180,9 @@ def _test(s: SparkSession, d: str) -> DataFrame:
 
 def _trained(trainer: Callable) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        model = trainer(_train(s, d).persist())
+        train = _train(s, d).persist()
+        model = trainer(train)
+        train.unpersist()
         return md.predict(model, _test(s, d)).select("vec_id", "label_index", "prediction")
     return run
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from flowscope.operators.counters import COUNTERS, add_deltas, flow_features
 from flowscope.operators.intervals import label_by_scenario, within_recording
@@ -61,13 +64,42 @@ def stream_capture(
     gap: float = 0.1,
     ttl_seconds: int | None = TTL_SECONDS,
 ) -> DataFrame:
-    """Streaming form of ``capture``: the same steps over a stream of polls."""
+    """Streaming form of ``capture``: the same steps over a stream of polls.
+
+    Scenario log and recording windows are those known when the query starts. Where the log
+    grows meanwhile, label with ``label_batches``.
+    """
     recorded = within_recording(with_flow_key(flow_stats), recording_windows)
     deltas = stream_counter_deltas(
         recorded, "flow_key", tiebreak=tiebreak, session="session_id", ttl_seconds=ttl_seconds)
     return flow_features(label_by_scenario(rated(deltas, gap), scenario_log), IDENTITY)
 
 
+def label_batches(
+    stream: DataFrame,
+    read_log: Callable[[], DataFrame],
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Label a stream with a log that goes on growing, and append it to ``path``.
+
+    The log is read again for every micro-batch, so it may be of any length. Every
+    micro-batch owns one folder and overwrites it when it is run again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        labelled = label_by_scenario(batch, read_log())
+        labelled.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def stream_port_rate(metrics: DataFrame, width: int = 2) -> DataFrame:
     """Distinct ports per second over epoch-aligned windows of a stream.
 

@@ -2,14 +2,18 @@ import random
 
 import pytest
 from conftest import at
-from pyspark.sql import functions as F
 
 from flowscope import sources
 from flowscope.operators.packets import last_known_port, live_devices
 from flowscope.plans.capture import capture, with_flow_key
 from flowscope.operators.counters import counter_deltas
 from flowscope.schemas import DEVICE_STATE, FLOW_STATS, METRICS, PACKET_IN, RECORDING_WINDOWS, SCENARIO_LOG
-from flowscope.streaming.counters import stream_capture, stream_counter_deltas, stream_port_rate
+from flowscope.streaming.counters import (
+    label_batches,
+    stream_capture,
+    stream_counter_deltas,
+    stream_port_rate,
+)
 from flowscope.streaming.scoring import decide_action
 
 
@@ -72,6 +76,22 @@ def test_a_long_log_is_refused_on_streams_but_works_per_batch(spark, recorded):
     assert label_by_scenario(batch, log, small_log=10).filter("label = 'ddos'").count() == batch.count()
 
 
+def test_a_growing_log(spark, recorded, tmp_path):
+    calls = []
+
+    def read_log():
+        # a change is written between the first and the second micro-batch
+        calls.append(1)
+        rows = [("ddos", at(4), 1), ("scanning", at(12), 2)][:len(calls)]
+        return spark.createDataFrame(rows, SCENARIO_LOG)
+
+    stream = sources.read_flow_stats(spark, recorded, streaming=True, files_per_trigger=1)
+    query = label_batches(stream, read_log, str(tmp_path / "o"), str(tmp_path / "c"))
+    assert query.awaitTermination(120) and len(calls) == 3
+    got = spark.read.parquet(str(tmp_path / "o")).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {"normal": 16, "ddos": 32, "scanning": 48}
+
+
 def test_raw_flow_sink(spark, recorded, tmp_path):
     windows = spark.createDataFrame([(1, at(0), None)], RECORDING_WINDOWS)
     log = spark.createDataFrame([], SCENARIO_LOG)

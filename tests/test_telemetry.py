@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from flowscope.functions import relative_bin, round_np
 from flowscope.operators.telemetry import (
