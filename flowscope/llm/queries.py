@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowscope.llm import bpe_chunks, token_counts
 from flowscope.llm.sharding import shard_documents
 from flowscope.llm.url_filters import judge_urls
 
@@ -17,12 +18,37 @@ URL_RULES = [
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 ]
 SHARDS = 24
+MAX_TOKENS = 4_096
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """A file of the installed public vocabularies, at one place on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    path = _vocabulary("word_bpe_49k.json")
+    return bpe_chunks.decode(bpe_chunks.encode(docs, path), path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -36,7 +62,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: q for name, q in globals().items() if name.startswith("op") and callable(q)}
+    return {name: q for name, q in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 OP10_SQL = r"""

@@ -109,7 +109,7 @@ def judge_urls(
         .withColumn("slice", F.spark_partition_id()), "url-sweep")
     order = F.struct("key", "turn", "nth")
     ends = ranged.groupBy("slice").agg(
-        F.max_by(F.struct("active"), order).filter(F.col("event")).alias("last"))
+        F.max_by(F.struct("active"), F.when(F.col("event"), order)).alias("last"))
     before = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select("slice", F.last("last", ignorenulls=True).over(before).alias("carried"))
     swept = W.partitionBy("slice").orderBy("key", "turn", "nth").rowsBetween(W.unboundedPreceding, 0)
