@@ -7,13 +7,15 @@ texts, batches and tasks. Chunks cut words apart, so the joins are repaired: a w
 around the join is encoded again and widened word by word until its first and last words
 come out exactly as the two chunks have them.
 
-Words are parted by spaces and line feeds only; both are white space to every tokenizer
+Words are parted by spaces and line feeds; both are white space to every tokenizer
 that drops it, so what stands on either side is encoded independently. Words are encoded by
 the library and kept in a second bounded cache.
 """
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -28,8 +30,8 @@ WINDOW = 16
 MEAN_CHUNK = 1_024
 MIN_CHUNK, MAX_CHUNK = 256, 8_192
 #: bounds of a worker's caches: words, characters of all chunks
-WORD_CACHE = 600_000
-CHUNK_CACHE_CHARS = 8_000_000
+WORD_CACHE = 500_000
+CHUNK_CACHE_CHARS = 4_000_000
 CACHED_CHARS = 64
 
 _mixer = np.uint32(2_654_435_761)
@@ -39,6 +41,8 @@ class Encoder:
     """The library's tokenizer with caches of words and chunks."""
 
     def __init__(self, path: str):
+        # Spark runs a worker for each core; the library's threads would only compete
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,30 +50,37 @@ class Encoder:
         self.tokenizer.no_padding()
         if self.tokenizer.encode(" \n", add_special_tokens=False).ids:
             raise ValueError("this tokenizer keeps white space")
+        tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        #: without a decoder the library puts spaces between tokens
+        self.tokens = tokens if self.tokenizer.decoder is None else None
+        self.lowers = self.encode_plain("AbÉ Ü") == self.encode_plain("abé ü")
+        # one object for each id, however many words hold it
+        self.numbers = list(range(len(tokens)))
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, list[tuple[int, ...]]] = {}
         self.chunk_chars = 0
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Token ids of each word; every different one is encoded once."""
-        known = self.words
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > WORD_CACHE:
-            known.clear()
-            new = list(set(words))
-        if not new:
-            return [known[w] for w in words]
-        fresh = {
-            w: tuple(e.ids)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_CHARS)
-        return [fresh[w] if w in fresh else known[w] for w in words]
-
-    def encode_chunk(self, chunk: str) -> list[tuple[int, ...]]:
-        """Token ids of a chunk, word by word (its first and last word may be cut)."""
+        found = [*map(self.words.get, words)]
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        if missed:
+            new = list({words[i] for i in missed})
+            fresh = {
+                w: tuple(map(self.numbers.__getitem__, e.ids))
+                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            if len(self.words) + len(fresh) > WORD_CACHE:
+                self.words.clear()
+            self.words.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_CHARS)
+            for i in missed:
+                found[i] = fresh[words[i]]
+        return found
+
+    def encode_chunk(self, chunk: str, parts: list[str]) -> list[tuple[int, ...]]:
+        """Token ids of a chunk, for each of its words (the first and last may be cut)."""
         found = self.chunks.get(chunk)
         if found is None:
-            found = self.encode_words(split_words(chunk))
+            found = self.encode_words(parts)
             if self.chunk_chars + len(chunk) > CHUNK_CACHE_CHARS:
                 self.chunks.clear()
                 self.chunk_chars = 0
@@ -81,8 +92,9 @@ class Encoder:
         """Token ids of a whole text, equal to those of the library."""
         words: list[tuple[int, ...]] = []
         texts: list[str] = []  # of the last words, while a join may need them
-        for chunk in chunks_of(text):
-            ids, parts = self.encode_chunk(chunk), split_words(chunk)
+        for chunk in chunks_of(self.folded(text)):
+            parts = split_words(chunk)
+            ids = self.encode_chunk(chunk, parts)
             if texts:
                 ids, parts = self.repaired(words, texts, ids, parts)
             words += ids
@@ -114,12 +126,26 @@ class Encoder:
     def encode_plain(self, text: str) -> tuple[int, ...]:
         return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def folded(self, text: str) -> str:
+        """Lower case, where the tokenizer makes no other difference of it.
+
+        Below U+0300 nothing combines, so case and composition do not interact; only strings
+        like special tokens are left as they are.
+        """
+        if not self.lowers or "<|" in text:
+            return text
+        plain = text.isascii() or np.frombuffer(text.encode("utf-32-le"), np.uint32).max() < 0x300
+        return text.lower() if plain else text
+
     def decode(self, ids: list[int]) -> str:
+        if self.tokens:
+            return " ".join(map(self.tokens.__getitem__, ids))
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
 #: words kept in front of a join; a wider margin than this has never to be read
 KEPT_WORDS = 64
+_STOPS = re.compile("([.,])(?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)(?=[ \n])")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -131,8 +157,11 @@ def encoder(path: str) -> Encoder:
 
 
 def split_words(text: str) -> list[str]:
-    """Never empty; the first and the last word may be."""
-    return text.replace("\n", " ").split(" ")
+    """Words, and the marks that end them; never empty, the first and the last may be.
+
+    A full stop or comma between a letter and white space is encoded by itself in any case.
+    """
+    return _STOPS.sub(r" \1", text).replace("\n", " ").split(" ")
 
 
 def cut_places(text: str) -> np.ndarray:
@@ -173,20 +202,28 @@ def chunks_of(text: str) -> Iterator[str]:
 SLICE = 256
 
 
-def _encode(path: str) -> Callable:
+def _encode(path: str, decoded: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 ids = [own.encode(t or "") for t in part.column("text").to_pylist()]
-                yield from _id_batches(part.column("key"), ids)
+                for rows in _id_batches(part.column("key"), ids):
+                    yield _with_texts(rows, own) if decoded else rows
 
     return run
 
 
+def _with_texts(rows: pa.RecordBatch, own: Encoder) -> pa.RecordBatch:
+    texts = [
+        own.decode(ids.values.to_numpy().tolist()) if ids.is_valid else None for ids in rows.column("ids")]
+    return pa.RecordBatch.from_arrays(
+        [*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, "decoded"])
+
+
 #: token ids in one Arrow batch, at which it ends
-BATCH_IDS = 4_000_000
+BATCH_IDS = 500_000
 
 
 def _id_batches(keys: pa.Array, ids: list[list[int]]) -> Iterator[pa.RecordBatch]:
@@ -203,28 +240,26 @@ def _id_batches(keys: pa.Array, ids: list[list[int]]) -> Iterator[pa.RecordBatch
         i = j
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """Per document: ``key`` and ``ids`` (array of int), as the tokenizers library encodes.
 
     ``path`` names a tokenizer file that every worker can read. It must drop white space and
     part words at it. Special tokens are not added; their strings inside a text become what
     the library makes of them. A null text is encoded as an empty one, which has no ids.
-    Rows keep their multiplicity; other columns do not matter.
+    Rows keep their multiplicity; other columns do not matter. With ``decoded`` the text that
+    the ids decode to is added in the same pass.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode(path), f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>").select(
-        F.col("key").alias(key), "ids")
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded
+    return rows.mapInArrow(_encode(path, decoded), schema).withColumnRenamed("key", key)
 
 
 def _decode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            texts = []
-            for ids in batch.column("ids"):
-                texts.append(own.decode(ids.values.to_numpy().tolist()) if ids.is_valid else None)
-            columns = [*batch.columns, pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "decoded"])
+            for i in range(0, batch.num_rows, SLICE):
+                yield _with_texts(batch.slice(i, SLICE), own)
 
     return run
 

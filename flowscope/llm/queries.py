@@ -34,7 +34,7 @@ def _vocabulary(name: str) -> str:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     path = _vocabulary("word_bpe_49k.json")
-    return bpe_chunks.decode(bpe_chunks.encode(docs, path), path).select(
+    return bpe_chunks.encode(docs, path, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
