@@ -74,7 +74,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     width = max(1, 62 // bits)
     key = np.zeros(n, np.int64)
     open_ = np.ones(n, bool)  # no separator so far
-    for k in range(width):
+    for k in range(min(width, n)):
         symbol = np.zeros(n, np.int64)
         symbol[:n - k] = text[k:]
         key = (key << bits) | np.where(open_, symbol, 0)
@@ -123,8 +123,9 @@ class WaveletTree:
             self.counts.append(ones)
             self.zeros.append(len(sequence) - int(ones[-1]))
             sequence = np.concatenate([sequence[bit == 0], sequence[bit == 1]])
-        begins = np.searchsorted(sequence_order(sequence, self.bits), np.arange(1 << self.bits))
-        self.begins = begins.astype(np.int64)
+        # the bottom row is in order of the reversed digits
+        begins = np.searchsorted(reversed_digits(sequence, self.bits), np.arange(1 << self.bits))
+        self.begins = begins[reversed_digits(np.arange(1 << self.bits), self.bits)]
 
     def rank(self, symbol: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each end."""
@@ -135,12 +136,11 @@ class WaveletTree:
         return at - self.begins[symbol]
 
 
-def sequence_order(last: np.ndarray, bits: int) -> np.ndarray:
-    """The bottom row of the tree holds equal symbols together, ordered by reversed digits."""
-    reversed_ = np.zeros(len(last), np.int64)
+def reversed_digits(numbers: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(len(numbers), np.int64)
     for k in range(bits):
-        reversed_ |= ((last >> k) & 1) << (bits - 1 - k)
-    return reversed_
+        out |= ((numbers >> k) & 1) << (bits - 1 - k)
+    return out
 
 
 class FmIndex:
@@ -233,9 +233,9 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[list[int],
     starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     inside = np.searchsorted(ends, starts, "right")
     offsets = np.concatenate([[0], ends])
-    for d in np.unique(inside):
-        mine = inside == d
-        spans[d] = np.stack([starts[mine], stops[mine]], 1) - offsets[d]
+    documents, firsts = np.unique(inside, return_index=True)
+    for d, i, j in zip(documents, firsts, [*firsts[1:], len(inside)]):
+        spans[d] = np.stack([starts[i:j], stops[i:j]], 1) - offsets[d]
     for d, i in pairs:
         items[d].append(i)
     return sizes, spans, items
@@ -279,7 +279,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]
 def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
     """The test set in blocks of at most ``BLOCK_WORDS`` words (one item at least)."""
     block, size = [], 0
-    for row in items.select(F.col(item), F.col(text)).filter(F.col(text).isNotNull()).toLocalIterator():
+    for row in items.select(F.col(item), F.col(text)).dropna().toLocalIterator():
         n = len(words_of(row[1]))
         if block and size + n > BLOCK_WORDS:
             yield block
@@ -297,8 +297,8 @@ def find_items(
 
     A phrase is a run of ``window`` words of an item, or a whole shorter item. ``spans`` are
     the merged word ranges ``[begin, end)`` of the document that lie in occurrences of
-    phrases, ``items`` the sorted items with such phrases. Null texts and items have no
-    words; an empty test set hits nothing. Of a repeated ``item`` all texts count. Rows keep
+    phrases, ``items`` the sorted items with such phrases. Null texts have no words and
+    items with a null id or text are ignored; an empty test set hits nothing. Of a repeated ``item`` all texts count. Rows keep
     their multiplicity and each needs its own ``key`` only if the test set takes more than
     one block, whose results are put together by ``key``.
     """

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -38,7 +39,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, each with a mark in front, long ones in several parts."""
+    """Lower-cased runs of letters, long ones in several parts."""
     found = _LETTERS.findall(text.lower()) if text else []
     if any(len(w) > MAX_WORD for w in found):
         found = [w[i:i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
@@ -96,8 +97,7 @@ def _codes(words: list[str], n: int) -> np.ndarray:
 
 
 def _hashes(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
-    """For each length from 1, hashes of all substrings of that length; the last is yielded
-    only if a caller wants it, so callers that need one length take the last."""
+    """For each length from 1 to ``longest``, hashes of all substrings of that length."""
     rolled = np.zeros(codes.shape, np.uint64)
     for k in range(longest):
         rolled = rolled[:, :codes.shape[1] - k] * np.uint64(0x9E3779B97F4A7C15) + codes[:, k:] + np.uint64(1)
@@ -250,7 +250,7 @@ def _predict(model: Broadcast) -> Callable:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of each text with their counts; each text's counts add up to one thousand at most."""
+    """One row for each word of each text."""
     for batch in batches:
         languages, words = [], []
         for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -284,8 +284,6 @@ def train(
         x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, 2.0 * sample_texts / n)))])
     near = rows.withColumn("rank", rank).filter(
         F.col("rank") / F.lit(2.0 ** 64) + 0.5 <= F.element_at(share, F.col("lang")))
-    from pyspark.sql import Window as W
-
     nth = F.row_number().over(W.partitionBy("lang").orderBy("rank", "text"))
     sample = near.dropDuplicates(["lang", "rank"]).withColumn("nth", nth).filter(F.col("nth") <= sample_texts)
     counted = (

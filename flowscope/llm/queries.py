@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import bpe_chunks, token_counts
+from flowscope.llm import bpe_chunks, decontaminate, language_id, token_counts
 from flowscope.llm.sharding import shard_documents
 from flowscope.llm.url_filters import judge_urls
 
@@ -44,6 +44,27 @@ def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    n_hit = decontaminate.hit_words("spans")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    model = language_id.train(docs.filter(~held_out), _vocabulary("piece_bpe_32k.model"))
+    # the key goes through as a struct, so that no join is needed
+    marked = docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("row"), "text")
+    return language_id.predict(marked, model, "row").select(
+        "row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
