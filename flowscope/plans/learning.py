@@ -47,7 +47,7 @@ def prepare(
     scaling are fitted on train only.
     """
     # several passes follow: the shuffle that removes copies must not be run for each
-    cleaned = stored(clean(traffic_columns(raw.drop(*IDENTITY))), "cleaned")
+    cleaned = stored(clean(traffic_columns(raw.drop(*IDENTITY))))
     classes = class_list(cleaned)
     rows = stratified_split(encode_label(cleaned, classes), "label", key=key)
     columns = [c for c in cleaned.columns if c not in ("label", key)]

@@ -1,4 +1,4 @@
-"""Size checks for the small side of a join, and the shared scratch folder."""
+"""Size checks for the small side of a join, and intermediate data in the shared folder."""
 
 from __future__ import annotations
 
@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20
+SETTING = "spark.checkpoint.dir"
 
 
 def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> pa.Table | None:
-    """The whole of ``df`` when it has at most ``max_rows`` rows, else None.
+    """The whole of ``df`` when it has at most ``max_rows`` rows of ``SMALL_BYTES``, else None.
 
     At most ``max_rows + 1`` rows reach the driver, whatever the size of ``df``.
     """
     head = df.limit(max_rows + 1).toArrow()
-    return head if head.num_rows <= max_rows else None
+    return head if head.num_rows <= max_rows and head.nbytes <= SMALL_BYTES else None
 
 
 def small_or_same(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -33,25 +35,42 @@ def small_or_same(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return df.sparkSession.createDataFrame(head, schema=df.schema)
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path that every executor can reach.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor can reach, as the session names it.
+
+    Raises where ``spark.checkpoint.dir`` is unset: a folder chosen here would be local to
+    each machine, and reading back would miss what the others wrote.
+    """
+    base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if not base:
+        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
+    return base.rstrip("/")
+
 
-    It lies under ``spark.checkpoint.dir``. Only where that is unset, as on one machine in
-    tests, is a local temporary folder taken instead.
+def local_scratch(spark: SparkSession) -> None:
+    """For the entry points of tests: a temporary folder, where all runs on one machine.
+
+    Does nothing where the folder is set, or where the master is not this process.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="flowscope-")
-    return f"{base.rstrip('/')}/flowscope-{name}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    unset = not (spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING))
+    if unset and (master == "local" or master.startswith("local[")):
+        spark.conf.set(SETTING, tempfile.mkdtemp(prefix="flowscope-"))
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder path under the shared folder; whoever asks for it owns what is written."""
+    return f"{shared_dir(spark)}/flowscope-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, with its lineage cut.
 
-    Later passes read only the columns they need, and a lost executor costs no recomputation.
+    Several passes may read it, and a lost executor costs no recomputation. The files belong
+    to the returned frame: with ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark
+    removes them once nothing refers to it.
     """
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
