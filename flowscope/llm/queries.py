@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import bpe_chunks, decontaminate, language_id, token_counts
+from flowscope.llm import bpe_chunks, decontaminate, language_id, main_text, nearest, reply_trees, token_counts
 from flowscope.llm.sharding import shard_documents
 from flowscope.llm.url_filters import judge_urls
 
@@ -19,6 +19,7 @@ URL_RULES = [
 ]
 SHARDS = 24
 MAX_TOKENS = 4_096
+QUERY_EVERY = 50
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = main_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.filter(F.col("vec_id") % QUERY_EVERY == 0))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
@@ -65,6 +76,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra)
+    read = reply_trees.conversations(rows).withColumn("read", reply_trees.read_turns("formatted", "loss_spans"))
+    return read.select(
+        "conv_id", "read.n_turns", F.sha2("read.turns", 256).alias("turns_sha256"),
+        F.length("read.loss").cast("long").alias("loss_chars"), F.sha2("read.loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)

@@ -40,7 +40,7 @@ def balanced_shards(rows: DataFrame, key: str, size: str, shards: int) -> DataFr
     ranged = stored(
         rows.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias("__nth"))
         .repartitionByRange(partitions, F.col(key).asc_nulls_first(), "__nth")
-        .withColumn("__slice", F.spark_partition_id()), "shard-order")
+        .withColumn("__slice", F.spark_partition_id()))
     totals = ranged.groupBy("__slice").agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
     before = W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(

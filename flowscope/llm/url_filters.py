@@ -106,7 +106,7 @@ def judge_urls(
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(
         mixed.repartitionByRange(partitions, "key", "turn", "nth")
-        .withColumn("slice", F.spark_partition_id()), "url-sweep")
+        .withColumn("slice", F.spark_partition_id()))
     order = F.struct("key", "turn", "nth")
     ends = ranged.groupBy("slice").agg(
         F.max_by(F.struct("active"), F.when(F.col("event"), order)).alias("last"))
