@@ -270,7 +270,7 @@ def score(root: Node) -> list[Node]:
     order = _measure(root)
     containers: dict[int, Node] = {}
     for node in order:
-        loose = node.tag not in PARAGRAPHS and node.tag in BLOCKS and any(
+        loose = node.tag not in PARAGRAPHS and (node.tag in BLOCKS or not node.tag) and any(
             isinstance(c, str) and not c.isspace() for c in node.children)
         if node.tag not in PARAGRAPHS and not loose or not node.size:
             continue

@@ -30,7 +30,7 @@ TABLES = 10
 PROJECTIONS = 5
 #: slot width, in units of the spread of a projection
 WIDTH = 1.5
-PROBES = 18
+PROBES = 32
 #: vectors in one block of a bucket
 BLOCK = 4_096
 SEED = 20_240
