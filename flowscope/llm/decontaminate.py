@@ -340,10 +340,10 @@ def hit_words(spans="spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` without any test phrase; they keep all columns.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` without any test phrase, with all their columns.
 
-    ``key`` must be unique. Rows with a null key are kept or dropped by their own text.
+    Whole rows go through the search, so nothing is joined and rows need no key.
     """
-    hit = find_items(docs, benchmark, key, text).filter(F.size("spans") > 0).select(F.col(key).alias("__hit"))
-    return docs.join(hit, F.col(key).eqNullSafe(F.col("__hit")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    return find_items(rows, benchmark, "row").filter(F.size("spans") == 0).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import bpe_chunks, decontaminate, language_id, main_text, nearest, reply_trees, token_counts
+from flowscope.llm import bpe_chunks, decontaminate, jaccard_join, language_id, main_text, nearest, reply_trees, token_counts
 from flowscope.llm.sharding import shard_documents
 from flowscope.llm.url_filters import judge_urls
 
@@ -99,6 +99,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select(

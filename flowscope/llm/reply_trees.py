@@ -53,23 +53,32 @@ def turns_as_replies(rows: DataFrame, tree: str, turn: str, role: str, text: str
         "role", "text", F.length("text").cast("double").alias("score"))
 
 
-def _lifted(nodes: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ...: every node with the node 2^k above it, and the depth and score sum
-    of the 2^k nodes from it upwards (fewer at the root). The last has no node above any."""
-    rounds = [stored(nodes)]
+def _lifted(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """For k = 0, 1, ...: nodes with the node 2^k above each, and the depth and score sum of
+    the 2^k nodes from it upwards (fewer at the root).
+
+    Trees in which no node has any above leave after that round, so later rounds hold only
+    the deep ones. The second result has the nodes that reached a root, with their depth and
+    sum. Nodes on a cycle never do.
+    """
+    rounds, done = [stored(nodes)], None
     most = max(1, math.ceil(math.log2(max(2, rounds[0].count()))))
-    for _ in range(most + 1):
+    for k in range(most + 2):
         last = rounds[-1]
-        if last.filter(F.col("up").isNotNull()).isEmpty():
+        going = last.filter(F.col("up").isNotNull()).select("tree").distinct()
+        over = last.join(going, "tree", "left_anti") if k <= most else last.filter(F.col("up").isNull())
+        done = over if done is None else done.unionByName(over)
+        if k > most or going.isEmpty():
             break
-        above = last.select(
+        deep = last.join(going, "tree", "left_semi")
+        above = deep.select(
             "tree", F.col("node").alias("up"), F.col("up").alias("next"),
             F.col("depth").alias("more"), F.col("total").alias("rest"))
-        rounds.append(stored(last.join(above, ["tree", "up"], "left").select(
+        rounds.append(stored(deep.join(above, ["tree", "up"], "left").select(
             "tree", "node", F.col("next").alias("up"),
             (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             (F.col("total") + F.coalesce("rest", F.lit(0.0))).alias("total"))))
-    return rounds
+    return rounds, done
 
 
 def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
@@ -89,8 +98,7 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     linked = unique.join(names, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"),
         F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
-    rounds = _lifted(linked)
-    whole = rounds[-1].filter(F.col("up").isNull())  # on a cycle there is always a node above
+    rounds, whole = _lifted(linked)
     inner = rounds[0].select("tree", F.col("up").alias("node")).filter(F.col("node").isNotNull()).distinct()
     leaves = whole.join(inner, ["tree", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "node"))
