@@ -7,8 +7,8 @@ less and less for the join:
    hash range, which tells which n-grams occur in more than one set. Similarity 0.8 needs at
    least 0.8 of a set in common with one other set, so a set with fewer shared n-grams has no
    partner and is done. This is the case for nearly all texts.
-2. The same is counted again among the sets that are left, now with frequencies. N-grams are
-   globally ordered by them, rare ones first. Two similar sets share one of their first
+2. The same is counted again among the sets that are left, with copies put together, and
+   then with frequencies. N-grams are globally ordered by them, rare ones first. Two similar sets share one of their first
    n-grams (prefix filter), so sets that share one of these belong to one group, the
    component of such ties.
 3. Each group is joined in one task. Its sets are stored in a trie, ordered frequent n-grams
@@ -263,37 +263,48 @@ def sized_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 # --- the sets that are left --------------------------------------------------------------
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each n-gram of each set, with the key and the size of the set."""
+    """One row for each n-gram of each set."""
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            words = [words_of(t) for t in part.column("text").to_pylist()]
-            sets = [gram_set(w) for w in words]
-            sizes = [len(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(part.column("node").to_numpy(), sizes)),
-                pa.array(np.repeat(np.array([sequence_key(w) for w in words], object), sizes), pa.binary()),
-                pa.array(np.repeat(np.array(sizes, np.int64), sizes)),
-                pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()),
-            ], names=["node", "gram_key", "n_grams", "gram"])
-
-
-def ordered_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """``node``, ``n_grams`` and ``grams``: for every set of ``nodes`` (``node``, an id, and
-    ``gram_key``), those of its n-grams that another set of ``nodes`` has too, rare ones first."""
-    wanted = nodes.select("node")
+            sets = [gram_set(words_of(t)) for t in part.column("text").to_pylist()]
+            grams = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(part.column("node").to_numpy(), [len(x) for x in sets])), pa.array(grams)],
+                names=["node", "gram"])
+
+
+def _key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [sequence_key(words_of(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["node", "text", "gram_key"])
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """``node`` and ``text``, once for each of ``nodes`` (``node``, an id, and ``gram_key``).
+
+    An id may be repeated with other texts, so the key of the words decides as well.
+    """
+    wanted = nodes
     few = small_rows(wanted)
-    if few is not None:
-        # counted: at most small_rows' bounds
+    if few is not None:  # at most the bounds of small_rows
         wanted = F.broadcast(docs.sparkSession.createDataFrame(few, schema=wanted.schema))
-    rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node")
-    # an id may be repeated with other texts
-    every = stored(
-        rows.mapInArrow(_grams, "node long, gram_key binary, n_grams long, gram long")
-        .join(nodes, ["node", "gram_key"], "left_semi").select("node", "n_grams", "gram").distinct())
-    often = every.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    return every.join(often, "gram").groupBy("node", "n_grams").agg(
+    ids = wanted.select(F.col("node").alias("_node"), F.col("gram_key").alias("_key"))
+    rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
+    found = rows.join(ids.select("_node").distinct(), F.col("node") == F.col("_node"), "left_semi")
+    keyed = found.mapInArrow(_key_of, "node long, text string, gram_key binary")
+    right = (F.col("node") == F.col("_node")) & (F.col("gram_key") == F.col("_key"))
+    return keyed.join(ids, right, "left_semi").dropDuplicates(["node", "gram_key"]).select("node", "text")
+
+
+def ordered_sets(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``node``, ``n_grams`` and ``grams``: of the sets of ``texts`` (``node``, ``text``) those
+    n-grams that another of them has too, rare ones first. ``sizes`` has ``node`` and ``n_grams``."""
+    every = texts.mapInArrow(_grams, "node long, gram long")
+    often = every.groupBy("gram").agg(F.count("*").cast("int").alias("n")).filter(F.col("n") > 1)
+    lists = every.join(often, "gram").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    return lists.join(sizes, "node").select("node", "n_grams", "grams")
 
 
 def prefix_groups(sets: DataFrame) -> DataFrame:
@@ -456,6 +467,14 @@ def linked_sets(sets: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataF
     return links.unionByName(_cells(both, ["group", "part", "cell"]))
 
 
+def near_sets(docs: DataFrame, near: DataFrame, key: str, text: str) -> DataFrame:
+    """The ordered sets of those of ``near`` that still share enough once copies are put together."""
+    texts = stored(texts_of(docs, near.select("node", "gram_key"), key, text))
+    again = sized_sets(texts, "node", "text")
+    left = stored(again.filter(enough(F.col("shared"), F.col("n_grams"))).select(F.col("id").alias("node"), "n_grams"))
+    return ordered_sets(texts.join(left, "node", "left_semi"), left)
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``key``, ``n_shingles`` and ``component_id``.
 
@@ -471,8 +490,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     filled = sized.filter((F.col("n_grams") > 0) & F.col("id").isNotNull())
     classes = filled.groupBy("gram_key").agg(
         F.min("id").alias("node"), F.max("n_grams").alias("n_grams"), F.max("shared").alias("shared"))
-    near = stored(classes.filter(enough(F.col("shared"), F.col("n_grams"))).select("node", "gram_key"))
-    sets = stored(ordered_sets(docs, near, key, text))
+    near = classes.filter(enough(F.col("shared"), F.col("n_grams"))).select("node", "gram_key", "n_grams")
+    sets = stored(near_sets(docs, stored(near), key, text))
     links = linked_sets(sets, prefix_groups(sets))
     merged = components(links)
     class_of = classes.join(merged, "node", "left").select(

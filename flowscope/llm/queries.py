@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """A file of the installed public vocabularies, at one place on every machine."""
     import public_tokenizers
 
@@ -34,7 +34,7 @@ def _vocabulary(name: str) -> str:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    path = _vocabulary("word_bpe_49k.json")
+    path = vocabulary("word_bpe_49k.json")
     return bpe_chunks.encode(docs, path, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -69,7 +69,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     held_out = F.coalesce(remainder == 2, F.lit(False))
-    model = language_id.train(docs.filter(~held_out), _vocabulary("piece_bpe_32k.model"))
+    model = language_id.train(docs.filter(~held_out), vocabulary("piece_bpe_32k.model"))
     # the key goes through as a struct, so that no join is needed
     marked = docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("row"), "text")
     return language_id.predict(marked, model, "row").select(
@@ -89,7 +89,7 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
