@@ -38,11 +38,11 @@ from flowscope.sizing import small_rows, stored
 N = 5
 #: similarity as a fraction, so that borders are exact
 NUMERATOR, DENOMINATOR = 80, 100
-#: sets of one worker chunk, which are counted together before anything is sent
-CHUNK = 4_096
+#: sets and n-grams of one worker chunk, which are counted together before anything is sent
+CHUNK, CHUNK_GRAMS = 4_096, 1_500_000
 #: sets in one block of a group
-BLOCK = 2_000
-WORD_CACHE = 500_000
+BLOCK = 1_000
+WORD_CACHE = 300_000
 
 _mix = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
@@ -175,7 +175,7 @@ def _scan(buckets: int) -> Callable:
                     if own not in seen:
                         seen.add(own)
                         count += len(sets[-1])
-                if len(ids) >= CHUNK or count > 4_000_000:
+                if len(ids) >= CHUNK or count >= CHUNK_GRAMS:
                     yield _chunk_batch(ids, keys, sets, chunk, buckets)
                     chunk += 1
                     ids, keys, sets, seen, count = [], [], [], set(), 0
@@ -298,13 +298,15 @@ def texts_of(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFram
 
 
 def ordered_sets(texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``node``, ``n_grams`` and ``grams``: of the sets of ``texts`` (``node``, ``text``) those
-    n-grams that another of them has too, rare ones first. ``sizes`` has ``node`` and ``n_grams``."""
+    """``node``, ``n_grams``, ``grams`` and ``often``: of the sets of ``texts`` (``node``, ``text``)
+    those n-grams that another of them has too, rare ones first, and how many have them.
+    ``sizes`` has ``node`` and ``n_grams``."""
     every = texts.mapInArrow(_grams, "node long, gram long")
     often = every.groupBy("gram").agg(F.count("*").cast("int").alias("n")).filter(F.col("n") > 1)
     lists = every.join(often, "gram").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
-    return lists.join(sizes, "node").select("node", "n_grams", "grams")
+    return lists.join(sizes, "node").select(
+        "node", "n_grams", F.col("grams.gram").alias("grams"), F.col("grams.n").alias("often"))
 
 
 def prefix_groups(sets: DataFrame) -> DataFrame:
@@ -316,7 +318,7 @@ def prefix_groups(sets: DataFrame) -> DataFrame:
     n, m = F.col("n_grams"), F.size("grams")
     prefix = n - F.ceil(n * F.lit(NUMERATOR) / F.lit(DENOMINATOR)) + 1 - (n - m)
     heads = sets.withColumn("prefix", prefix.cast("int")).filter(F.col("prefix") > 0).select(
-        "node", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))["gram"]).alias("gram"))
+        "node", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram"))
     first = heads.groupBy("gram").agg(F.min("node").alias("a"))
     ties = heads.join(first, "gram").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
     return components(ties).select("node", F.col("component").alias("group"))
@@ -413,8 +415,8 @@ def _join_cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Links in one cell of a group, as one pair for each set that is linked."""
     rows = rows.sort_values(["n_grams", "node"])
     nodes, sizes = rows["node"].to_numpy(), rows["n_grams"].tolist()
-    flat = np.concatenate([np.asarray([g["gram"] for g in x], np.int64) for x in rows["grams"]])
-    often = np.concatenate([np.asarray([g["n"] for g in x], np.int64) for x in rows["grams"]])
+    flat = np.concatenate(rows["grams"].to_list()).astype(np.int64)
+    often = np.concatenate(rows["often"].to_list()).astype(np.int64)
     # numbers in the global order, frequent first, so that paths through the trie are shared
     different, first = np.unique(flat, return_index=True)
     rank = np.empty(len(different), np.int64)
@@ -437,7 +439,7 @@ def _cells(members: DataFrame, cells: list[str]) -> DataFrame:
 
 def linked_sets(sets: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs ``a``, ``b`` of sets whose components are those of similarity."""
-    members = stored(sets.join(groups, "node").select("node", "group", "n_grams", "grams"))
+    members = stored(sets.join(groups, "node").select("node", "group", "n_grams", "grams", "often"))
     sizes = members.groupBy("group").agg(F.count("*").alias("n"))
     sizes = sizes.select("group", F.ceil(F.col("n") / block).alias("blocks"))
     placed = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -458,10 +460,10 @@ def linked_sets(sets: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataF
     # what is not in the main class meets all blocks
     parts = rest.groupBy("group").agg(F.ceil(F.count("*") / block).alias("parts"))
     asked = rest.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select(
-        "node", "group", "n_grams", "grams", "part",
+        "node", "group", "n_grams", "grams", "often", "part",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("cell"))
     stayed = large.join(parts, "group").select(
-        "node", "group", "n_grams", "grams",
+        "node", "group", "n_grams", "grams", "often",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("block").alias("cell"))
     both = asked.unionByName(stayed).dropDuplicates(["node", "group", "part", "cell"])
     return links.unionByName(_cells(both, ["group", "part", "cell"]))
