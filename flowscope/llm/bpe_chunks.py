@@ -30,8 +30,8 @@ WINDOW = 16
 MEAN_CHUNK = 1_024
 MIN_CHUNK, MAX_CHUNK = 256, 8_192
 #: bounds of a worker's caches: words, characters of all chunks
-WORD_CACHE = 500_000
-CHUNK_CACHE_CHARS = 4_000_000
+WORD_CACHE = 250_000
+CHUNK_CACHE_CHARS = 3_000_000
 CACHED_CHARS = 64
 
 _mixer = np.uint32(2_654_435_761)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 #: words of one shard; a single longer document is a shard by itself
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 #: words of the test set in one broadcast
 BLOCK_WORDS = 1_000_000
 #: every so many-th position of a run of words is sampled

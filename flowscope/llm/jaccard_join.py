@@ -39,10 +39,10 @@ N = 5
 #: similarity as a fraction, so that borders are exact
 NUMERATOR, DENOMINATOR = 80, 100
 #: sets and n-grams of one worker chunk, which are counted together before anything is sent
-CHUNK, CHUNK_GRAMS = 4_096, 1_500_000
+CHUNK, CHUNK_GRAMS = 4_096, 1_000_000
 #: sets in one block of a group
 BLOCK = 1_000
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 
 _mix = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}

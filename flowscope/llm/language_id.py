@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: labelled texts of each language that the models are fitted on, and words of each
 SAMPLE_TEXTS = 1_500
-SAMPLE_WORDS = 60_000
+SAMPLE_WORDS = 40_000
 ROUNDS = 3
 #: pieces of more letters are left out; longer words are scored in runs of this many letters
 MAX_PIECE, MAX_WORD = 10, 48
@@ -33,7 +33,7 @@ MAX_PIECE, MAX_WORD = 10, 48
 SMOOTHING, UNSEEN = 0.05, 1e-6
 #: keeps sums in range: every letter is scored this many times too high
 LETTER_SCALE = 30.0
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -71,7 +71,7 @@ class Pieces:
             for hashed in _hashes(_codes([pieces[i] for i in at], n), n):
                 hashes[at] = hashed[:, 0]
         order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], order + 1
+        self.hashes, self.numbers = hashes[order], (order + 1).astype(np.int32)
         if len(np.unique(hashes)) < len(pieces):
             raise ValueError("two pieces have the same hash")
         # the hashes that begin with these bits, so that a look-up is one gather and one compare

@@ -28,7 +28,7 @@ SPACE = "▁"
 TABLE_SIZE = 65_536
 #: entries of a partition's summary, and of a worker's cache
 SUMMARY_SIZE = 100_000
-CACHE_SIZE = 400_000
+CACHE_SIZE = 300_000
 #: a pre-token is reported by a partition of which it makes up at least this share
 LEAST_SHARE = 1 / 20_000
 #: a pre-token of more characters is encoded each time, so that caches stay small
