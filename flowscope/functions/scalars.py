@@ -59,10 +59,12 @@ def order_key(ts: Column | str, tiebreak: Column | str | None = None) -> Column:
     """One number ordered like (ts, tiebreak).
 
     ``max_by`` over a struct falls back to a sort aggregate; a number keeps it a hash
-    aggregate with map-side combine.
+    aggregate with map-side combine. For whole-number tiebreaks; a null one comes first, as
+    in a window.
     """
     micros = F.unix_micros(_col(ts))
     if tiebreak is None:
         return micros
     room = F.lit("20000000000000000000").cast("decimal(20,0)")
-    return micros.cast("decimal(17,0)") * room + _col(tiebreak).cast("decimal(19,0)")
+    first = F.lit("-9900000000000000000").cast("decimal(19,0)")
+    return micros.cast("decimal(17,0)") * room + F.coalesce(_col(tiebreak).cast("decimal(19,0)"), first)

@@ -47,12 +47,15 @@ def complete_rows(df: DataFrame) -> DataFrame:
     return df.filter(reduce(and_, present))
 
 
-def dedupe_rows(df: DataFrame) -> DataFrame:
-    """One of each set of equal rows; copies collapse before the shuffle."""
-    return df.dropDuplicates()
+def dedupe_rows(df: DataFrame, key: str | None = None) -> DataFrame:
+    """One of each set of equal rows; copies collapse before the shuffle.
+
+    A ``key`` is not compared.
+    """
+    return df.dropDuplicates([c for c in df.columns if c != key])
 
 
-def clean(df: DataFrame) -> DataFrame:
+def clean(df: DataFrame, key: str | None = None) -> DataFrame:
     """Complete, finite, distinct rows; the filter runs below the shuffle.
 
     Same rows as ``inf_to_null``, ``complete_rows`` and ``dedupe_rows`` in turn: null, NaN
@@ -63,4 +66,4 @@ def clean(df: DataFrame) -> DataFrame:
         F.abs(c) < F.lit(float("inf")) if c in numbers else F.col(c).isNotNull()
         for c in df.columns
     ]
-    return dedupe_rows(df.filter(reduce(and_, usable)))
+    return dedupe_rows(df.filter(reduce(and_, usable)), key)

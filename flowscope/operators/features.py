@@ -11,6 +11,8 @@ from pyspark.sql.window import Window as W
 from flowscope.schemas import N_FEATURES, SEED, SELECTOR_TREES, TEST_SIZE
 from flowscope.sizing import small_or_same
 
+MAX_DEPTH = 30  # the deepest tree Spark grows
+
 
 def class_index(df: DataFrame, label: str = "label") -> DataFrame:
     """One row per class: name and its place among the sorted names."""
@@ -32,7 +34,7 @@ def encode_label(
     Give ``labels`` to reuse an earlier fit, and on streams.
     """
     if labels is None:
-        return df.join(small_or_same(class_index(df, label)), label)
+        return df.join(small_or_same(class_index(df, label)), label, "left")
     names = F.array(*[F.lit(x) for x in sorted(labels)])
     place = F.nullif(F.array_position(names, F.col(label)), F.lit(0)) - F.lit(1)
     return df.withColumn("label_index", place.cast("double"))
@@ -104,7 +106,8 @@ def forest_importance(
 ) -> DataFrame:
     """Importance of each column in a forest fitted on ``train``."""
     forest = RandomForestClassifier(
-        featuresCol="_features", labelCol=label, numTrees=trees, seed=seed)
+        featuresCol="_features", labelCol=label, numTrees=trees, seed=seed,
+        maxDepth=MAX_DEPTH, cacheNodeIds=True)
     fitted = forest.fit(assemble(train, cols, "_features").select("_features", label))
     weights = fitted.featureImportances.toArray()
     rows = [(name, float(weights[i]), i) for i, name in enumerate(cols)]

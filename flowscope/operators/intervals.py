@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from flowscope.functions import order_key
-from flowscope.operators.ordered import ROWS_PER_CHUNK, time_cuts, with_latest
+from flowscope.operators.ordered import ROWS_PER_CHUNK, newest_first, time_cuts, with_latest
 from flowscope.schemas import DEFAULT_SCENARIO
 from flowscope.sizing import small_rows
 
@@ -99,7 +98,7 @@ def _sorted_lookup(df, ts, log, start, tiebreak, payload, rows_per_chunk) -> Dat
     rows = df.select("*", F.col(ts).alias("_at"), F.lit(1).alias("_kind"), salt.alias("_salt"))
     marks = log.select(
         F.col(start).alias("_at"),
-        F.col(tiebreak).cast("long").alias("_tie"),
+        F.col(tiebreak).alias("_tie"),
         F.lit(0).alias("_kind"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
         value.alias("_value"),
@@ -107,7 +106,7 @@ def _sorted_lookup(df, ts, log, start, tiebreak, payload, rows_per_chunk) -> Dat
     both = rows.unionByName(marks, allowMissingColumns=True)
     found = with_latest(
         both, ["_salt"], "_at", ["_at", "_kind", "_tie"], "_value",
-        order_key("_at", "_tie"), "_found", time_cuts(both, "_at", rows_per_chunk),
+        newest_first(both, "_at", "_tie"), "_found", time_cuts(both, "_at", rows_per_chunk),
     ).filter(F.col("_kind") == 1)
     # a row without a time has nothing before it
     found = found.withColumn("_found", F.when(F.col("_at").isNotNull(), F.col("_found")))

@@ -49,6 +49,14 @@ def time_cuts(df: DataFrame, ts: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> l
     return sorted(cuts)
 
 
+def newest_first(df: DataFrame, ts: str, tiebreak: str | None) -> Column:
+    """Orders the rows of ``df`` as a window over (ts, tiebreak) does, for any tiebreak type."""
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if tiebreak is None or df.schema[tiebreak].dataType.simpleString() in whole:
+        return order_key(ts, tiebreak)
+    return F.when(F.col(ts).isNotNull(), F.struct(ts, tiebreak))
+
+
 def _chunked(df: DataFrame, ts: str, cuts: list[int]) -> DataFrame:
     borders = [float("-inf"), *map(float, cuts), float("inf")]
     cutter = Bucketizer(
@@ -77,7 +85,7 @@ def with_previous(
         return df.withColumns(lagged(W.partitionBy(*keys).orderBy(*order)))
 
     rows = _chunked(df, ts, cuts)
-    newest = order_key(ts, tiebreak)
+    newest = newest_first(df, ts, tiebreak)
     carry = list(dict.fromkeys([*order, *values]))
     ends = rows.groupBy(*keys, "_chunk").agg(*[F.max_by(c, newest).alias(c) for c in carry])
     following = F.lead("_chunk").over(W.partitionBy(*keys).orderBy("_chunk"))

@@ -11,7 +11,7 @@ from flowscope.schemas import DEVICE_LIVE, ETHERTYPE_LLDP, FLOOD
 
 
 def drop_lldp(packets: DataFrame) -> DataFrame:
-    return packets.filter(F.col("ethertype") != F.lit(ETHERTYPE_LLDP))
+    return packets.filter(~F.col("ethertype").eqNullSafe(F.lit(ETHERTYPE_LLDP)))
 
 
 def last_known_port(packets: DataFrame) -> DataFrame:

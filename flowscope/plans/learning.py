@@ -46,11 +46,12 @@ def prepare(
     ``classes``, ``features`` and ``scaler``. The encoder sees all rows; selection and
     scaling are fitted on train only.
     """
-    # several passes follow: the shuffle that removes copies must not be run for each
-    cleaned = stored(clean(traffic_columns(raw.drop(*IDENTITY))))
+    # several passes follow: the shuffle that removes copies must not be run for each.
+    # Metadata takes part in cleaning and in the split, and is dropped afterwards
+    cleaned = stored(clean(raw.drop(*IDENTITY), key))
     classes = class_list(cleaned)
-    rows = stratified_split(encode_label(cleaned, classes), "label", key=key)
-    columns = [c for c in cleaned.columns if c not in ("label", key)]
+    rows = traffic_columns(stratified_split(encode_label(cleaned, classes), "label", key=key))
+    columns = [c for c in rows.columns if c not in ("label", "label_index", "split", key)]
 
     train = rows.filter(F.col("split") == "train")
     importances = forest_importance(train, columns)

@@ -37,7 +37,9 @@ class PreviousSample(StatefulProcessor):
             batch = batch[batch[ts] >= pd.Timestamp(last[ts])]
         if len(batch):
             self._newest.update(tuple(_plain(batch[c].iloc[-1]) for c in names))
-            shifted = batch[names].shift(1)
+            # a shift would turn whole numbers into floats, which end at 2^53
+            whole = {c: "Int64" for c in names if pd.api.types.is_integer_dtype(batch[c])}
+            shifted = batch[names].astype(whole).shift(1)
             if before is not None:
                 for c in names:
                     shifted.loc[shifted.index[0], c] = last[c]

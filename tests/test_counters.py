@@ -172,3 +172,29 @@ def test_features_are_in_file_order(spark):
     assert rows.columns[3:] == list(CSV_HEADERS)
     assert flow_features(rows.withColumns({
         "duration_sec": F.lit(1), "duration_nsec": F.lit(0)})).columns == list(CSV_HEADERS)
+
+
+@pytest.mark.parametrize("kind", ["decimal(4,1)", "string", "long"])
+def test_any_tiebreak_gives_the_same_in_chunks(spark, kind):
+    rows = [("f", at(0), 1, 10, "1.2"), ("f", at(0), 2, 20, "1.4"), ("f", at(0), 3, 30, None),
+            ("f", at(7200), 9, 90, "3")]
+    df = spark.createDataFrame(
+        rows, "flow_key string, event_ts timestamp, packet_count long, byte_count long, tie string")
+    if kind == "long":
+        df = df.filter("tie IS NULL OR tie = '3'")
+    df = df.withColumn("tie", F.col("tie").cast(kind))
+    got = [
+        sorted(counter_deltas(df, "flow_key", tiebreak="tie", rows_per_chunk=n)
+               .select("packet_count", "prev_packet_count").collect())
+        for n in (1, 1_000_000)]
+    assert got[0] == got[1] and got[0]
+
+
+def test_string_sessions_in_a_long_log(spark):
+    windows = spark.createDataFrame(
+        [(f"s{i}", at(10 * i), at(10 * i + 5)) for i in range(5)],
+        "session_id string, start_ts timestamp, end_ts timestamp")
+    rows = spark.createDataFrame([(i, at(i)) for i in range(50)], "id long, event_ts timestamp")
+    few, many = (
+        sorted(within_recording(rows, windows, small_log=n).select("id", "session_id").collect()) for n in (1_000, 0))
+    assert few == many and len(few) == 25
