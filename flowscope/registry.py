@@ -257,7 +257,7 @@ def stream_counter_deltas(s: SparkSession, d: str) -> DataFrame:
 def _scorer(s: SparkSession, d: str):
     """A model fitted on the labelled rows of the recorded flows."""
     rows, fitted = ln.prepare(_capture(s, d))
-    model = md.train_tree(rows.filter("split = 'train'"), max_depth=5)
+    model = md.train_tree(rows.filter("split = 'train'"))
     return ln.scoring_pipeline(model, fitted)
 
 
@@ -500,7 +500,7 @@ def queries() -> dict[str, Query]:
         "train_logistic": _trained(md.train_logistic),
         "train_tree": _trained(md.train_tree),
         "train_forest": _trained(md.train_forest),
-        "predict": _trained(partial(md.train_tree, max_depth=5)),
+        "predict": _trained(md.train_tree),
         "training_cost": training_cost,
         "inference_cost": inference_cost,
         "export_winner": export_winner,
