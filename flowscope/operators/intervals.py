@@ -134,15 +134,21 @@ def within_recording(
     ts: str = "event_ts",
     small_log: int = SMALL_LOG,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    since: str | None = None,
 ) -> DataFrame:
     """Keep rows inside a recording window and add its ``session_id``.
 
     Windows do not overlap: the flag is on or off. An open window has a null ``end_ts``.
+    With ``since`` that earlier time of a row has to lie in the same window.
     """
-    sessions = windows.select("start_ts", "session_id", F.col("end_ts").alias("_until"))
-    sessions = sessions.withColumn("_order", F.col("session_id"))
+    sessions = windows.select(
+        "start_ts", "session_id", F.col("session_id").alias("_order"),
+        F.col("start_ts").alias("_from"), F.col("end_ts").alias("_until"))
     found = in_force(
-        df, ts, sessions, "start_ts", "_order", ["session_id", "_until"], small_log, rows_per_chunk,
-        required=True,
+        df, ts, sessions, "start_ts", "_order", ["session_id", "_from", "_until"], small_log,
+        rows_per_chunk, required=True,
     )
-    return found.filter(F.col("_until").isNull() | (F.col(ts) < F.col("_until"))).drop("_until")
+    inside = F.col("_until").isNull() | (F.col(ts) < F.col("_until"))
+    if since is not None:
+        inside &= F.col(since) >= F.col("_from")
+    return found.filter(inside).drop("_from", "_until")

@@ -13,8 +13,10 @@ from pyspark.ml.classification import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.operators.evaluation import best_model
 from flowscope.operators.features import balanced_weights
 from flowscope.schemas import FOREST_TREES, LOGISTIC_ITERATIONS, MODEL_NAMES, SEED
+from flowscope.sources.artifacts import save_model
 
 LABEL = "label_index"
 MAX_DEPTH = 30  # the deepest tree Spark grows
@@ -94,15 +96,17 @@ def inference_cost(models: dict[str, Model], test: DataFrame) -> DataFrame:
     return test.sparkSession.createDataFrame(seconds, "Model string, Inference_Time_Sec double")
 
 
-def export_winner(models: dict[str, Model], metrics: DataFrame, path: str) -> str:
-    """Save the best model under ``path`` and return its name."""
-    from flowscope.operators.evaluation import best_model
-    from flowscope.sources.artifacts import save_model
-
+def winner(models: dict[str, Model], metrics: DataFrame) -> str:
+    """Name of the best model; of equals the one first in ``models``."""
     order = F.array_position(F.array(*[F.lit(n) for n in models]), F.col("Model"))
     best = best_model(metrics.withColumn("_pos", order), "_pos").collect()
     if not best:
         raise ValueError("no model scored above 0, so there is none to export")
-    name = best[0]["Model"]
+    return best[0]["Model"]
+
+
+def export_winner(models: dict[str, Model], metrics: DataFrame, path: str) -> str:
+    """Save the best model under ``path`` and return its name."""
+    name = winner(models, metrics)
     save_model(models[name], path)
     return name

@@ -217,6 +217,22 @@ inference AS (
   FROM ev WHERE event_type <> 'view' GROUP BY event_type)"""
 
 
+# labelled vectors; an equal vector with an equal label counts once in a learning run
+VECTORS = """
+ranked AS (
+  SELECT vec_id, 'c' || label AS label,
+         CAST(dense_rank() OVER (ORDER BY 'c' || label) - 1 AS DOUBLE) AS label_index,
+         row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '|42')) AS rn,
+         count(*) OVER (PARTITION BY label) AS n
+  FROM embeddings WHERE label IS NOT NULL),
+held_out AS (SELECT * FROM ranked WHERE rn <= floor(n * 2e-1 + 5e-1)),
+models AS (SELECT unnest(['Logistic_Regression', 'Decision_Tree', 'Random_Forest']) AS "Model")"""
+
+KNOWN = "SELECT vec_id, label_index, TRUE AS known FROM held_out"
+SAME = "SELECT vec_id, label_index, TRUE AS same FROM held_out"
+MEASURED = 'SELECT "Model", TRUE AS measured FROM models'
+
+
 def _q(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select.strip()}"
 
@@ -354,6 +370,31 @@ def oracle_sql() -> dict[str, str]:
                    / ((SELECT count(DISTINCT scenario) FROM metrics)
                       * count(*) OVER (PARTITION BY scenario))''', 9)} AS weight
             FROM metrics"""),
+        # models; what they predict is no SQL, so these rows state what holds for any fit
+        "forest_importance": """
+            SELECT 'e' || i AS feature, CAST(i AS INTEGER) AS pos, TRUE AS usable, 1e0 AS total
+            FROM range((SELECT max(len(embedding)) FROM embeddings)) r(i)""",
+        "train_logistic": _q(VECTORS, KNOWN),
+        "train_tree": _q(VECTORS, KNOWN),
+        "train_forest": _q(VECTORS, KNOWN),
+        "predict": _q(VECTORS, KNOWN),
+        "save_model": _q(VECTORS, SAME),
+        "export_winner": _q(VECTORS, SAME),
+        "training_cost": _q(VECTORS, MEASURED),
+        "inference_cost": _q(VECTORS, MEASURED),
+        "train_and_evaluate": _q(VECTORS, """
+            , sizes AS (
+              SELECT label, count(*) AS n FROM (SELECT DISTINCT embedding, label FROM embeddings
+              WHERE label IS NOT NULL) GROUP BY label)
+            SELECT "Model", (SELECT CAST(sum(floor(n * 2e-1 + 5e-1)) AS BIGINT) FROM sizes) AS test_rows,
+                   TRUE AS consistent
+            FROM models"""),
+        "score_flows": _q(RECORDED_FEATURES, ASOF_LABEL.format(
+            cols="f.us AS ts_us, dpid, flow_key, TRUE AS known", table="gated")),
+        "emit_metrics": _q(RECORDED_FEATURES, f"""
+            SELECT dpid, {rint("pkts_per_s", 2)} AS pkt_rate, {rint("byts_per_s", 2)} AS byte_rate,
+                   label AS scenario, TRUE AS decided, TRUE AS timed
+            FROM ({ASOF_LABEL.format(cols="dpid, pkts_per_s, byts_per_s", table="gated")})"""),
         # evaluation
         "accuracy": _q(SCENARIO_PAIRS, 'SELECT "Model" AS model, "Accuracy" AS accuracy FROM mm'),
         "weighted_prf": _q(SCENARIO_PAIRS, """

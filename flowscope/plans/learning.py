@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.operators.cleaning import clean, traffic_columns
-from flowscope.operators.evaluation import cost_table, model_metrics
+from flowscope.operators.evaluation import confusion_matrix, cost_table, model_metrics
 from flowscope.operators.features import (
     apply_scaler,
     assemble,
@@ -19,9 +19,10 @@ from flowscope.operators.features import (
     stratified_split,
     top_features,
 )
-from flowscope.operators.models import inference_cost, predict_all, training_cost
+from flowscope.operators.models import inference_cost, predict_all, training_cost, winner
 from flowscope.schemas import IDENTITY, N_FEATURES
 from flowscope.sizing import stored
+from flowscope.sources import save_model, save_split, write_result
 
 
 def scaling_stages(stats: DataFrame, features: list[str]) -> list:
@@ -70,19 +71,47 @@ def train_and_evaluate(
 ) -> tuple[DataFrame, dict[str, Model], dict]:
     """Train the three models and compare them on the held-out rows.
 
-    Returns the metrics table, the models, and the fitted preparation with the cost table
-    under ``cost`` and the predictions under ``predictions``.
+    Returns the metrics table, the models, and the fitted preparation with the prepared
+    ``rows``, the ``training`` seconds, the ``cost`` table and the ``predictions``.
     """
     rows, fitted = prepare(raw, key=key)
     train = rows.filter(F.col("split") == "train")
     test = rows.filter(F.col("split") == "test")
     training, models = training_cost(train, **options)
     inference = inference_cost(models, test)
-    fitted["predictions"] = predict_all(models, test)
+    # metrics and matrices read them, and the models need not predict again
+    fitted["predictions"] = stored(predict_all(models, test))
+    fitted["rows"], fitted["training"] = rows, training
     fitted["cost"] = cost_table(training, inference)
     return model_metrics(fitted["predictions"]), models, fitted
 
 
+def learning_run(raw: DataFrame, folder: str, key: str | None = None, **options: dict) -> str:
+    """Train, compare and leave every result under ``folder``; returns the winner's name.
+
+    ``split`` holds the prepared rows, ``models/<name>`` each model, ``preparation`` the fitted
+    scaler and assembler, and ``final`` the winner as a pipeline that scores raw rows. The
+    tables are ``training_cost``, ``model_performance_metrics``, ``computational_cost`` and
+    ``confusion_matrix``.
+    """
+    metrics, models, fitted = train_and_evaluate(raw, key, **options)
+    name = winner(models, metrics)
+    save_split(fitted["rows"], f"{folder}/split")
+    tables = {
+        "training_cost": fitted["training"], "model_performance_metrics": metrics,
+        "computational_cost": fitted["cost"],
+        "confusion_matrix": confusion_matrix(fitted["predictions"]),
+    }
+    for table, rows in tables.items():
+        write_result(rows, f"{folder}/{table}")
+    for model_name, model in models.items():
+        save_model(model, f"{folder}/models/{model_name}")
+    stages = scaling_stages(fitted["scaler"], fitted["features"])
+    save_model(PipelineModel(stages), f"{folder}/preparation")
+    save_model(scoring_pipeline(models[name], fitted), f"{folder}/final")
+    return name
+
+
 def scoring_pipeline(model: Model, fitted: dict) -> PipelineModel:
     """Raw feature columns to ``predicted_label``, as one model to save and load."""
     names = IndexToString(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import Model
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscope import sources
@@ -22,7 +24,7 @@ from flowscope.operators import telemetry as tm
 from flowscope.plans import capture as cap
 from flowscope.plans import learning as ln
 from flowscope.plans import reports as rp
-from flowscope.schemas import DEFAULT_SCENARIO, METRICS
+from flowscope.schemas import DEFAULT_SCENARIO, SCENARIOS
 from flowscope.sizing import scratch_dir
 from flowscope.streaming import counters as sc
 from flowscope.streaming import scoring as ss
@@ -178,49 +180,73 @@ def _test(s: SparkSession, d: str) -> DataFrame:
     return _vector_rows(s, d).filter("split = 'test'")
 
 
+def _known(s: SparkSession, d: str) -> Column:
+    """Whether a prediction is the index of a class."""
+    n = len(ft.class_list(tv.vectors(s, d)[0]))
+    return F.col("prediction").isin([float(i) for i in range(n)])
+
+
 def _trained(trainer: Callable) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         train = _train(s, d).persist()
         model = trainer(train)
         train.unpersist()
-        return md.predict(model, _test(s, d)).select("vec_id", "label_index", "prediction")
+        return md.predict(model, _test(s, d)).select(
+            "vec_id", "label_index", _known(s, d).alias("known"))
     return run
 
 
 def forest_importance(s: SparkSession, d: str) -> DataFrame:
     rows, names = tv.vectors(s, d)
     train = ft.stratified_split(ft.encode_label(rows), key="vec_id").filter("split = 'train'")
-    return ft.forest_importance(train, names)
+    importances = ft.forest_importance(train, names)
+    total = importances.agg(round_np(F.sum("importance"), 6)).scalar()
+    return importances.select(
+        "feature", "pos", (F.col("importance") >= 0).alias("usable"), total.alias("total"))
+
+
+def _same_predictions(s: SparkSession, d: str, before: Model, after: Model) -> DataFrame:
+    """The test rows, with whether two models predict the same for each."""
+    first = md.predict(before, _test(s, d)).select(
+        "vec_id", "label_index", "features", F.col("prediction").alias("_before"))
+    return md.predict(after, first).select(
+        "vec_id", "label_index", (F.col("_before") == F.col("prediction")).alias("same"))
 
 
 def save_model(s: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(s, "model")
-    sources.save_model(md.train_tree(_train(s, d)), path)
-    model = sources.load_model(path)
-    return md.predict(model, _test(s, d)).select("vec_id", "label_index", "prediction")
+    model = md.train_tree(_train(s, d))
+    sources.save_model(model, path)
+    return _same_predictions(s, d, model, sources.load_model(path))
 
 
 def training_cost(s: SparkSession, d: str) -> DataFrame:
-    return md.training_cost(_train(s, d))[0]
+    cost = md.training_cost(_train(s, d))[0]
+    return cost.select("Model", (F.col("Train_Time_Sec") > 0).alias("measured"))
 
 
 def inference_cost(s: SparkSession, d: str) -> DataFrame:
     _, models = md.training_cost(_train(s, d))
-    return md.inference_cost(models, _test(s, d))
+    cost = md.inference_cost(models, _test(s, d))
+    return cost.select("Model", (F.col("Inference_Time_Sec") > 0).alias("measured"))
 
 
 def export_winner(s: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(s, "winner")
     _, models = md.training_cost(_train(s, d))
-    test = _test(s, d)
-    metrics = ev.model_metrics(md.predict_all(models, test))
+    metrics = ev.model_metrics(md.predict_all(models, _test(s, d)))
     name = md.export_winner(models, metrics, path)
-    return md.predict(sources.load_model(path), test).select(
-        F.lit(name).alias("model"), "vec_id", "prediction")
+    return _same_predictions(s, d, models[name], sources.load_model(path))
 
 
 def train_and_evaluate(s: SparkSession, d: str) -> DataFrame:
-    return ln.train_and_evaluate(tv.vectors(s, d)[0], key="vec_id")[0]
+    """Test rows of each model, and whether its scores are shares and its recall its accuracy."""
+    metrics, _, fitted = ln.train_and_evaluate(tv.vectors(s, d)[0], key="vec_id")
+    rows = fitted["predictions"].groupBy(F.col("model").alias("Model")).agg(
+        F.count("*").alias("test_rows"))
+    shares = [F.col(c).between(0, 1) for c in ("Accuracy", "Precision", "F1-Score")]
+    agree = F.abs(F.col("Accuracy") - F.col("Recall")) < 1e-9
+    return metrics.join(rows, "Model").select("Model", "test_rows", reduce(and_, shares, agree).alias("consistent"))
 
 
 # --- streaming -------------------------------------------------------------------------
@@ -242,10 +268,18 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return sources.read_flow_stats(s, path, streaming=True, files_per_trigger=1)
 
 
+def _captured(s: SparkSession, d: str, name: str, sink: Callable) -> DataFrame:
+    """What ``sink(path)`` writes of the captured micro-batches."""
+    path = scratch_dir(s, name)
+    sc.stream_capture(
+        _stream(s, d), lambda: tv.scenario_log(s, d), lambda: tv.recording_windows(s, d),
+        sink(f"{path}/rows"), f"{path}/checkpoint", ttl_seconds=None,
+    ).awaitTermination()
+    return s.read.parquet(f"{path}/rows").drop("batch_id")
+
+
 def stream_capture(s: SparkSession, d: str) -> DataFrame:
-    rows = sc.stream_capture(
-        _stream(s, d), tv.scenario_log(s, d), tv.recording_windows(s, d), ttl_seconds=None)
-    return _ts_us(_drain(s, rows, "stream-capture"))
+    return _ts_us(_captured(s, d, "stream-capture", sc.batch_folder))
 
 
 def stream_counter_deltas(s: SparkSession, d: str) -> DataFrame:
@@ -261,29 +295,40 @@ def _scorer(s: SparkSession, d: str):
     return ln.scoring_pipeline(model, fitted)
 
 
-def _scored_stream(s: SparkSession, d: str) -> DataFrame:
+def _saved_scorer(s: SparkSession, d: str):
     path = scratch_dir(s, "scorer")
     sources.save_model(_scorer(s, d), path)
-    rows = sc.stream_capture(
-        _stream(s, d), tv.scenario_log(s, d), tv.recording_windows(s, d), ttl_seconds=None)
-    return ss.score_flows(rows, sources.load_model(path))
+    return sources.load_model(path)
 
 
 def score_flows(s: SparkSession, d: str) -> DataFrame:
-    return _ts_us(_drain(s, _scored_stream(s, d), "scored")).select(
-        "ts_us", "dpid", "flow_key", "label", "predicted_label")
+    model = _saved_scorer(s, d)
+
+    def sink(path: str) -> Callable:
+        write = sc.batch_folder(path)
+        return lambda rows, i: write(ss.score_flows(rows, model), i)
+
+    known = F.col("predicted_label").isin(SCENARIOS).alias("known")
+    return _ts_us(_captured(s, d, "scored", sink)).select(
+        "ts_us", "dpid", "flow_key", "label", known)
 
 
 def emit_metrics(s: SparkSession, d: str) -> DataFrame:
-    path = scratch_dir(s, "emitted")
-    scored = ss.decide_action(_scored_stream(s, d)).withColumns({
+    model = _saved_scorer(s, d)
+    flow = {
         "in_port": F.lit(None).cast("int"), "eth_src": F.lit(None).cast("string"),
         "dst_port": F.lit(None).cast("int"), "cpu_percent": F.lit(None).cast("double"),
         "pkt_rate": F.col("pkts_per_s"), "byte_rate": F.col("byts_per_s"),
         "scenario": F.col("label"),
-    })
-    ss.emit_metrics(scored, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{path}/rows").select(*METRICS.fieldNames())
+    }
+    rows = _captured(s, d, "emitted", lambda path: (
+        lambda batch, i: ss.emit_batch(batch.withColumns(flow), model, path, i)))
+    attack = F.col("predicted_label") != DEFAULT_SCENARIO
+    late = F.col("mitigation_latency_ms") > 0
+    return rows.select(
+        "dpid", "pkt_rate", "byte_rate", "scenario",
+        ((F.col("action_taken") == "DROP") == attack).alias("decided"),
+        ((late == attack) & (F.col("inference_time_ms") >= 0)).alias("timed"))
 
 
 # --- the rest --------------------------------------------------------------------------

@@ -20,6 +20,9 @@ from flowscope.schemas import (
 )
 
 
+FILES_PER_TRIGGER = 100
+
+
 def _missing(e: AnalysisException) -> bool:
     return e.getCondition() == "PATH_NOT_FOUND"
 
@@ -35,9 +38,12 @@ def read_flow_stats(
     path: str,
     streaming: bool = False,
     fmt: str = "parquet",
-    files_per_trigger: int | None = None,
+    files_per_trigger: int | None = FILES_PER_TRIGGER,
 ) -> DataFrame:
-    """Flow-counter polls from a folder, as a table or as a stream of new files."""
+    """Flow-counter polls from a folder, as a table or as a stream of new files.
+
+    A micro-batch takes ``files_per_trigger`` files; None takes a whole backlog at once.
+    """
     if not streaming:
         return spark.read.schema(FLOW_STATS).format(fmt).load(path)
     reader = spark.readStream.schema(FLOW_STATS).format(fmt)

@@ -11,10 +11,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+#: stands for a null among whole numbers and times; the smallest value of a bigint
+MISSING = -(2**63)
+
+
 class PreviousSample(StatefulProcessor):
     """Adds ``prev_<c>`` to each sample of a key; state is the newest sample.
 
-    A sample older than the state is ignored. State that is not renewed within the time to
+    Times and whole numbers arrive as bigint without nulls. A sample older than the state, by
+    time and then by tiebreak, is ignored. State that is not renewed within the time to
     live, if there is one, is dropped.
     """
 
@@ -29,30 +34,40 @@ class PreviousSample(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = self._carried.fieldNames()
-        batch = pd.concat(rows, ignore_index=True).sort_values(self._order, kind="stable")
-        before = self._newest.get() if self._newest.exists() else None
-        if before is not None:
-            last = dict(zip(names, before))
-            ts = self._order[0]
-            batch = batch[batch[ts] >= pd.Timestamp(last[ts])]
+        batch = pd.concat(rows, ignore_index=True)
+        batch = batch.sort_values(self._order, kind="stable", na_position="first")
+        last = dict(zip(names, self._newest.get())) if self._newest.exists() else None
+        if last is not None:
+            batch = batch[self._not_older(batch, last)]
         if len(batch):
             self._newest.update(tuple(_plain(batch[c].iloc[-1]) for c in names))
-            # a shift would turn whole numbers into floats, which end at 2^53
-            whole = {c: "Int64" for c in names if pd.api.types.is_integer_dtype(batch[c])}
-            shifted = batch[names].astype(whole).shift(1)
-            if before is not None:
-                for c in names:
-                    shifted.loc[shifted.index[0], c] = last[c]
-            batch = batch.assign(**{f"prev_{c}": shifted[c] for c in names})
-            yield batch[self._out]
+            before = {f"prev_{c}": _shifted(batch[c], last and last[c]) for c in names}
+            yield batch.assign(**before)[self._out]
+
+    def _not_older(self, batch: pd.DataFrame, last: dict) -> pd.Series:
+        """Rows at or after the state, by time and then by tiebreak; nulls come first."""
+        ts = self._order[0]
+        keep = batch[ts] >= last[ts]
+        for tie in self._order[1:]:
+            if not pd.isna(last[tie]):
+                keep &= (batch[ts] > last[ts]) | (batch[tie] >= last[tie]).fillna(False)
+        return keep
 
     def close(self) -> None:
         pass
 
 
+def _shifted(column: pd.Series, first) -> pd.Series:
+    """The column one row later, with ``first`` in front; whole numbers stay whole."""
+    if pd.api.types.is_integer_dtype(column):
+        return column.shift(1, fill_value=MISSING if first is None else first)
+    moved = column.shift(1)
+    if first is not None:
+        moved.iloc[0] = first
+    return moved
+
+
 def _plain(value):
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
     return value.item() if hasattr(value, "item") else value
 
 

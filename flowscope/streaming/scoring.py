@@ -25,37 +25,50 @@ def decide_action(df: DataFrame) -> DataFrame:
     return df.withColumn("action_taken", F.when(attack, F.lit(DROP)).otherwise(F.lit(ALLOW)))
 
 
-def emit_metrics(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    event_ts: str = "event_ts",
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """Append one telemetry row per scored flow.
+def emit_batch(
+    features: DataFrame, model: PipelineModel, path: str, batch_id: int, event_ts: str = "event_ts"
+) -> None:
+    """Score the rows of one micro-batch and write their telemetry.
 
-    Every micro-batch owns one folder and overwrites it when it is run again, so a retry
-    leaves no doubles. The inference time is the batch's wall time per row; the latency of
-    a drop is the time from the poll to its processing.
+    Every micro-batch owns one folder, laid out by scenario, and overwrites it when it is run
+    again, so a retry leaves no doubles. The inference time is the wall time of scoring alone
+    per row; the latency of a drop is the time from the poll to its processing.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        begin = time.monotonic()
-        rows = batch.persist()
+    rows = features.persist()
+    scored = decide_action(score_flows(rows, model)).persist()
+    try:
         n = rows.count()
+        begin = time.monotonic()
+        scored.count()
         per_row = (time.monotonic() - begin) * 1000.0 / max(n, 1)
         now = time.time()
         late_ms = (F.lit(now) - F.unix_micros(event_ts) / F.lit(1e6)) * 1000.0
         dropped = F.col("action_taken") == F.lit(DROP)
-        metric_rows(rows.withColumns({
+        metric_rows(scored.withColumns({
             "timestamp": F.lit(now),
             "inference_time_ms": F.lit(per_row),
             "mitigation_latency_ms": F.when(dropped, late_ms).otherwise(F.lit(0.0)),
-        })).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        })).write.mode("overwrite").partitionBy("scenario").parquet(f"{path}/batch_id={batch_id}")
+    finally:
+        scored.unpersist()
         rows.unpersist()
 
+
+def emit_metrics(
+    stream: DataFrame,
+    model: PipelineModel,
+    path: str,
+    checkpoint: str,
+    event_ts: str = "event_ts",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Append one telemetry row per feature row of a stream; see ``emit_batch``.
+
+    The rows carry the features and the telemetry columns that scoring does not add.
+    """
     return (
-        stream.writeStream.foreachBatch(write)
+        stream.writeStream
+        .foreachBatch(lambda batch, i: emit_batch(batch, model, path, i, event_ts))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from flowscope import sources
 from flowscope.operators.models import export_winner
-from flowscope.plans.learning import prepare, scoring_pipeline, train_and_evaluate
+from flowscope.plans.learning import learning_run, prepare, scoring_pipeline, train_and_evaluate
 from flowscope.schemas import METRICS, MODEL_NAMES, RAW_FLOWS, TRAFFIC_FEATURES
-from flowscope.streaming.scoring import decide_action, emit_metrics, score_flows
+from flowscope.streaming.scoring import emit_metrics, score_flows
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,26 @@ def test_winner_is_saved_and_predicts_the_same(spark, trained, raw, tmp_path):
         export_winner(models, metrics.withColumn("F1-Score", F.lit(0.0)), str(tmp_path / "none"))
 
 
+def test_a_learning_run_leaves_its_results(spark, raw, tmp_path):
+    folder = str(tmp_path / "run")
+    name = learning_run(
+        raw, folder, Random_Forest={"trees": 10}, Logistic_Regression={"max_iter": 50})
+    train, test = sources.load_split(spark, f"{folder}/split")
+    assert (train.count(), test.count()) == (480, 120)
+    tables = ("training_cost", "model_performance_metrics", "computational_cost")
+    for table in tables:
+        rows = spark.read.option("header", True).csv(f"{folder}/{table}")
+        assert {r["Model"] for r in rows.collect()} == set(MODEL_NAMES)
+    # raw rows through the saved preparation and model, and through the saved pipeline
+    usable = raw.filter("pkts_per_s < 1e9")
+    prepared = sources.load_model(f"{folder}/preparation").transform(usable)
+    final = sources.load_model(f"{folder}/final").transform(usable)
+    apart = sources.load_model(f"{folder}/models/{name}").transform(prepared)
+    assert [r[0] for r in apart.select("prediction").collect()] == [
+        r[0] for r in final.select("prediction").collect()]
+    assert final.filter("label = predicted_label").count() > 0.9 * usable.count()
+
+
 def test_score_and_emit(spark, trained, raw, tmp_path):
     _, models, fitted = trained
     pipeline = scoring_pipeline(models["Decision_Tree"], fitted)
@@ -70,11 +90,11 @@ def test_score_and_emit(spark, trained, raw, tmp_path):
     assert scored.filter("label = predicted_label").count() > 0.9 * scored.count()
 
     stream = spark.readStream.schema(clean.schema).parquet(str(tmp_path / "in"))
-    rows = decide_action(score_flows(stream, pipeline)).selectExpr(
+    rows = stream.selectExpr(
         "*", "1L AS dpid", "1 AS in_port", "'m' AS eth_src", "80 AS dst_port",
         "pkts_per_s AS pkt_rate", "byts_per_s AS byte_rate", "0.0D AS cpu_percent",
         "label AS scenario")
-    query = emit_metrics(rows, str(tmp_path / "out"), str(tmp_path / "c"))
+    query = emit_metrics(rows, pipeline, str(tmp_path / "out"), str(tmp_path / "c"))
     assert query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert set(METRICS.fieldNames()) <= set(got.columns)

@@ -2,13 +2,15 @@ import random
 
 import pytest
 from conftest import at
+from pyspark.sql import functions as F
 
 from flowscope import sources
 from flowscope.operators.packets import last_known_port, live_devices
-from flowscope.plans.capture import capture, with_flow_key
-from flowscope.operators.counters import counter_deltas
+from flowscope.operators.counters import counter_deltas, flow_features
+from flowscope.plans.capture import capture, rated, with_flow_key
 from flowscope.schemas import DEVICE_STATE, FLOW_STATS, METRICS, PACKET_IN, RECORDING_WINDOWS, SCENARIO_LOG
 from flowscope.streaming.counters import (
+    batch_folder,
     label_batches,
     stream_capture,
     stream_counter_deltas,
@@ -44,16 +46,56 @@ def recorded(spark, tmp_path_factory):
     return folder
 
 
-def test_stream_capture_equals_batch(spark, recorded, tmp_path):
-    windows = spark.createDataFrame([(1, at(2), at(10)), (2, at(12), None)], RECORDING_WINDOWS)
-    log = spark.createDataFrame([("ddos", at(5), 1), ("scanning", at(14), 2)], SCENARIO_LOG)
+@pytest.mark.parametrize("tiebreak", [None, "flags"])
+def test_stream_capture_equals_batch_while_control_tables_grow(spark, recorded, tmp_path, tiebreak):
+    """The second recording and scenario begin after the query; the first window closes late."""
+    windows = [(1, at(2), at(10)), (2, at(12), None)]
+    log = [("ddos", at(5), 1), ("scanning", at(14), 2)]
+    seen = []
+
+    def read_windows():
+        seen.append(1)
+        now = [(1, at(2), None)] if len(seen) == 1 else windows
+        return spark.createDataFrame(now, RECORDING_WINDOWS)
+
+    def read_log():
+        return spark.createDataFrame(log[:len(seen)], SCENARIO_LOG)
+
     stream = sources.read_flow_stats(spark, recorded, streaming=True, files_per_trigger=1)
-    got = drain(spark, stream_capture(stream, log, windows, ttl_seconds=None), str(tmp_path))
-    want = capture(sources.read_flow_stats(spark, recorded), log, windows)
+    query = stream_capture(
+        stream, read_log, read_windows, batch_folder(str(tmp_path / "o")), str(tmp_path / "c"),
+        tiebreak=tiebreak, ttl_seconds=None)
+    assert query.awaitTermination(120) and len(seen) == 3
+    got = spark.read.parquet(str(tmp_path / "o")).drop("batch_id")
+    want = capture(
+        sources.read_flow_stats(spark, recorded), spark.createDataFrame(log, SCENARIO_LOG),
+        spark.createDataFrame(windows, RECORDING_WINDOWS), tiebreak=tiebreak)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert want.count() > 50
 
 
+def test_large_counters_and_a_clock_change(spark, tmp_path):
+    """Counters above 2^53 with nulls among them, across the end of summer time."""
+    start = 1_699_162_800  # 2023-11-05 05:40 UTC, 20 minutes before New York turns back
+    rows = [(start + i * 1200, 2**53 + 1 + 2 * i, None if i == 2 else 2**60 + i) for i in range(5)]
+    folder = str(tmp_path / "in")
+    frame = spark.createDataFrame(rows, "s long, packet_count long, byte_count long").selectExpr(
+        "'k' AS flow_key", "timestamp_seconds(s) AS event_ts", "packet_count", "byte_count")
+    for part in ("packet_count < 9007199254740998", "packet_count >= 9007199254740998"):
+        frame.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        got = drain(spark, stream_counter_deltas(stream, "flow_key", ttl_seconds=None), str(tmp_path))
+        want = counter_deltas(spark.read.parquet(folder), "flow_key")
+        columns = ["dt", "delta_packet_count", "delta_byte_count", "prev_byte_count"]
+        rows = [sorted(map(str, df.select(*columns).collect())) for df in (got, want)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
 def test_older_samples_are_ignored(spark, tmp_path):
     poll = lambda t, n: (at(t), 1, 0, {"u": "1"}, n, n, 0, 0, 1, 0, 0, 0)
     folder = str(tmp_path / "in")
@@ -93,14 +135,13 @@ def test_a_growing_log(spark, recorded, tmp_path):
 
 
 def test_raw_flow_sink(spark, recorded, tmp_path):
-    windows = spark.createDataFrame([(1, at(0), None)], RECORDING_WINDOWS)
-    log = spark.createDataFrame([], SCENARIO_LOG)
-    rows = stream_capture(
-        sources.read_flow_stats(spark, recorded, True), log, windows, ttl_seconds=None)
+    stream = with_flow_key(sources.read_flow_stats(spark, recorded, True))
+    deltas = stream_counter_deltas(stream, "flow_key", ttl_seconds=None)
+    rows = flow_features(rated(deltas).withColumn("label", F.lit("normal")))
     query = sources.append_raw_flows(rows, str(tmp_path / "raw"), checkpoint=str(tmp_path / "c"))
     assert query.awaitTermination(120)
-    deltas = counter_deltas(with_flow_key(sources.read_flow_stats(spark, recorded)), "flow_key")
-    assert 0 < sources.read_raw_flows(spark, str(tmp_path / "raw")).count() <= deltas.count()
+    want = rated(counter_deltas(with_flow_key(sources.read_flow_stats(spark, recorded)), "flow_key"))
+    assert sources.read_raw_flows(spark, str(tmp_path / "raw")).count() == want.count() > 0
 
 
 @pytest.mark.parametrize("table", ["ports", "devices"])
