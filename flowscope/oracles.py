@@ -314,8 +314,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, CAST(0 AS DOUBLE) AS mitigation_latency_ms FROM metrics"""),
         "relative_time": _q(METRICS, "SELECT event_id, scenario_time_sec FROM rel WHERE scenario = 'ddos'"),
         "inf_to_null": _q(DIRTY, """
-            SELECT CASE WHEN isinf(reading) THEN NULL ELSE reading END AS reading, level
-            FROM dirty WHERE reading IS NULL OR NOT isnan(reading)"""),
+            SELECT CASE WHEN isnan(reading) THEN 'NaN' WHEN isinf(reading) THEN NULL
+                        ELSE CAST(CAST(reading AS BIGINT) AS VARCHAR) END AS reading, level
+            FROM dirty"""),
         "complete_rows": _q(DIRTY, """
             SELECT CAST(reading AS VARCHAR) IN ('inf', '-inf') AS infinite, level, label FROM dirty
             WHERE reading IS NOT NULL AND NOT isnan(reading) AND label IS NOT NULL"""),
@@ -409,7 +410,7 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN pairs p ON p.model = c.model AND p.label = c.cls AND p.prediction = d.cls"""),
         "model_metrics": _q(SCENARIO_PAIRS, "SELECT * FROM mm"),
         "best_model": _q(SCENARIO_PAIRS, """
-            SELECT "Model" FROM mm WHERE "F1-Score" > 0
+            SELECT * FROM mm WHERE "F1-Score" > 0
             ORDER BY "F1-Score" DESC, "Model" LIMIT 1"""),
         "model_comparison": _q(SCENARIO_PAIRS, """
             SELECT "Model", "Metric", "Score" FROM

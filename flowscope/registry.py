@@ -337,13 +337,17 @@ def _no_latency(s: SparkSession, d: str) -> DataFrame:
     return _keyed_metrics(s, d).withColumn("mitigation_latency_ms", F.lit(0.0))
 
 
-def _shown_dirty(s: SparkSession, d: str) -> DataFrame:
+def _reading_text() -> Column:
+    """The reading as text, as NaN and infinities do not compare alike everywhere."""
     v = F.col("reading")
-    text = (
+    return (
         F.when(F.isnan(v), "NaN").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
         .otherwise(v.cast("long").cast("string"))
     )
-    return cl.dedupe_rows(tv.dirty_rows(s, d)).withColumn("reading", text)
+
+
+def _shown_dirty(s: SparkSession, d: str) -> DataFrame:
+    return cl.dedupe_rows(tv.dirty_rows(s, d)).withColumn("reading", _reading_text())
 
 
 def _complete(s: SparkSession, d: str) -> DataFrame:
@@ -352,8 +356,7 @@ def _complete(s: SparkSession, d: str) -> DataFrame:
 
 
 def _inf_to_null(s: SparkSession, d: str) -> DataFrame:
-    rows = cl.inf_to_null(tv.dirty_rows(s, d))
-    return rows.filter(F.col("reading").isNull() | ~F.isnan("reading")).select("reading", "level")
+    return cl.inf_to_null(tv.dirty_rows(s, d)).select(_reading_text().alias("reading"), "level")
 
 
 def _costs(s: SparkSession, d: str) -> DataFrame:
@@ -556,8 +559,7 @@ def queries() -> dict[str, Query]:
         "weighted_prf_binary": _prf_binary,
         "confusion_matrix": lambda s, d: ev.confusion_matrix(tv.predictions(s, d)),
         "model_metrics": _scores(ev.model_metrics),
-        "best_model": lambda s, d: ev.best_model(
-            ev.model_metrics(tv.predictions(s, d))).select("Model"),
+        "best_model": _scores(lambda p: ev.best_model(ev.model_metrics(p))),
         "melt_metrics": _scores(lambda p: ev.melt_metrics(ev.model_metrics(p))),
         "model_comparison": _scores(rp.model_comparison),
         # reports
