@@ -1,10 +1,12 @@
+from types import SimpleNamespace
+
 import pytest
 from conftest import at
 from pyspark.sql import functions as F
 
 from flowscope import sources
 from flowscope.schemas import CSV_HEADERS, FLOW_STATS, METRICS, RAW_FLOWS
-from flowscope.sizing import scratch_dir, small_or_same, small_rows, stored
+from flowscope.sizing import local_scratch, scratch_dir, shared_dir, small_or_same, small_rows, stored
 
 ROW = (1.5, 20.0, 2000.0, 100.0, 3000, 30, 1, 0, 0, 0, 0, "ddos")
 
@@ -103,4 +105,12 @@ def test_scratch_is_under_the_shared_folder(spark):
     if base:
         assert path.startswith(base.rstrip("/") + "/")
     assert path != scratch_dir(spark, "t")
-    assert stored(spark.range(5), "five").count() == 5
+    assert stored(spark.range(5)).count() == 5
+
+
+def test_no_scratch_without_a_shared_folder():
+    bare = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getConf=dict, master="spark://host"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(bare)
+    local_scratch(bare)
+    assert bare.conf == {}
