@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from flowscope.operators.ordered import ROWS_PER_CHUNK, newest_first, time_cuts, with_latest
+from flowscope.operators.ordered import chunked, newest_first, time_cuts
 from flowscope.schemas import DEFAULT_SCENARIO
 from flowscope.sizing import small_rows
 
 SMALL_LOG = 1_000
-SALTS = 32
+#: rows that one task sorts together with their part of a long log
+LOOKUP_CHUNK = 4_000_000
 
 # ASCII whitespace.
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -26,7 +27,7 @@ def in_force(
     tiebreak: str,
     payload: list[str],
     small_log: int = SMALL_LOG,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int = LOOKUP_CHUNK,
     required: bool = False,
 ) -> DataFrame:
     """Add the ``payload`` of the newest ``log`` row at or before ``ts``.
@@ -34,7 +35,7 @@ def in_force(
     Rows before the first log row get nulls, or are left out if it is ``required``.
 
     A log of at most ``small_log`` rows is broadcast. A longer one is sorted together with
-    the rows, salted and chunked, so neither its length nor a busy moment meets one task.
+    the rows in chunks of time, so neither its length nor a busy moment meets one task.
     """
     log = log.select(start, tiebreak, *payload).filter(F.col(start).isNotNull())
     head = small_rows(log, small_log)
@@ -91,25 +92,44 @@ def _broadcast_lookup(df, ts, log, start, tiebreak, payload, first, last, n, how
 
 
 def _sorted_lookup(df, ts, log, start, tiebreak, payload, rows_per_chunk) -> DataFrame:
-    """Sort rows and log together and keep the last payload seen, per salt."""
-    hashable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-    salt = F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int")
-    value = F.struct(*payload)
-    rows = df.select("*", F.col(ts).alias("_at"), F.lit(1).alias("_kind"), salt.alias("_salt"))
+    """Sort rows and log together, chunk by chunk, and keep the last payload seen.
+
+    The payload in force where a chunk begins is carried in as one more row. A moment that
+    holds more rows than a chunk is salted, and only its part of the log is copied.
+    """
+    rows = df.select("*", F.col(ts).alias("_at"), F.lit(1).alias("_kind"))
     marks = log.select(
-        F.col(start).alias("_at"),
-        F.col(tiebreak).alias("_tie"),
-        F.lit(0).alias("_kind"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
-        value.alias("_value"),
-    )
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    found = with_latest(
-        both, ["_salt"], "_at", ["_at", "_kind", "_tie"], "_value",
-        newest_first(both, "_at", "_tie"), "_found", time_cuts(both, "_at", rows_per_chunk),
-    ).filter(F.col("_kind") == 1)
-    # a row without a time has nothing before it
-    found = found.withColumn("_found", F.when(F.col("_at").isNotNull(), F.col("_found")))
+        F.col(start).alias("_at"), F.col(tiebreak).alias("_tie"), F.lit(0).alias("_kind"),
+        F.struct(*payload).alias("_value"))
+    times = rows.select("_at").unionByName(marks.select("_at"))
+    cuts = time_cuts(times, "_at", rows_per_chunk)
+    # one row per chunk, as for the cuts
+    sizes = chunked(times, "_at", cuts).groupBy("_chunk").agg(F.count("*").alias("n")).collect()
+    salts = df.sparkSession.createDataFrame(
+        [(r["_chunk"], -(-r["n"] // rows_per_chunk) if r["n"] > 2 * rows_per_chunk else 1) for r in sizes],
+        "_chunk int, _salts long")
+
+    marks = chunked(marks, "_at", cuts)
+    # only the log is aggregated here, not the rows
+    ends = marks.groupBy("_chunk").agg(F.max_by("_value", newest_first(marks, "_at", "_tie")).alias("_end"))
+    earlier = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = salts.join(ends, "_chunk", "left").select(
+        "_chunk", F.lit(0).alias("_kind"), F.last("_end", ignorenulls=True).over(earlier).alias("_value"))
+
+    hashable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    own = F.pmod(F.xxhash64(*hashable), F.col("_salts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))
+    probes = chunked(rows, "_at", cuts).join(F.broadcast(salts), "_chunk").withColumn("_salt", own)
+    known = marks.unionByName(carried, allowMissingColumns=True)
+    known = known.join(F.broadcast(salts), "_chunk").withColumn("_salt", every)
+    # a carried row has no time of its own, and nulls sort first
+    seen = W.partitionBy("_chunk", "_salt").orderBy("_at", "_kind", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    found = (
+        probes.unionByName(known, allowMissingColumns=True)
+        .withColumn("_found", F.last("_value", ignorenulls=True).over(seen))
+        .filter(F.col("_kind") == 1)
+        # a row without a time has nothing before it
+        .withColumn("_found", F.when(F.col("_at").isNotNull(), F.col("_found"))))
     hit = {c: F.col("_found")[c] for c in payload}
     return found.withColumns(hit).select(*df.columns, *payload, "_found")
 
@@ -120,7 +140,7 @@ def label_by_scenario(
     default: str = DEFAULT_SCENARIO,
     ts: str = "event_ts",
     small_log: int = SMALL_LOG,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int = LOOKUP_CHUNK,
 ) -> DataFrame:
     """Add ``label``: the scenario in force at ``ts``, ``default`` before the first change."""
     names = log.select("start_ts", "seq", F.btrim("scenario", F.lit(WHITESPACE)).alias("label"))
@@ -133,7 +153,7 @@ def within_recording(
     windows: DataFrame,
     ts: str = "event_ts",
     small_log: int = SMALL_LOG,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int = LOOKUP_CHUNK,
     since: str | None = None,
 ) -> DataFrame:
     """Keep rows inside a recording window and add its ``session_id``.

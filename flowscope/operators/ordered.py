@@ -57,13 +57,17 @@ def newest_first(df: DataFrame, ts: str, tiebreak: str | None) -> Column:
     return F.when(F.col(ts).isNotNull(), F.struct(ts, tiebreak))
 
 
-def _chunked(df: DataFrame, ts: str, cuts: list[int]) -> DataFrame:
+def chunked(df: DataFrame, ts: str, cuts: list[int]) -> DataFrame:
+    """Add ``_chunk``, the number of the time chunk of a row; rows without a time come last."""
+    if not cuts:
+        return df.withColumn("_chunk", F.col(ts).isNull().cast("int"))
     borders = [float("-inf"), *map(float, cuts), float("inf")]
     cutter = Bucketizer(
         splits=borders, inputCol="_us", outputCol="_chunk", handleInvalid="keep"
     )
     placed = cutter.transform(df.withColumn("_us", F.unix_micros(ts).cast("double"))).drop("_us")
-    return placed.withColumn("_chunk", F.col("_chunk").cast("int"))
+    last = F.lit(float(len(cuts) + 1))
+    return placed.withColumn("_chunk", F.coalesce("_chunk", last).cast("int"))
 
 
 def with_previous(
@@ -84,7 +88,7 @@ def with_previous(
     if not cuts:
         return df.withColumns(lagged(W.partitionBy(*keys).orderBy(*order)))
 
-    rows = _chunked(df, ts, cuts)
+    rows = chunked(df, ts, cuts)
     newest = newest_first(df, ts, tiebreak)
     carry = list(dict.fromkeys([*order, *values]))
     ends = rows.groupBy(*keys, "_chunk").agg(*[F.max_by(c, newest).alias(c) for c in carry])
@@ -125,7 +129,7 @@ def with_latest(
     if not cuts:
         return rows.withColumn(out, latest(*keys))
 
-    parts = _chunked(rows, ts, cuts)
+    parts = chunked(rows, ts, cuts)
     known = F.when(F.col(value).isNotNull(), newest)
     ends = parts.groupBy(*keys, "_chunk").agg(F.max_by(value, known).alias("_end"))
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)

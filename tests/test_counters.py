@@ -198,3 +198,18 @@ def test_string_sessions_in_a_long_log(spark):
     few, many = (
         sorted(within_recording(rows, windows, small_log=n).select("id", "session_id").collect()) for n in (1_000, 0))
     assert few == many and len(few) == 25
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 10_000])
+def test_a_long_log_meets_crowded_moments_and_rows_without_a_time(spark, size):
+    rng = random.Random(5)
+    changes = [(rng.choice("abc"), at(rng.choice([100, 100, rng.uniform(0, 5000)])), i) for i in range(80)]
+    times = [rng.uniform(-100, 6000) for _ in range(100)] + [100] * 300 + [4000] * 100
+    rows = [(i, at(t)) for i, t in enumerate(times)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "i int, event_ts timestamp")
+    got = label_by_scenario(df, log(spark, changes), small_log=0, rows_per_chunk=size).collect()
+    assert sorted(r["i"] for r in got) == sorted(i for i, _ in rows)
+    for r in got:
+        before = [c for c in changes if r["event_ts"] is not None and c[1] <= at(times[r["i"]])]
+        want = max(before, key=lambda c: (c[1], c[2]))[0] if before else "normal"
+        assert r["label"] == want
