@@ -10,6 +10,8 @@ from flowscope.functions import round_np, without_nan
 from flowscope.sizing import small_or_same
 
 BINS_PER_E = 4096
+#: equal parts that a bin with a wanted rank is cut into
+CELLS = 4_096
 
 
 def positive_or_all(df: DataFrame, col: str) -> DataFrame:
@@ -93,8 +95,8 @@ def exact_percentiles(df: DataFrame, by: str, col: str, probs: dict[str, float])
 
     The built-in exact ``percentile`` keeps every distinct value of a group in one buffer.
     Here a first pass counts values in fine bins of a rising function of the value, which
-    tells the bin that holds each wanted rank; a second pass sorts the distinct values of
-    those bins only. A group without any value gets nulls.
+    tells the bin that holds each wanted rank; a second pass counts again in equal cells of
+    those bins; a third one sorts the distinct values of the cells hit only. A group without any value gets nulls.
     """
     value = without_nan(F.col(col).cast("double"))
     values = (
@@ -103,12 +105,12 @@ def exact_percentiles(df: DataFrame, by: str, col: str, probs: dict[str, float])
         .withColumn("bin", F.floor(F.asinh(F.abs("v")) * F.signum("v") * F.lit(BINS_PER_E)))
     )
     histogram = values.groupBy(by, "bin").agg(
-        F.count("v").alias("n"), F.sum("v").alias("total"), F.max("v").alias("top"))
+        F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("top"))
 
     group = W.partitionBy(by)
     running = group.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     counted = histogram.select(
-        by, "bin", "n",
+        by, "bin", "n", "low", "top",
         (F.sum("n").over(running) - F.col("n")).alias("before"),
         F.sum("n").over(group).alias("size"),
         F.try_divide(F.sum("total").over(group), F.sum("n").over(group)).alias("mean"),
@@ -128,16 +130,29 @@ def exact_percentiles(df: DataFrame, by: str, col: str, probs: dict[str, float])
             (F.col("size") == 0)
             | ((F.col("lower") < F.col("before") + F.col("n")) & (F.col("upper") >= F.col("before")))
         )
-        .select(by, "bin", "before", "size", "mean", "max", "name", "lower", "upper")
+        .select(by, "bin", "before", "low", "top", "size", "mean", "max", "name", "lower", "upper")
     )
     ranks = small_or_same(ranks)
 
-    hit_bins = ranks.select(by, "bin", "before").distinct()
+    # values may crowd in one bin, so each that is hit is cut again between its own ends
+    hit_bins = ranks.select(by, "bin", "low", "top").distinct()
+    part = F.floor((F.col("v") - F.col("low")) / (F.col("top") - F.col("low")) * F.lit(CELLS))
+    cell = F.when(F.col("top") > F.col("low"), part).otherwise(F.lit(0)).alias("cell")
+    fine = values.join(hit_bins, [by, "bin"]).select(by, "bin", "v", cell)
+    cells = fine.groupBy(by, "bin", "cell").agg(F.count("*").alias("n"))
+    in_bin = W.partitionBy(by, "bin").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
+    hit_cells = (
+        cells.withColumn("less", F.sum("n").over(in_bin) - F.col("n"))
+        .join(ranks.select(by, "bin", "before", "lower", "upper"), [by, "bin"])
+        .withColumn("before", F.col("before") + F.col("less"))
+        .filter((F.col("lower") < F.col("before") + F.col("n")) & (F.col("upper") >= F.col("before")))
+        .select(by, "bin", "cell", "before").distinct()
+    )
     spread = (
-        values.join(hit_bins, [by, "bin"])
-        .groupBy(by, "bin", "before", "v").agg(F.count("*").alias("n"))
+        fine.join(small_or_same(hit_cells), [by, "bin", "cell"])
+        .groupBy(by, "bin", "cell", "before", "v").agg(F.count("*").alias("n"))
     )
-    within = W.partitionBy(by, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(by, "bin", "cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     placed = spread.withColumn("stop", F.col("before") + F.sum("n").over(within)).select(
         by, "bin", "v", (F.col("stop") - F.col("n")).alias("start"), "stop")
 

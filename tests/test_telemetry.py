@@ -154,3 +154,13 @@ def test_report_choice(spark):
     assert set(rp.report(m, t)) == {"ddos", "spoofing", "scanning", "infrastructure", "inference"}
     with pytest.raises(ValueError):
         rp.report(m, t, "normal")
+
+
+@pytest.mark.parametrize("low, high", [(0.0, 2e-4), (5.0, 5.0005), (-1e-6, 1e-6), (3.0, 3.0)])
+def test_percentiles_of_crowded_values(spark, low, high):
+    rng = random.Random(9)
+    values = [rng.uniform(low, high) for _ in range(2_000)] + [low, high, high, float("inf")]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    got = exact_percentiles(df, "g", "v", {"p1": 0.01, "median": 0.5, "p95": 0.95}).first()
+    want = np.percentile(values, [1, 50, 95])
+    assert np.allclose([got["p1"], got["median"], got["p95"]], want, rtol=1e-12, atol=0)
