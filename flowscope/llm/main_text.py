@@ -3,8 +3,9 @@
 A page is read into a tree. Elements that never hold an article, by their tag, role or the
 words of their class and id, are left out. Every paragraph then passes points for its length
 and its commas to its ancestors, less with each level; the share of a container's text that
-is in links lowers its score. The best container is kept, together with siblings that score
-well against it.
+is in links lowers its score. The best container is kept, or the whole article or main around it,
+together with siblings that score well against it or are running text with few links; under
+main all but lists of links.
 
 Reading follows what browsers do with the usual slips: tags that are never closed, quotes
 in attributes, ``<`` in text, scripts that hold tags.
@@ -301,7 +302,11 @@ def _favour(node: Node) -> float:
 
 
 def best_nodes(root: Node) -> list[Node]:
-    """The best container, or the article around it, and siblings that belong to it."""
+    """The best container, or the article around it, and siblings that belong to it.
+
+    Siblings are looked for on each level up to the element that holds every article and
+    main of the page, so that text beside an article and further articles stay.
+    """
     containers = score(root)
     if not containers:
         return []
@@ -313,26 +318,63 @@ def best_nodes(root: Node) -> list[Node]:
             around = node
         node = node.parent
     if around is not None:
-        return [around]
-    # a container whose parts share the text equally scores less than its parent
-    while top.parent is not None and worth.get(id(top.parent), 0.0) >= worth[id(top)] and top.parent.tag not in ("body", ""):
-        top = top.parent
+        top = around
+    else:
+        # a container whose parts share the text equally scores less than its parent
+        while top.parent is not None and worth.get(id(top.parent), 0.0) >= worth[id(top)] and top.parent.tag not in ("body", ""):
+            top = top.parent
     if top.tag in ("body", ""):
         return [top]
     least = max(10.0, 0.2 * worth[id(top)])
-    kept = []
-    for node in top.parent.children:
-        if node is top:
-            kept.append(node)
-        elif isinstance(node, Node) and node.tag in BLOCKS and node.size:
-            dense = link_density(node)
-            good = worth.get(id(node), 0.0) >= least
-            running = node.tag in PARAGRAPHS and (dense < 0.25 if node.size > 80 else dense == 0.0)
-            if good or running:
-                kept.append(node)
+    articles: dict[int, int] = {}  # with text, at or below each element
+    for node in reversed(in_order(root)):
+        below = sum(articles[id(c)] for c in node.children if isinstance(c, Node))
+        articles[id(node)] = below + (node.tag in ("article", "main") and node.size > 0)
+    above = [top.parent]
+    while articles[id(above[-1])] < articles[id(root)]:
+        above.append(above[-1].parent)
+    in_main, node = set(), top.parent  # the levels inside the outermost main
+    path = []
+    while node is not None:
+        path.append(id(node))
+        if node.tag == "main":
+            in_main = set(path)
+        node = node.parent
+
+    def belongs(node: Node, main: bool) -> bool:
+        dense = link_density(node)
+        if worth.get(id(node), 0.0) >= least or main and dense < 0.5:
+            return True
+        running = node.tag in PARAGRAPHS or articles.get(id(node), 0) > 0
+        return running and (dense < 0.25 if node.size > 80 else dense == 0.0)
+
+    kept, inner = [top], top
+    for parent in above:
+        main = id(parent) in in_main
+        kept = [x for part in _parts(parent, inner) for x in (
+            kept if part is inner else [part] if part.size and belongs(part, main) else [])]
+        inner = parent
     return kept
 
 
+def _parts(parent: Node, inner: Node) -> list[Node]:
+    """The blocks below ``parent`` and ``inner``; what runs between them is a paragraph each."""
+    parts: list[Node] = []
+    run: Node | None = None
+    for child in parent.children:
+        if child is inner or isinstance(child, Node) and child.tag in BLOCKS:
+            parts.append(child)
+            run = None
+            continue
+        if run is None:
+            run = Node("p", "", parent)
+            parts.append(run)
+        run.children.append(child)
+        run.size += len(" ".join(child.split())) if isinstance(child, str) else child.size
+        run.linked += 0 if isinstance(child, str) else child.linked
+    return parts
+
+
 def drop_link_lists(nodes: list[Node]) -> None:
     """Lists and tables inside the article that are mostly links are menus."""
     stack = list(nodes)

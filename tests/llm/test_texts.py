@@ -50,6 +50,27 @@ def test_main_text(page):
     assert main_text.main_text(page) == PAGES[page]
 
 
+BESIDE = {
+    # several articles, also a short one beside a long one and in wrappers of their own
+    "<body><article><p>One, two, three.</p></article><article><p>Four.</p></article></body>": "One, two, three. Four.",
+    "<body><div><div><article>" + "<p>Long, long, long, long.</p>" * 90 + "</article></div><div><article><p>Short.</p>"
+    "</article></div></div><div><a href=/>Home</a></div></body>": "Long, long, long, long. " * 90 + "Short.",
+    # text beside an article
+    "<main><p>lede</p><article><p>One, two.</p></article><p>rest</p></main>": "lede One, two. rest",
+    "<main>Loose <b>te</b>xt<div><article><p>One, two.</p></article><div>beside</div></div><section><p>rest, "
+    "<a href=/>see</a></p></section><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></main><footer>us</footer>":
+        "Loose text One, two. beside rest, see",
+    "<body><p>lede</p><article><p>One, two.</p></article><div><a href=/>More</a></div><p>rest</p></body>":
+        "lede One, two. rest",
+    "<main><p>One, two, three.</p></main><article><p>Four.</p></article>": "One, two, three. Four.",
+}
+
+
+@pytest.mark.parametrize("page", BESIDE, ids=range(len(BESIDE)))
+def test_main_text_beside_an_article(page):
+    assert main_text.main_text(page) == BESIDE[page]
+
+
 def test_extract_keeps_rows(spark):
     rows = [(i, "clash", page) for i, page in enumerate(PAGES)] + [(None, "clash", None)] * 2
     pages = spark.createDataFrame(rows, "page_id long, text string, html string")
