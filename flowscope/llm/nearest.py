@@ -11,7 +11,10 @@ the exact cosine.
 
 Equal vectors are one entry that carries its smallest ids, as many as can ever be returned,
 so copies neither crowd a bucket nor multiply a query. Buckets of the index are cut into
-blocks of bounded size, and every block is searched by the queries that visit it.
+blocks of bounded size, and every block is searched by the queries that visit it. Queries
+that find fewer than they asked for are then compared with all entries, block by block.
+
+Vectors of different length are not compared: each length is a table of its own.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from itertools import combinations, product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowscope.sizing import stored
+
 TABLES = 10
 PROJECTIONS = 5
 #: slot width, in units of the spread of a projection
@@ -125,35 +131,43 @@ def distinct_vectors(rows: DataFrame, copies: int, kind: str) -> DataFrame:
     return cut.groupBy("vector").agg(F.slice(F.array_sort(F.collect_list("id")), 1, copies).alias("ids"))
 
 
-def _index(hashes: Hashes) -> Callable:
+def _by_size(batches: Iterator[pa.RecordBatch], **how) -> Iterator[tuple[int, Hashes, pa.RecordBatch]]:
+    """The rows of one vector length at a time, with the directions for it."""
+    made: dict[int, Hashes] = {}
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("vector"))
+        for n in pc.unique(sizes).to_pylist():
+            if n not in made:
+                made[n] = Hashes(n, **how)
+            yield n, made[n], batch.filter(pc.equal(sizes, n))
+
+
+def _index(**how) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for n, hashes, batch in _by_size(batches, **how):
             slot, _ = hashes.slots(unit_rows(batch.column("vector")))
             buckets = bucket_numbers(slot)
             for t in range(hashes.tables):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(buckets[:, t]),
-                     batch.column("vector"), batch.column("ids")],
-                    names=["table", "bucket", "vector", "ids"])
+                    [pa.array(np.full(batch.num_rows, n, np.int32)), pa.array(np.full(batch.num_rows, t, np.int32)),
+                     pa.array(buckets[:, t]), batch.column("vector"), batch.column("ids")],
+                    names=["size", "table", "bucket", "vector", "ids"])
 
     return run
 
 
-def _probes(hashes: Hashes, probes: int) -> Callable:
+def _probes(probes: int, **how) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for size, hashes, batch in _by_size(batches, **how):
             buckets, _ = probe_buckets(hashes, unit_rows(batch.column("vector")), probes)
             n = buckets.shape[-1]
             at = pa.array(np.repeat(np.arange(batch.num_rows), n))
             for t in range(hashes.tables):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), t, np.int32)), pa.array(buckets[:, t].ravel()),
+                    [pa.array(np.full(len(at), size, np.int32)), pa.array(np.full(len(at), t, np.int32)),
+                     pa.array(buckets[:, t].ravel()),
                      batch.column("vector").take(at), batch.column("qid").take(at)],
-                    names=["table", "bucket", "vector", "qid"])
+                    names=["size", "table", "bucket", "vector", "qid"])
 
     return run
 
@@ -190,11 +204,36 @@ def _found(qid, vector_id, score, ids) -> pd.DataFrame:
 
 def _in_blocks(rows: DataFrame, crowded: DataFrame) -> DataFrame:
     """``rows`` with ``blocks``, the number of blocks of their bucket."""
-    more = crowded.toDF("_table", "_bucket", "_blocks")
-    here = (F.col("table") == F.col("_table")) & (F.col("bucket") == F.col("_bucket"))
+    more = crowded.toDF("_size", "_table", "_bucket", "_blocks")
+    here = (F.col("size") == F.col("_size")) & (F.col("table") == F.col("_table")) & (F.col("bucket") == F.col("_bucket"))
     return rows.join(more, here, "left").withColumn("blocks", F.coalesce("_blocks", F.lit(1).cast("long"))).drop(*more.columns)
 
 
+FOUND = "qid long, vector_id long, score double, ids array<long>"
+
+
+def _against_all(entries: DataFrame, asked: DataFrame, nearest: int) -> DataFrame:
+    """Candidates of the rows ``asked`` among all ``entries`` of their length.
+
+    Both sides are cut into blocks of about ``BLOCK`` rows, and every pair of blocks meets
+    in a group of its own.
+    """
+    def numbered(rows: DataFrame, by: str, name: str) -> tuple[DataFrame, DataFrame]:
+        sized = rows.withColumn("size", F.size("vector"))
+        blocks = sized.groupBy("size").agg(F.ceil(F.count("*") / BLOCK).alias(f"{name}s"))
+        return sized.join(blocks, "size").withColumn(name, F.pmod(F.xxhash64(by), F.col(f"{name}s"))), blocks
+
+    def every(name: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{name}s") - 1)).alias(name)
+
+    left, lefts = numbered(entries, "ids", "block")
+    right, rights = numbered(asked, "qid", "part")
+    left = left.drop("blocks").join(rights, "size").select("size", "block", "vector", "ids", every("part"))
+    right = right.drop("parts").join(lefts, "size").select("size", "part", "vector", "qid", every("block"))
+    cell = ["size", "block", "part"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_rank(nearest), FOUND)
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding",
     nearest: int = 5, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH,
@@ -205,44 +244,58 @@ def search(
     Returns ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``, the cosine in double
     precision; ties go to the smaller id. A row is never its own neighbour: candidates have
     another ``key``. Vectors that are null, zero, or hold null or non-finite components take
-    no part, nor do rows with a null key; of repeated keys each counts. All vectors must have
-    the dimension of the first; an empty table or an empty query set gives no rows.
+    no part, nor do rows with a null key; of repeated keys each counts. A query is compared
+    with vectors of its own length. It has fewer than ``nearest`` rows only where there are
+    fewer candidates: then, and where its buckets hold too few, it is compared with all.
     """
     rows, asked = _usable(vectors, key, vector), _usable(queries, key, vector)
-    head = rows.select(F.size("vector").alias("n")).first()
-    result = "query_id long, rank int, vec_id long, score double"
-    if head is None:
-        return vectors.sparkSession.createDataFrame([], result)
     kind = rows.schema["vector"].dataType.elementType.simpleString()
     kind = "float" if kind == "float" else "double"
-    hashes = Hashes(head["n"], tables, projections, width)
-    same = F.size("vector") == head["n"]
-    index = distinct_vectors(rows.filter(same), nearest + 1, kind).mapInArrow(
-        _index(hashes), f"table int, bucket long, vector array<{kind}>, ids array<long>")
+    how = {"tables": tables, "projections": projections, "width": width}
+    entries = distinct_vectors(rows, nearest + 1, kind)
+    index = entries.mapInArrow(
+        _index(**how), f"size int, table int, bucket long, vector array<{kind}>, ids array<long>")
     # one search for each different query vector, whose number is its smallest id
-    probing = asked.filter(same).withColumn("vector", _same_bits("vector", kind))
+    probing = asked.withColumn("vector", _same_bits("vector", kind))
     groups = probing.groupBy("vector").agg(F.min("id").alias("qid"))
     visits = groups.mapInArrow(
-        _probes(hashes, probes), f"table int, bucket long, vector array<{kind}>, qid long")
+        _probes(probes, **how), f"size int, table int, bucket long, vector array<{kind}>, qid long")
     crowded = (
-        index.groupBy("table", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
-        .select("table", "bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+        index.groupBy("size", "table", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+        .select("size", "table", "bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     index = _in_blocks(index, crowded).withColumn(
-        "block", F.pmod(F.xxhash64("ids"), F.col("blocks"))).select("table", "bucket", "block", "vector", "ids")
+        "block", F.pmod(F.xxhash64("ids"), F.col("blocks"))).select("size", "table", "bucket", "block", "vector", "ids")
     visits = _in_blocks(visits, crowded).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    ).select("table", "bucket", "block", "vector", "qid")
-    cell = ["table", "bucket", "block"]
-    candidates = index.groupBy(*cell).cogroup(visits.groupBy(*cell)).applyInPandas(
-        _rank(nearest), "qid long, vector_id long, score double, ids array<long>")
+    ).select("size", "table", "bucket", "block", "vector", "qid")
+    cell = ["size", "table", "bucket", "block"]
+    candidates = index.groupBy(*cell).cogroup(visits.groupBy(*cell)).applyInPandas(_rank(nearest), FOUND)
+    members = probing.select("vector", F.col("id").alias("query_id")).join(groups, "vector").select("qid", "query_id")
+    # read for the result and for the queries that have too few
+    best = stored(_best(candidates, nearest))
+    others = _pairs(members, best).groupBy("qid", "query_id").agg(F.count("*").alias("n"))
+    few = stored(
+        members.distinct().join(others, ["qid", "query_id"], "left")
+        .filter(F.coalesce("n", F.lit(0)) < nearest).select("qid").distinct())
+    if not few.isEmpty():
+        alone = _against_all(entries, groups.join(few, "qid"), nearest)
+        best = _best(best.unionByName(alone), nearest)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return _pairs(members, best).withColumn("rank", rank).filter(
+        F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(candidates: DataFrame, nearest: int) -> DataFrame:
+    """The best entries of each query; one that was found in several buckets counts once."""
     merged = candidates.groupBy("qid", "vector_id").agg(
         F.max("score").alias("score"), F.first("ids").alias("ids"))
-    best = merged.withColumn("nth", F.row_number().over(
-        W.partitionBy("qid").orderBy(F.desc("score"), "vector_id"))).filter(F.col("nth") <= nearest + 1)
-    members = probing.select("vector", F.col("id").alias("query_id")).join(groups, "vector").select("qid", "query_id")
-    pairs = (
+    return merged.withColumn("nth", F.row_number().over(
+        W.partitionBy("qid").orderBy(F.desc("score"), "vector_id"))).filter(F.col("nth") <= nearest + 1).drop("nth")
+
+
+def _pairs(members: DataFrame, best: DataFrame) -> DataFrame:
+    """Each query row with the rows found for its vector, without itself."""
+    return (
         members.join(best, "qid")
-        .select("query_id", "score", F.explode("ids").alias("vec_id"))
+        .select("qid", "query_id", "score", F.explode("ids").alias("vec_id"))
         .filter(F.col("query_id") != F.col("vec_id")))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

@@ -46,6 +46,47 @@ def test_nearest_on_odd_rows(spark):
     assert nearest.search(table.limit(0), table).collect() == []
 
 
+def nearest_of(table):
+    got = defaultdict(list)
+    for r in nearest.search(table, table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    return got
+
+
+def opposed(rng, n, size):
+    base = rng.normal(size=size)
+    return [(base * (-1) ** i + 0.3 * rng.normal(size=size)).tolist() for i in range(n)]
+
+
+def test_nearest_in_a_small_table(spark):
+    rows = list(enumerate(opposed(np.random.default_rng(6), 6, 8)))
+    got = nearest_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {i: got[i] for i, _ in rows} == {i: brute_nearest(rows, i) for i, _ in rows}
+
+
+def test_nearest_in_small_tables_of_each_length(spark):
+    rng = np.random.default_rng(7)
+    tables = {n: [(100 * n + i, v) for i, v in enumerate(opposed(rng, n, 3 + n))] for n in range(1, 11)}
+    got = nearest_of(spark.createDataFrame(sum(tables.values(), []), "vec_id long, embedding array<double>"))
+    for n, rows in tables.items():
+        own = {i for i, _ in rows}
+        for i, _ in rows:
+            assert len(got[i]) == min(5, n - 1) and set(got[i]) <= own - {i}, i
+            assert n > 6 or got[i] == brute_nearest(rows, i), i
+
+
+def test_nearest_alone_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(30, 6)).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    # slots so narrow that no bucket holds two vectors
+    for r in nearest.search(table, table, probes=1, width=1e-6, tables=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert {i: got.get(i, []) for i, _ in rows} == {i: brute_nearest(rows, i) for i, _ in rows}
+
+
 def test_nearest_recall(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()]
     got = defaultdict(set)
