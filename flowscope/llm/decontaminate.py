@@ -9,13 +9,15 @@ ranks. Occurrences are located by walking back to a sampled position, and the wo
 cover are merged into spans.
 
 Shards are independent, so nothing is shuffled: the test set goes to the documents. It is
-broadcast in blocks of at most ``BLOCK_WORDS`` words, whatever its size.
+broadcast in blocks of at most ``BLOCK_WORDS`` words, whatever its size. With more than one
+block the rows are numbered and written to the shared folder, and the blocks' results are
+put together by that number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.sizing import stored
+
 WINDOW = 10
 #: words of one shard; a single longer document is a shard by itself
 SHARD_WORDS = 500_000
@@ -299,25 +303,37 @@ def find_items(
     the merged word ranges ``[begin, end)`` of the document that lie in occurrences of
     phrases, ``items`` the sorted items with such phrases. Null texts have no words and
     items with a null id or text are ignored; an empty test set hits nothing. Of a repeated ``item`` all texts count. Rows keep
-    their multiplicity and each needs its own ``key`` only if the test set takes more than
-    one block, whose results are put together by ``key``.
+    their multiplicity, also with a repeated or null ``key``, whatever the size of the test set.
     """
-    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, {RESULT}"
-    parts = [
-        rows.mapInArrow(_search(context.broadcast(Phrases(block, window))), schema)
-        for block in _blocks(benchmark, item, item_text)]
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    if len(parts) > 1:
-        found = found.groupBy("key").agg(
+    return _find(rows, "key", "text", _blocks(benchmark, item, item_text), window).withColumnRenamed("key", key)
+
+
+def _find(rows: DataFrame, key: str, text: str, blocks: Iterator[list[tuple]], window: int) -> DataFrame:
+    """``key`` as it is in ``rows``, and what the search for all blocks returns."""
+    context = rows.sparkSession.sparkContext
+
+    def search(rows: DataFrame, key: str, block: list[tuple]) -> DataFrame:
+        rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        schema = f"key {rows.schema['key'].dataType.simpleString()}, {RESULT}"
+        return rows.mapInArrow(_search(context.broadcast(Phrases(block, window))), schema)
+
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = search(rows, key, first).withColumnRenamed("key", key)
+    else:
+        # written once, so that all blocks see the same numbers
+        numbered = stored(rows.withColumn("number", F.monotonically_increasing_id()))
+        found = None
+        for block in chain([first, second], blocks):
+            more = search(numbered, "number", block)
+            found = more if found is None else found.unionByName(more)
+        found = found.groupBy(F.col("key").alias("number")).agg(
             F.max("n_words").alias("n_words"),
             merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.flatten(F.collect_list("items")).alias("items"))
-    return found.select(
-        F.col("key").alias(key), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
+        found = numbered.select("number", key).join(found, "number")
+    return found.select(key, "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def merged_spans(spans):
@@ -343,7 +359,9 @@ def hit_words(spans="spans"):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` without any test phrase, with all their columns.
 
-    Whole rows go through the search, so nothing is joined and rows need no key.
+    Whole rows go through the search, so rows need no key. Only with a test set of several
+    blocks they are joined with what was found, by a number of their own.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return find_items(rows, benchmark, "row").filter(F.size("spans") == 0).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = _find(rows, "row", f"row.`{text}`", _blocks(benchmark, "item_id", "text"), WINDOW)
+    return found.filter(F.size("spans") == 0).select("row.*")

@@ -182,6 +182,24 @@ def test_find_items(spark, monkeypatch):
     assert decontaminate.decontaminated(docs, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize("block_words", [4, 1_000_000])
+def test_rows_keep_their_multiplicity(spark, monkeypatch, block_words):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(decontaminate, "WINDOW", 3)  # of decontaminated()
+    items = [(1, "one two three four"), (2, "three four five six"), (3, "Hi")]
+    rows = [(None, "one two three four"), (None, "four five six"), (None, "clean"), (None, "clean"), (None, None),
+            (7, "hi"), (7, "hi"), (7, "other"), (7, "one two three four five six"), (8, "x"), (8, "x"), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_force([t for _, t in rows], items, 3)
+    found = decontaminate.find_items(docs, bench, window=3).withColumn("hit", decontaminate.hit_words())
+    got = [(r.doc_id, r.n_words, r.hit, r["items"]) for r in found.collect()]
+    assert sorted(map(str, got)) == sorted(str((i, n, h, sorted(x))) for (i, _), (n, h, x) in zip(rows, want))
+    clean = [row for row, (_, h, _) in zip(rows, want) if not h]
+    got = decontaminate.decontaminated(docs, bench, "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, clean))
+
+
 # --- language ------------------------------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
