@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import bpe_chunks, decontaminate, jaccard_join, language_id, main_text, nearest, reply_trees, token_counts
+from flowscope.llm import bpe_chunks, decontaminate, jaccard_join, language_id, main_text, nearest, reply_trees, sentence_pieces, token_counts
 from flowscope.llm.sharding import shard_documents
 from flowscope.llm.url_filters import judge_urls
 
@@ -109,6 +109,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentence_pieces.encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, q in globals().items() if name.startswith("op") and name[2].isdigit()}
 
