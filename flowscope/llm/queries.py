@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import bpe_chunks, decontaminate, jaccard_join, language_id, main_text, nearest, reply_trees, sentence_pieces, token_counts
+from flowscope.llm import bpe_chunks, decontaminate, jaccard_join, language_id, main_text, nearest, reply_trees, sentence_pieces, token_alignment, token_counts, whitening
 from flowscope.llm.sharding import shard_documents
 from flowscope.llm.url_filters import judge_urls
 
@@ -117,6 +117,22 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    white = whitening.whiten(vectors, whitening.fit(vectors))
+    return white.select(
+        "vec_id", "n", "deviation", "identity_error",
+        F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "on")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "on.whitened", "on.explained", "identity_error")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align(
+        _table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"),
+        kept=lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256)))
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, q in globals().items() if name.startswith("op") and name[2].isdigit()}
 
