@@ -31,8 +31,8 @@ SCALE, SHIFT = 64, 1_000_000
 LARGEST = 2.0 ** 56
 #: components of a result
 COMPONENTS = 16
-#: entries worked on at once
-SLICE = 2_000_000
+#: entries worked on at once, and entries that are worth a task with sums of its own
+SLICE, TASK = 2_000_000, 8_000_000
 #: steps of the iteration, which ends earlier when nothing changes any more
 STEPS = 16
 
@@ -229,11 +229,19 @@ def _solved(a: np.ndarray, basis: np.ndarray, size_a) -> tuple[np.ndarray, float
 # --- learning and applying -------------------------------------------------------------------
 
 
-def _covariance(n: int, sums: list[int], centre: list[int], products: list[int]) -> list[list[Fraction]]:
+def _covariance(n: int, sums: list[int], centre: list[int], products: np.ndarray) -> list[list[Fraction]]:
     """From sums over the rows of products of entries less whole-number means, exactly."""
     dims, rest = len(sums), [s - n * m for s, m in zip(sums, centre)]
     return [
-        [Fraction(n * products[i * dims + j] - rest[i] * rest[j], n * n) for j in range(dims)] for i in range(dims)]
+        [Fraction(n * products[i, j] - rest[i] * rest[j], n * n) for j in range(dims)] for i in range(dims)]
+
+
+def _squared(cells: list, dims: int, kind: type) -> np.ndarray:
+    """The symmetric matrix of its upper triangle."""
+    whole, upper = np.empty((dims, dims), kind), np.triu_indices(dims)
+    whole[upper] = cells
+    whole.T[upper] = cells
+    return whole
 
 
 def _high(x: Fraction):
@@ -247,9 +255,10 @@ def _learned(vectors: DataFrame, dims: int, n: int) -> Whitening:
     sums = _totals(vectors, dims, dims, lambda rows: rows.astype(object).sum(0), "decimal(38,0)")
     means = [s // n for s in sums]
     centre = np.array(means, np.int64)
+    upper = np.triu_indices(dims)
     products = _totals(
-        vectors, dims, dims * dims, lambda rows: _exact_product(rows - centre).reshape(-1), "decimal(38,0)")
-    covariance = _covariance(n, sums, means, products)
+        vectors, dims, len(upper[0]), lambda rows: _exact_product(rows - centre)[upper], "decimal(38,0)")
+    covariance = _covariance(n, sums, means, _squared(products, dims, object))
     values, axes = refined_eigen(np.array([[_high(x) for x in row] for row in covariance], _HIGH).reshape(dims, dims))
     # below the rounding of the largest one an eigenvalue is no variance
     values = np.where(values > dims * np.finfo(np.float64).eps * values[0], values, 0.0)
@@ -272,12 +281,14 @@ def _identity_error(vectors: DataFrame, dims: int, model: Whitening) -> float |
     white = lambda rows: model.whitened(rows)[:, :k]
     means = np.array(_totals(vectors, dims, k, lambda rows: white(rows).sum(0), "double")) / model.n
 
+    upper = np.triu_indices(k)
+
     def products(rows):
         centred = white(rows) - means
-        return (centred.T @ centred).reshape(-1)
+        return (centred.T @ centred)[upper]
 
-    cells = np.array(_totals(vectors, dims, k * k, products, "double")) / model.n
-    return float(np.abs(cells.reshape(k, k) - np.eye(k)).max())
+    found = _squared(_totals(vectors, dims, len(upper[0]), products, "double"), k, np.float64) / model.n
+    return float(np.abs(found - np.eye(k)).max())
 
 
 def fit(vectors: DataFrame, vector: str = "embedding") -> dict[int, Whitening]:
@@ -291,9 +302,13 @@ def fit(vectors: DataFrame, vector: str = "embedding") -> dict[int, Whitening]:
     columns = vectors.select(F.col(vector).cast("array<double>").alias("vector"))
     different = stored(columns.mapInArrow(_pack, "dims int, packed binary").distinct())
     numbers = {r.dims: r["n"] for r in different.groupBy("dims").agg(F.count("*").alias("n")).collect()}
-    return {
-        dims: _learned(different.filter(F.col("dims") == dims).select("packed"), dims, n)
-        for dims, n in sorted(numbers.items())}
+
+    def of_length(dims: int) -> DataFrame:
+        # a task's sums are as many numbers as pairs of dimensions, whatever its rows are
+        tasks = -(-numbers[dims] * dims // TASK)
+        return different.filter(F.col("dims") == dims).select("packed").coalesce(tasks)
+
+    return {dims: _learned(of_length(dims), dims, n) for dims, n in sorted(numbers.items())}
 
 
 def _apply(models: dict[int, Whitening]) -> Callable:
