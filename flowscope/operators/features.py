@@ -45,6 +45,27 @@ def _row_hash(df: DataFrame, key: str | None, seed: int) -> Column:
     return F.md5(F.concat_ws("|", text, F.lit(str(seed))))
 
 
+def class_shares(sizes: DataFrame, test: float = TEST_SIZE) -> DataFrame:
+    """Add ``share``, the test rows of each class, to (_class, n): ceil(test * rows) in all.
+
+    The train side is shared out first, as the usual library does: each class gets the whole
+    part of its proportional share, and what is left goes to the largest remainders. Of equal
+    ones the first class name gets it; the library draws. One row per class, so no group is large.
+    """
+    every = W.partitionBy()
+    n = F.sum("n").over(every)
+    train = n - F.ceil(n * F.lit(float(test)))
+    largest = W.orderBy(F.desc("_rest"), "_class")
+    return (
+        sizes.withColumns({"_n": n, "_train": train})
+        .withColumn("_whole", F.expr("CAST(n AS DECIMAL(19,0)) * CAST(_train AS DECIMAL(19,0)) div _n"))
+        .withColumn("_rest", F.expr("CAST(n AS DECIMAL(19,0)) * CAST(_train AS DECIMAL(19,0)) % _n"))
+        .withColumn("_left", (F.col("_train") - F.sum("_whole").over(every)).cast("long"))
+        .withColumn("_more", (F.row_number().over(largest) <= F.col("_left")).cast("long"))
+        .select("_class", "n", (F.col("n") - F.col("_whole") - F.col("_more")).alias("share"))
+    )
+
+
 def stratified_split(
     df: DataFrame,
     label: str = "label",
@@ -52,9 +73,13 @@ def stratified_split(
     seed: int = SEED,
     key: str | None = None,
     prefix: int = 4,
+    totals: str = "per_class",
 ) -> DataFrame:
     """Add ``split``: the ``test`` share of each class with the lowest hashes is ``test``.
 
+    With ``totals`` "per_class" each class's share is rounded by itself. With "overall" the
+    test side has ceil(test * rows) rows in all, see ``class_shares``.
+
     Exact per class, without ranking a class in one task: counts per hash prefix find the
     prefix where the class reaches its share, and only the rows of that prefix are ranked,
     which gives one border hash per class. The table itself is then split by a projection.
@@ -66,10 +91,16 @@ def stratified_split(
 
     running = W.partitionBy("_class").orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)
     counts = hashed.groupBy("_class", "_prefix").agg(F.count("*").alias("n"))
-    share = F.floor(F.sum("n").over(W.partitionBy("_class")) * F.lit(float(test)) + F.lit(0.5))
+    if totals == "per_class":
+        share = F.floor(F.sum("n").over(W.partitionBy("_class")) * F.lit(float(test)) + F.lit(0.5))
+        counts = counts.withColumn("share", share)
+    elif totals == "overall":
+        sizes = counts.groupBy("_class").agg(F.sum("n").alias("n"))
+        counts = counts.join(small_or_same(class_shares(sizes, test)).drop("n"), "_class")
+    else:
+        raise ValueError('totals must be "per_class" or "overall"')
     border_prefix = (
         counts.withColumn("upto", F.sum("n").over(running))
-        .withColumn("share", share)
         .withColumn("before", F.col("upto") - F.col("n"))
         .filter((F.col("before") < F.col("share")) & (F.col("share") <= F.col("upto")))
         .select("_class", "_prefix", (F.col("share") - F.col("before")).alias("need"))

@@ -139,6 +139,23 @@ split AS (
   SELECT *, CASE WHEN rn <= floor(n * 2e-1 + 5e-1) THEN 'test' ELSE 'train' END AS split
   FROM ranked)"""
 
+# ceil(0.33 n) test rows in all, the train side shared out by largest remainders
+SPLIT_OVERALL = METRICS + """,
+sizes AS (
+  SELECT scenario, count(*) AS n, sum(count(*)) OVER () AS total FROM metrics GROUP BY scenario),
+train AS (
+  SELECT *, total - CAST(ceil(total * 33e-2) AS BIGINT) AS draws FROM sizes),
+parts AS (
+  SELECT *, n * draws // total AS whole, n * draws % total AS rest FROM train),
+shares AS (
+  SELECT scenario, n - whole - CASE WHEN row_number() OVER (ORDER BY rest DESC, scenario)
+      <= draws - sum(whole) OVER () THEN 1 ELSE 0 END AS share
+  FROM parts),
+split AS (
+  SELECT event_id, m.scenario, CASE WHEN row_number() OVER (
+      PARTITION BY m.scenario ORDER BY md5(event_id || '|42')) <= share THEN 'test' ELSE 'train' END AS split
+  FROM metrics m JOIN shares USING (scenario))"""
+
 SCALED = SPLIT + """,
 stats AS (
   SELECT avg(pkt_rate) AS pm, stddev_pop(pkt_rate) AS ps,
@@ -228,6 +245,17 @@ ranked AS (
 held_out AS (SELECT * FROM ranked WHERE rn <= floor(n * 2e-1 + 5e-1)),
 models AS (SELECT unnest(['Logistic_Regression', 'Decision_Tree', 'Random_Forest']) AS "Model")"""
 
+# flows whose class shows in their rates, so that every model has to find it
+TOLD = EV + f""",
+told AS (
+  SELECT event_id, user_id, {NAMES}[user_id % 4 + 1] AS label,
+         CASE WHEN user_id % 4 IN (1, 2) THEN 1e3 ELSE 1e1 END + k / 1e1 AS pkts_per_s,
+         CASE WHEN user_id % 4 IN (1, 3) THEN 5e3 ELSE 5e1 END + k / 1e1 AS byts_per_s
+  FROM ev),
+told_sizes AS (
+  SELECT label, floor(count(*) * 2e-1 + 5e-1) AS n FROM told GROUP BY label),
+models AS (SELECT unnest(['Logistic_Regression', 'Decision_Tree', 'Random_Forest']) AS "Model")"""
+
 KNOWN = "SELECT vec_id, label_index, TRUE AS known FROM held_out"
 SAME = "SELECT vec_id, label_index, TRUE AS same FROM held_out"
 MEASURED = 'SELECT "Model", TRUE AS measured FROM models'
@@ -248,6 +276,10 @@ def oracle_sql() -> dict[str, str]:
                    byte_count, priority, hard_timeout, idle_timeout, flags FROM fs"""),
         "append_raw_flows": _q(RECORDED_FEATURES, ASOF_LABEL.format(cols=FEATURES, table="gated")),
         "read_raw_flows": _q(RECORDED_FEATURES, ASOF_LABEL.format(cols=FEATURES, table="gated")),
+        "split_raw_flows": _q(RECORDED_FEATURES, ASOF_LABEL.format(
+            cols=FEATURES, table="(SELECT * FROM gated WHERE packet_count % 10 <> 3)")),
+        "malformed_raw_flows": _q(RECORDED_FEATURES, "SELECT label, count(*) AS n FROM (" + ASOF_LABEL.format(
+            cols="packet_count", table="(SELECT * FROM gated WHERE packet_count % 10 = 3)") + ") GROUP BY label"),
         "append_metrics": _q(METRICS, METRIC_ROWS),
         "read_metrics_timing": _q(METRICS, """
             SELECT scenario, count(*) AS samples, min("timestamp") AS first_event,
@@ -264,6 +296,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT flow_key, count(*) AS samples FROM fs GROUP BY flow_key"""),
         "counter_deltas": _q(_deltas(True), DELTA_COLS),
         "counter_deltas_chunked": _q(_deltas(True), DELTA_COLS),
+        "counter_deltas_hot_keys": _q(_deltas(True), DELTA_COLS),
         "counter_deltas_sessions": _q(
             _deltas(True, sessions=True), DELTA_COLS),
         "min_gap": _q(_deltas(True), DELTA_COLS + " WHERE dt > 600"),
@@ -292,6 +325,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT seq, dpid, in_port, eth_src, eth_dst, out_port FROM decided"""),
         "forwarding_decisions_chunked": _q(PACKETS, """
             SELECT seq, dpid, in_port, eth_src, eth_dst, out_port FROM decided"""),
+        **{name: _q(PACKETS, """
+            SELECT seq, dpid, in_port, eth_src, eth_dst, out_port FROM decided""")
+           for name in ("forwarding_decisions_hot_keys", "stream_forwarding_decisions",
+                        "stream_forwarding_decisions_salted")},
+        "keep_last_known_port": _q(PACKETS, """
+            SELECT dpid, eth_src, arg_max(in_port, seq) AS port FROM packets GROUP BY ALL"""),
+        "keep_live_devices": _q(EV, """
+            SELECT user_id AS dpid FROM ev GROUP BY user_id
+            HAVING arg_max(event_type, event_id) <> 'error'"""),
         "rule_worthy": _q(PACKETS, """
             SELECT DISTINCT dpid, in_port, eth_dst, out_port, 1 AS priority
             FROM decided WHERE out_port <> 'FLOOD'"""),
@@ -345,6 +387,14 @@ def oracle_sql() -> dict[str, str]:
             FROM metrics GROUP BY ALL"""),
         "unique_port_rate": _q(METRICS, "SELECT time_bin, ports_per_sec FROM rates"),
         "inference_stats": _q(METRICS, INFERENCE),
+        **{name: _q(METRICS, """
+            SELECT scenario, floor(scenario_time_sec / 86400e0) * 86400e0 AS time_bin,
+                   count(DISTINCT dst_port) / 86400e0 AS ports_per_sec
+            FROM rel GROUP BY ALL""") for name in ("stream_unique_port_rate", "sketched_port_rate")},
+        "sketched_inference_stats": _q(METRICS, f"""
+            SELECT scenario, count(*) AS n, {rint("avg(inference_time_ms)", 3)} AS mean,
+                   max(inference_time_ms) AS max, TRUE AS median_near, TRUE AS p95_near
+            FROM metrics GROUP BY scenario"""),
         "min_event_time": _q(METRICS, """
             SELECT scenario, min("timestamp") AS min_timestamp FROM metrics GROUP BY scenario"""),
         "class_summary": _q(METRICS, """
@@ -356,6 +406,7 @@ def oracle_sql() -> dict[str, str]:
         "encode_label": _q(METRICS, """
             SELECT event_id, CAST(dense_rank() OVER (ORDER BY scenario) - 1 AS DOUBLE)
                    AS label_index FROM metrics"""),
+        "stratified_split_overall": _q(SPLIT_OVERALL, "SELECT event_id, scenario, split FROM split"),
         "stratified_split": _q(SPLIT, "SELECT event_id, scenario, split FROM split"),
         "assemble": _q(EV, """
             SELECT event_id, value AS first, CAST(k AS DOUBLE) AS second FROM ev"""),
@@ -379,6 +430,22 @@ def oracle_sql() -> dict[str, str]:
         "train_tree": _q(VECTORS, KNOWN),
         "train_forest": _q(VECTORS, KNOWN),
         "predict": _q(VECTORS, KNOWN),
+        "predict_reloaded": _q(TOLD, """
+            SELECT "Model", label, CAST(dense_rank() OVER (PARTITION BY "Model" ORDER BY label) - 1 AS DOUBLE)
+                     AS predicted, CAST(n AS BIGINT) AS n
+            FROM models, told_sizes"""),
+        "learning_run": _q(TOLD, """
+            SELECT "Model", 1e0 AS "Accuracy", 1e0 AS "Precision", 1e0 AS "Recall", 1e0 AS "F1-Score",
+                   (SELECT CAST(sum(n) AS BIGINT) FROM told_sizes) AS test_rows,
+                   "Model" = 'Logistic_Regression' AS winner
+            FROM models"""),
+        "score_flows_winner": _q(TOLD, "SELECT event_id, label AS predicted_label FROM told"),
+        "emit_metrics_winner": _q(TOLD, f"""
+            SELECT CAST(user_id % 3 + 1 AS BIGINT) AS dpid, CAST(user_id AS VARCHAR) AS eth_src,
+                   {rint("pkts_per_s", 2)} AS pkt_rate, {rint("byts_per_s", 2)} AS byte_rate,
+                   label AS predicted_label, CASE WHEN label <> 'normal' THEN 'DROP' ELSE 'ALLOW' END AS action_taken,
+                   label AS scenario, label <> 'normal' AS late
+            FROM told"""),
         "save_model": _q(VECTORS, SAME),
         "export_winner": _q(VECTORS, SAME),
         "training_cost": _q(VECTORS, MEASURED),
@@ -434,6 +501,19 @@ def oracle_sql() -> dict[str, str]:
         "run_summary": _q(METRICS, """
             SELECT scenario, predicted_label, action_taken, count(*) AS samples
             FROM metrics GROUP BY ALL"""),
+        "report_scenario": _q(METRICS, """
+            SELECT 'scanning' AS report, CAST(NULL AS VARCHAR) AS name, time_bin AS first,
+                   ports_per_sec AS second, CAST(drops AS DOUBLE) AS third FROM rates"""),
+        "report_values": _q(METRICS, f"""
+            SELECT scenario AS report, CAST(NULL AS VARCHAR) AS name, scenario_time_sec AS first,
+                   pkt_rate AS second, CASE WHEN action_taken = 'DROP' THEN 1e0 ELSE 0e0 END AS third
+            FROM rel WHERE scenario IN ('ddos', 'spoofing')
+            UNION ALL SELECT 'scanning', NULL, time_bin, ports_per_sec, CAST(drops AS DOUBLE) FROM rates
+            UNION ALL SELECT 'infrastructure', NULL,
+                   "timestamp" - (SELECT min(battery_start_time) FROM timing), cpu_percent,
+                   CASE WHEN mitigation_latency_ms > 0 THEN mitigation_latency_ms END FROM metrics
+            UNION ALL SELECT 'inference', scenario, mean, median, p95 FROM ({INFERENCE})"""),
+        "telemetry_log": _q(METRICS, TIMELINE.format("ddos")),
         "report": _q(METRICS, """
             SELECT 'ddos' AS report, count(*) AS n FROM rel WHERE scenario = 'ddos'
             UNION ALL SELECT 'spoofing', count(*) FROM rel WHERE scenario = 'spoofing'

@@ -20,13 +20,16 @@ from flowscope.operators import features as ft
 from flowscope.operators import intervals as iv
 from flowscope.operators import models as md
 from flowscope.operators import packets as pk
+from flowscope.operators import sketches as sk
 from flowscope.operators import telemetry as tm
 from flowscope.plans import capture as cap
 from flowscope.plans import learning as ln
 from flowscope.plans import reports as rp
-from flowscope.schemas import DEFAULT_SCENARIO, SCENARIOS
+from flowscope.schemas import DEFAULT_SCENARIO, IDENTITY, MODEL_NAMES, PACKET_IN, SCENARIOS
 from flowscope.sizing import scratch_dir
 from flowscope.streaming import counters as sc
+from flowscope.streaming import packets as sp
+from flowscope.streaming import port_rate as spr
 from flowscope.streaming import scoring as ss
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +40,8 @@ DELTAS = ["flow_key", "event_id", "dt", "prev_packet_count", "prev_byte_count",
 RATES = ["flow_key", "event_id", "pkts_per_s", "byts_per_s", "pkt_len_mean"]
 # few rows per chunk, so that small tables cross chunk borders too
 SMALL_CHUNK = 1_000
+# fewer rows than many keys have, so that these are cut
+TINY_CHUNK = 25
 
 
 # --- shared inputs ---------------------------------------------------------------------
@@ -331,6 +336,155 @@ def emit_metrics(s: SparkSession, d: str) -> DataFrame:
         ((late == attack) & (F.col("inference_time_ms") >= 0)).alias("timed"))
 
 
+def _in_slices(s: SparkSession, rows: DataFrame, time: str, name: str, start: Callable, slices: int = 3) -> str:
+    """Write ``rows`` step by step, and drain them by a stream that is started anew each time.
+
+    ``time`` is an expression for whole numbers. ``start(stream, path)`` begins the query with
+    its checkpoint under ``path``.
+    """
+    us = F.expr(time)
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", sc.ROCKSDB)
+    path = scratch_dir(s, name)
+    first, last = rows.agg(F.min(us), F.max(us)).first()
+    step = ((last or 0) - (first or 0)) // slices + 1
+    part = F.floor((us - F.lit(first or 0)) / F.lit(step))
+    for i in range(slices):
+        rows.filter(part == i).write.mode("append").parquet(f"{path}/in")
+        start(s.readStream.schema(rows.schema).parquet(f"{path}/in"), path).awaitTermination()
+    return path
+
+
+def _packet_rows(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([], PACKET_IN).unionByName(tv.packet_in(s, d))
+
+
+EVENT_US = "unix_micros(event_ts)"
+
+
+def stream_forwarding_decisions(s: SparkSession, d: str, salts: int = 1) -> DataFrame:
+    """Packets in slices, and a discovery frame an hour later that lets the last ones be decided."""
+    rows = _packet_rows(s, d)
+    end = rows.agg(F.max("event_ts").alias("event_ts")).filter("event_ts IS NOT NULL").select(
+        (F.col("event_ts") + F.expr("INTERVAL 1 HOUR")).alias("event_ts"), F.lit(-1).cast("long").alias("seq"),
+        F.lit(0x88CC).cast("int").alias("ethertype"))
+
+    def start(stream: DataFrame, path: str):
+        return (
+            sp.stream_forwarding_decisions(stream, salts=salts).writeStream.format("parquet")
+            .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows"))
+
+    path = _in_slices(s, rows.unionByName(end, allowMissingColumns=True), EVENT_US, "stream-decisions", start)
+    return s.read.parquet(f"{path}/rows").select("seq", "dpid", "in_port", "eth_src", "eth_dst", "out_port")
+
+
+def keep_last_known_port(s: SparkSession, d: str) -> DataFrame:
+    path = _in_slices(
+        s, _packet_rows(s, d), EVENT_US, "port-table",
+        lambda stream, path: sp.keep_last_known_port(stream, f"{path}/table", f"{path}/checkpoint"))
+    return sp.port_table(s, f"{path}/table").read()
+
+
+def keep_live_devices(s: SparkSession, d: str) -> DataFrame:
+    path = _in_slices(
+        s, tv.device_state(s, d), EVENT_US, "device-table",
+        lambda stream, path: sp.keep_live_devices(stream, f"{path}/table", f"{path}/checkpoint", "seq"))
+    return sp.device_table(s, f"{path}/table").read().filter("live").select("dpid")
+
+
+def stream_unique_port_rate(s: SparkSession, d: str) -> DataFrame:
+    """All scenarios: three start where the timing table says, one at its first event."""
+    def rates(path: str) -> spr.PortRates:
+        return spr.PortRates(s, f"{path}/rates", DAY, late_seconds=60)
+
+    path = _in_slices(
+        s, tv.metrics(s, d), "floor(timestamp * 1e6)", "port-rates",
+        lambda stream, path: spr.stream_unique_port_rate(
+            stream, lambda: tv.timing(s, d), rates(path), f"{path}/checkpoint"))
+    return rates(path).rates()
+
+
+def telemetry_log(s: SparkSession, d: str) -> DataFrame:
+    """The ddos timeline from a log of micro-batches, one of them run twice, compacted on the way."""
+    log = ss.telemetry_log(s, scratch_dir(s, "telemetry-log"))
+    rows = tv.metrics(s, d)
+    for i in range(4):
+        batch = rows.filter(F.pmod(F.xxhash64("timestamp", "eth_src"), F.lit(4)) == i)
+        log.append(batch, i)
+        log.append(batch, i)
+        if i == 2:
+            log.compact()
+            log.ledger.vacuum()
+    return rp.attack_timeline(log.read(), tv.timing(s, d), "ddos")
+
+
+# --- models on flows whose class shows -------------------------------------------------
+
+def _told_run(s: SparkSession, d: str) -> tuple[str, str]:
+    """A whole learning run over flows with telling rates: its folder and the winner's name."""
+    path = scratch_dir(s, "learning-run")
+    return path, ln.learning_run(tv.telling_flows(s, d).drop("event_ts", "dpid", "flow_key"), path)
+
+
+def learning_run(s: SparkSession, d: str) -> DataFrame:
+    """The table of metrics that a whole run leaves, with the test rows each model was judged on."""
+    path, name = _told_run(s, d)
+    schema = "Model string, Accuracy double, Precision double, Recall double, `F1-Score` double"
+    metrics = s.read.schema(schema).option("header", True).csv(f"{path}/model_performance_metrics")
+    matrix = s.read.option("header", True).csv(f"{path}/confusion_matrix")
+    rows = matrix.groupBy(F.col("model").alias("Model")).agg(F.sum(F.col("n").cast("long")).alias("test_rows"))
+    return metrics.join(rows, "Model").withColumn("winner", F.col("Model") == name)
+
+
+def predict_reloaded(s: SparkSession, d: str) -> DataFrame:
+    """What each of the three models, saved and loaded again, predicts for the test rows."""
+    path, _ = _told_run(s, d)
+    _, test = sources.load_split(s, f"{path}/split")
+    every = None
+    for name in MODEL_NAMES:
+        model = sources.load_model(f"{path}/models/{name}")
+        rows = md.predict(model, test).groupBy("label", F.col("prediction").alias("predicted")).agg(
+            F.count("*").alias("n")).withColumn("Model", F.lit(name))
+        every = rows if every is None else every.unionByName(rows)
+    return every
+
+
+def _told_batches(s: SparkSession, d: str, name: str, write: Callable) -> str:
+    """Flows with telling rates as a stream that the winner of a run over them scores."""
+    folder, _ = _told_run(s, d)
+    model = sources.load_model(f"{folder}/final")
+    rows = tv.telling_flows(s, d, "event_id")
+    return _in_slices(s, rows, EVENT_US, name, lambda stream, path: (
+        stream.writeStream.foreachBatch(write(model, path))
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()))
+
+
+def score_flows_winner(s: SparkSession, d: str) -> DataFrame:
+    def write(model, path: str) -> Callable:
+        sink = sc.batch_folder(f"{path}/rows")
+        return lambda batch, i: sink(ss.score_flows(batch, model), i)
+
+    path = _told_batches(s, d, "winner-scored", write)
+    return s.read.parquet(f"{path}/rows").select("event_id", "predicted_label")
+
+
+def emit_metrics_winner(s: SparkSession, d: str) -> DataFrame:
+    """Telemetry of the winner's decisions, from a log that was compacted meanwhile."""
+    flow = {
+        "in_port": F.lit(None).cast("int"), "eth_src": F.col("flow_key"),
+        "dst_port": F.lit(None).cast("int"), "cpu_percent": F.lit(None).cast("double"),
+        "pkt_rate": F.col("pkts_per_s"), "byte_rate": F.col("byts_per_s"), "scenario": F.col("label"),
+    }
+
+    def write(model, path: str) -> Callable:
+        log = ss.telemetry_log(s, f"{path}/log")
+        return lambda batch, i: ss.log_batch(batch.withColumns(flow), model, log, i, compact_every=2)
+
+    path = _told_batches(s, d, "winner-emitted", write)
+    return ss.telemetry_log(s, f"{path}/log").read().select(
+        "dpid", "eth_src", "pkt_rate", "byte_rate", "predicted_label", "action_taken", "scenario",
+        (F.col("mitigation_latency_ms") > 0).alias("late"))
+
+
 # --- the rest --------------------------------------------------------------------------
 
 def _no_latency(s: SparkSession, d: str) -> DataFrame:
@@ -415,6 +569,69 @@ def _prf_binary(s: SparkSession, d: str) -> DataFrame:
     return scores.select("model", *[round_np(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def _report_values(s: SparkSession, d: str, scenario: str | None = None) -> DataFrame:
+    """Every value of the reports: three numbers of each row, and a name where it has one."""
+    bundle = rp.report(tv.metrics(s, d), tv.timing(s, d), scenario, width=DAY)
+    columns = {
+        "ddos": ["scenario_time_sec", "pkt_rate", "is_drop"], "spoofing": ["scenario_time_sec", "pkt_rate", "is_drop"],
+        "scanning": ["time_bin", "ports_per_sec", "drops"],
+        "infrastructure": ["global_time_sec", "cpu_percent", "mitigation_latency_ms"],
+        "inference": ["mean", "median", "p95"],
+    }
+    every = None
+    for report, df in bundle.items():
+        name = F.col("scenario") if report == "inference" else F.lit(None).cast("string")
+        values = [F.col(c).cast("double").alias(x) for c, x in zip(columns[report], ("first", "second", "third"))]
+        rows = df.select(F.lit(report).alias("report"), name.alias("name"), *values)
+        every = rows if every is None else every.unionByName(rows)
+    return every
+
+
+def _port_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Sketches of quarter days since the start of each scenario, merged to those of days."""
+    rows = tv.metrics(s, d).join(tm.scenario_t0(tv.metrics(s, d), tv.timing(s, d)), "scenario")
+    binned = rows.withColumn("time_bin", relative_bin(F.col("timestamp") - F.col("t0"), DAY / 4))
+    return sk.sketched_port_rate(sk.merge_port_sketches(sk.port_sketches(binned), DAY), DAY)
+
+
+def _sketched_inference(s: SparkSession, d: str) -> DataFrame:
+    """From sketches of four parts of the table; quantiles as whether their rank is within the error."""
+    metrics = tv.metrics(s, d)
+    parts = sk.time_sketches(metrics.withColumn("run", F.col("dst_port") % 4), ["scenario", "run"])
+    stats = sk.sketched_inference_stats(sk.merge_time_sketches(parts))
+    near = []
+    for name, p in (("median", 0.5), ("p95", 0.95)):
+        below, upto = F.col("inference_time_ms") < F.col(name), F.col("inference_time_ms") <= F.col(name)
+        near.append((
+            (F.avg(below.cast("double")) <= p + sk.RANK_ERROR) & (F.avg(upto.cast("double")) >= p - sk.RANK_ERROR)
+        ).alias(f"{name}_near"))
+    ranks = metrics.join(stats.select("scenario", "median", "p95"), "scenario").groupBy("scenario").agg(*near)
+    return stats.join(ranks, "scenario").select(
+        "scenario", "n", round_np("mean", 3).alias("mean"), "max", "median_near", "p95_near")
+
+
+def _split_overall(s: SparkSession, d: str) -> DataFrame:
+    rows = ft.stratified_split(
+        _keyed_metrics(s, d), "scenario", test=0.33, key="event_id", totals="overall")
+    return rows.select("event_id", "scenario", "split")
+
+
+def _with_malformed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The captured rows as CSV, where every tenth or so has a letter in a number; read and split."""
+    path = scratch_dir(s, "malformed")
+    rows = _capture(s, d).drop(*IDENTITY)
+    broken = F.col("packet_count") % 10 == 3
+    text = rows.withColumns({c: F.col(c).cast("string") for c in rows.columns}).withColumn(
+        "pkts_per_s", F.when(broken, F.concat("pkts_per_s", F.lit("x"))).otherwise(F.col("pkts_per_s")))
+    sources.append_raw_flows(text, path)
+    return sources.split_raw_flows(s, path, most=10**9)
+
+
+def _malformed(s: SparkSession, d: str) -> DataFrame:
+    lines = _with_malformed(s, d)[1]
+    return lines.groupBy(F.substring_index("line", ",", -1).alias("label")).agg(F.count("*").alias("n"))
+
+
 def _report_sizes(s: SparkSession, d: str) -> DataFrame:
     bundle = rp.report(tv.metrics(s, d), tv.timing(s, d), width=DAY)
     sizes = [
@@ -464,6 +681,8 @@ def queries() -> dict[str, Query]:
         "read_flow_stats": read_flow_stats,
         "read_raw_flows": partial(append_raw_flows, fmt="parquet"),
         "append_raw_flows": append_raw_flows,
+        "split_raw_flows": lambda s, d: _with_malformed(s, d)[0],
+        "malformed_raw_flows": _malformed,
         "append_metrics": append_metrics,
         "metric_rows": _measured(sources.metric_rows),
         "read_metrics_timing": read_metrics_timing,
@@ -477,6 +696,8 @@ def queries() -> dict[str, Query]:
         "counter_deltas": lambda s, d: _deltas(s, d).select(*DELTAS),
         "counter_deltas_chunked": lambda s, d: _deltas(
             s, d, rows_per_chunk=SMALL_CHUNK).select(*DELTAS),
+        "counter_deltas_hot_keys": lambda s, d: _deltas(
+            s, d, rows_per_chunk=TINY_CHUNK).select(*DELTAS),
         "counter_deltas_sessions": lambda s, d: ct.counter_deltas(
             _recorded(s, d), "flow_key", tiebreak="event_id", session="session_id",
         ).select(*DELTAS),
@@ -498,6 +719,7 @@ def queries() -> dict[str, Query]:
         "last_known_port": lambda s, d: pk.last_known_port(tv.packet_in(s, d)),
         "forwarding_decisions": _decisions,
         "forwarding_decisions_chunked": partial(_decisions, rows_per_chunk=SMALL_CHUNK),
+        "forwarding_decisions_hot_keys": partial(_decisions, rows_per_chunk=TINY_CHUNK),
         "rule_worthy": lambda s, d: pk.rule_worthy(_decisions(s, d)),
         "live_devices": lambda s, d: pk.live_devices(tv.device_state(s, d), "seq"),
         # selection, cleaning, scalar expressions
@@ -532,6 +754,8 @@ def queries() -> dict[str, Query]:
         "action_counts": _measured(tm.action_counts),
         "unique_port_rate": lambda s, d: tm.unique_port_rate(_scan_bins(s, d), DAY),
         "inference_stats": _measured(tm.inference_stats),
+        "sketched_port_rate": _port_sketches,
+        "sketched_inference_stats": _sketched_inference,
         "min_event_time": _measured(tm.min_event_time, "scenario"),
         "class_summary": _measured(tm.class_summary, "scenario"),
         # features
@@ -539,6 +763,7 @@ def queries() -> dict[str, Query]:
         "encode_label": lambda s, d: ft.encode_label(
             _keyed_metrics(s, d), label="scenario").select("event_id", "label_index"),
         "stratified_split": lambda s, d: _split(s, d).select("event_id", "scenario", "split"),
+        "stratified_split_overall": _split_overall,
         "forest_importance": forest_importance,
         "assemble": _assembled,
         "fit_scaler": _fit_scaler,
@@ -549,6 +774,8 @@ def queries() -> dict[str, Query]:
         "train_tree": _trained(md.train_tree),
         "train_forest": _trained(md.train_forest),
         "predict": _trained(md.train_tree),
+        "predict_reloaded": predict_reloaded,
+        "learning_run": learning_run,
         "training_cost": training_cost,
         "inference_cost": inference_cost,
         "export_winner": export_winner,
@@ -570,6 +797,8 @@ def queries() -> dict[str, Query]:
         "inference_summary": _measured(rp.inference_summary),
         "run_summary": _measured(rp.run_summary),
         "report": _report_sizes,
+        "report_values": _report_values,
+        "report_scenario": partial(_report_values, scenario="scanning"),
         # streaming
         "stream_counter_deltas": stream_counter_deltas,
         "stream_capture": stream_capture,
@@ -577,4 +806,12 @@ def queries() -> dict[str, Query]:
         "decide_action": lambda s, d: ss.decide_action(_keyed_metrics(s, d)).select(
             "event_id", "action_taken"),
         "emit_metrics": emit_metrics,
+        "score_flows_winner": score_flows_winner,
+        "emit_metrics_winner": emit_metrics_winner,
+        "stream_forwarding_decisions": stream_forwarding_decisions,
+        "stream_forwarding_decisions_salted": partial(stream_forwarding_decisions, salts=3),
+        "stream_unique_port_rate": stream_unique_port_rate,
+        "keep_last_known_port": keep_last_known_port,
+        "keep_live_devices": keep_live_devices,
+        "telemetry_log": telemetry_log,
     }

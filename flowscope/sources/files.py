@@ -72,6 +72,43 @@ def read_raw_flows(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     return _without_na(raw.toDF(*RAW_FLOWS.fieldNames()))
 
 
+class MalformedRowsError(ValueError):
+    """A dataset has more malformed rows than allowed."""
+
+
+def split_raw_flows(spark: SparkSession, path: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, malformed) rows of the labelled dataset in CSV.
+
+    A row is malformed when it has too few or too many fields, or a field that is no value
+    of its column; ``read_raw_flows`` makes such a field null, and cleaning then drops the
+    row without a word. Malformed rows come as ``line``, the text of the row. Fields that
+    stand for a missing value are not malformed. With ``most`` the malformed rows are
+    counted at once, and more of them raise ``MalformedRowsError``.
+    """
+    names = list(CSV_HEADERS.values())
+    texts = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("line", T.StringType())])
+    try:
+        # all fields as text, so that what a number is gets decided below, with missing values known
+        rows = (
+            spark.read.schema(texts).option("header", True).option("enforceSchema", True)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").csv(path))
+    except AnalysisException as e:
+        if _missing(e):
+            raise FileNotFoundError(f"no dataset at '{path}': record traffic first") from e
+        raise
+    given = {f.name: F.col(f"`{n}`") for n, f in zip(names, RAW_FLOWS)}
+    rows = rows.select("line", *[F.when(~c.isin(NA_TOKENS), c).alias(n) for n, c in given.items()])
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in RAW_FLOWS}
+    wrong = F.col("line").isNotNull()
+    for name, value in typed.items():
+        wrong = wrong | (value.isNull() & F.col(name).isNotNull())
+    shown = F.coalesce("line", F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("")) for f in RAW_FLOWS]))
+    malformed = rows.filter(wrong).select(shown.alias("line"))
+    if most is not None and (n := malformed.count()) > most:
+        raise MalformedRowsError(f"{n} malformed rows at '{path}', {most} allowed")
+    return rows.filter(~wrong).select(*[v.alias(n) for n, v in typed.items()]), malformed
+
+
 def _file_rows(df: DataFrame, fmt: str) -> DataFrame:
     rows = df.select(*RAW_FLOWS.fieldNames())
     return rows.toDF(*CSV_HEADERS.values()) if fmt == "csv" else rows

@@ -108,3 +108,37 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(0.0,)] * 3 + [(1.0,)], "label_index double")
     got = {r["label_index"]: r["weight"] for r in balanced_weights(df).collect()}
     assert got == {0.0: 4 / (2 * 3), 1.0: 4 / 2}
+
+
+def library_test_rows(sizes, test):
+    """How the usual library shares out the rows: train by largest remainders, the rest is test."""
+    total = sum(sizes.values())
+    train = total - math.ceil(test * total)
+    whole = {c: n * train // total for c, n in sizes.items()}
+    rest = sorted(sizes, key=lambda c: (-(sizes[c] * train % total), c))
+    more = set(rest[:train - sum(whole.values())])
+    return {c: n - whole[c] - (c in more) for c, n in sizes.items()}
+
+
+@pytest.mark.parametrize("test", [0.2, 0.33, 0.5, 0.07])
+@pytest.mark.parametrize("sizes", [(7, 7, 7), (10, 5, 1), (1, 1, 1, 1, 1), (13, 29, 58, 3), (40,)])
+def test_overall_totals(spark, sizes, test):
+    """ceil(test * n) rows in all, also where rounding each class gives another number."""
+    sizes = {f"c{i}": n for i, n in enumerate(sizes)}
+    rows = [(i, c) for i, c in enumerate(c for c, n in sizes.items() for _ in range(n))] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    split = stratified_split(df, test=test, key="id", totals="overall")
+    got = {r["label"]: r["n"] for r in split.filter("split = 'test'").groupBy("label").agg(
+        F.count("*").alias("n")).collect()}
+    want = library_test_rows(sizes, test)
+    assert got == {c: n for c, n in want.items() if n}
+    assert sum(want.values()) == math.ceil(test * sum(sizes.values()))
+    assert split.count() == len(rows)
+
+
+def test_overall_and_per_class_totals_differ(spark):
+    df = spark.createDataFrame([(i, f"c{i % 3}") for i in range(21)], "id long, label string")
+    n = {t: stratified_split(df, key="id", totals=t).filter("split = 'test'").count() for t in ("overall", "per_class")}
+    assert n == {"overall": 5, "per_class": 3}
+    with pytest.raises(ValueError):
+        stratified_split(df, key="id", totals="other")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowscope import sources
 from flowscope.schemas import CSV_HEADERS, FLOW_STATS, METRICS, RAW_FLOWS
+from flowscope.sources.files import MalformedRowsError, read_raw_flows, split_raw_flows
 from flowscope.sizing import local_scratch, scratch_dir, shared_dir, small_or_same, small_rows, stored
 
 ROW = (1.5, 20.0, 2000.0, 100.0, 3000, 30, 1, 0, 0, 0, 0, "ddos")
@@ -114,3 +115,26 @@ def test_no_scratch_without_a_shared_folder():
         shared_dir(bare)
     local_scratch(bare)
     assert bare.conf == {}
+
+
+def test_malformed_rows_are_set_apart(spark, tmp_path):
+    """Letters in numbers, missing and extra fields; missing values are no fault of a row."""
+    names = list(CSV_HEADERS.values())
+    good = ["0.5,1.0,2.0,3.0,10,20,1,0,0,0,3,ddos", "NA,1.0,2.0,3.0,10,20,1,0,0,0,3,normal",
+            "0.5,nan,Infinity,3.0,10,,1,0,0,0,3,NA", ",,,,,,,,,,,"]
+    bad = ["0.5x,1.0,2.0,3.0,10,20,1,0,0,0,3,ddos", "0.5,1.0,2.0,3.0,10.5,20,1,0,0,0,3,ddos",
+           "0.5,1.0,2.0", "0.5,1.0,2.0,3.0,10,20,1,0,0,0,3,ddos,more", "NA", "?,?,?,?,?,?,?,?,?,?,?,?"]
+    (tmp_path / "a.csv").write_text("\n".join([",".join(names), *good[:2], *bad[:3]]) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join([",".join(names), *good[2:], *bad[3:]]) + "\n")
+    rows, malformed = split_raw_flows(spark, str(tmp_path))
+    assert rows.schema == RAW_FLOWS
+    assert sorted(r["line"] for r in malformed.collect()) == sorted(bad)
+    found = sorted(map(str, rows.collect()))
+    assert len(found) == len(good) and sum("None" not in r for r in found) == 1
+    # the lenient reader sees the same good rows
+    assert set(found) <= set(map(str, read_raw_flows(spark, str(tmp_path)).collect()))
+    assert split_raw_flows(spark, str(tmp_path), most=6)[1].count() == 6
+    with pytest.raises(MalformedRowsError, match="6 malformed rows"):
+        split_raw_flows(spark, str(tmp_path), most=5)
+    with pytest.raises(FileNotFoundError):
+        split_raw_flows(spark, str(tmp_path / "none"))
