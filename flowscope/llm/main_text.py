@@ -1,7 +1,9 @@
 """Main text of web pages, by scoring the element tree.
 
-A page is read into a tree. Elements that never hold an article, by their tag, role or the
-words of their class and id, are left out. Every paragraph then passes points for its length
+A page is read into a tree. Elements that never hold an article, by their tag or role, are
+left out; forms, and elements whose class or id names what surrounds an article, only where
+the points of their paragraphs are few beside the rest of the page, as wrappers of a whole
+page bear such names too. Every paragraph then passes points for its length
 and its commas to its ancestors, less with each level; the share of a container's text that
 is in links lowers its score. The best container is kept, or the whole article or main around it,
 together with siblings that score well against it or are running text with few links; under
@@ -42,8 +44,8 @@ ENDS_ITSELF = {
 # --- what is no article ------------------------------------------------------------------
 
 DROPPED_TAGS = frozenset(
-    "head script style noscript template title nav footer aside form button select option textarea input iframe "
-    "object embed svg canvas math audio video map dialog menu search noembed noframes".split())
+    "head script style noscript template title nav footer aside button select option textarea input iframe "
+    "object embed svg canvas audio video map dialog menu search noembed noframes".split())
 DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar "
     "tablist status note".split())
@@ -55,18 +57,31 @@ SURROUNDING = frozenset(
     "cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup "
     "login popup modal overlay toast share sharing social related recommended recommendations trending "
     "outbrain taboola skip hidden toolbar topbar paywall".split())
+#: of those, words that name what readers write
+READERS = frozenset("comment comments commentlist disqus replies respond discussion".split())
+#: of those, words that a paragraph may bear as its topic
+TOPICS = frozenset("social related recommended trending discussion rail".split())
+#: "related" names surroundings alone or with words for what is listed, as in "related-posts"
+LISTED = frozenset(
+    "related post posts article articles link links story stories content contents item items list box block news "
+    "reading section widget container wrapper area topics pages products videos grid cards card more media".split())
 #: words before or beside the ones above that make a name of layout of them
 LAYOUT = frozenset("with has no without".split())
 #: of those, words that may also name a wrapper of the article and what stands beside it
 WRAPPING = frozenset("sidebar sidebars rail nav navbar menu banner widget widgets".split())
 FAVOURED = frozenset("article main content body post entry story text page blog".split())
 KEPT_TAGS = frozenset("html body article main".split())
+#: elements that hold running text
+PARAGRAPHS = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6 figcaption".split())
+#: points that a page without its marked elements has to keep: those of a paragraph or so
+LEAST_REST = 3.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
+_HREF = re.compile(r"(?<![\w-])href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\s\"'>]+)", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
@@ -153,26 +168,35 @@ def names(value: str) -> list[list[str]]:
     return [[w.lower() for w in _NAME_PARTS.findall(x)] for x in value.split()]
 
 
-def surrounds(node: Node, own: dict[str, str], holds: bool = False) -> bool:
-    """Whether an element is by its own marks no part of an article.
+def marks(node: Node, own: dict[str, str], holds: bool = False) -> set[str]:
+    """The words of an element's class and id that name what surrounds an article.
 
     With ``holds`` an article is below it, and words that may name a wrapper do not count.
     """
-    if node.tag in DROPPED_TAGS:
-        return True
-    if "hidden" in own or own.get("aria-hidden") == "true":
+    found: set[str] = set()
+    for words in names(f"{own.get('class', '')} {own.get('id', '')}"):
+        some = SURROUNDING & set(words)
+        if not some or LAYOUT & set(words):
+            continue
+        if not set(words) <= LISTED:
+            some -= {"related"}
+        found |= some
+    if holds:
+        found -= WRAPPING
+    if node.tag in PARAGRAPHS:
+        found -= TOPICS
+    if node.tag == "section":
+        found -= {"discussion"}  # as a chapter of an article
+    return found
+
+
+def never(node: Node, own: dict[str, str]) -> bool:
+    """Whether an element holds no article whatever its text."""
+    if node.tag in DROPPED_TAGS or "hidden" in own or own.get("aria-hidden") == "true":
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I):
         return True
-    if node.tag in KEPT_TAGS:
-        return False
-    if DROPPED_ROLES & set(own.get("role", "").lower().split()):
-        return True
-    marks = SURROUNDING - WRAPPING if holds else SURROUNDING
-    for words in names(f"{own.get('class', '')} {own.get('id', '')}"):
-        if marks & set(words) and not LAYOUT & set(words):
-            return True
-    return False
+    return node.tag not in KEPT_TAGS and bool(DROPPED_ROLES & set(own.get("role", "").lower().split()))
 
 
 def prune(root: Node) -> None:
@@ -184,6 +208,7 @@ def prune(root: Node) -> None:
     for node in order:
         inside[id(node)] = node.tag in ("article", "main") or node.parent is not None and inside[id(node.parent)]
     holds: set[int] = set()  # elements with an article below or at them
+    marked: dict[int, set[str]] = {}
     for node in reversed(order):
         kept: list[Node | str] = []
         for child in node.children:
@@ -195,13 +220,68 @@ def prune(root: Node) -> None:
                 continue
             below = id(child) in holds
             own = attributes(child) if child.attributes else {}
-            if not surrounds(child, own, below and not inside[id(node)]):
-                kept.append(child)
-                if below:
-                    holds.add(id(node))
+            if never(child, own):
+                continue
+            kept.append(child)
+            words = set() if child.tag in KEPT_TAGS else marks(child, own, below and not inside[id(node)])
+            if child.tag == "form":
+                words.add("form")
+            if words:
+                marked[id(child)] = words
+            elif below:
+                holds.add(id(node))
         node.children = kept
         if node.tag in ("article", "main"):
             holds.add(id(node))
+    if marked:
+        _drop_marked(root, marked)
+
+
+def _drop_marked(root: Node, marked: dict[int, set[str]]) -> None:
+    """Drops marked elements, but for wrappers of what the page has to say.
+
+    The largest of the outermost ones is a wrapper if next to nothing is left without it, or
+    if it holds the page's first heading or main and more points than the rest. Then it stays,
+    and the marked ones inside it are looked at in the same way.
+    """
+    order = in_order(root)
+    _measure(root)
+    points: dict[int, float] = {}
+    first: set[int] = set()  # elements with a first heading or main at or below them
+    for node in reversed(order):
+        own = _points(node) if _is_running(node) and not re.fullmatch("h[1-6]", node.tag) else 0.0
+        points[id(node)] = own + sum(points[id(c)] for c in node.children if isinstance(c, Node))
+        if node.tag in ("h1", "main") or any(id(c) in first for c in node.children if isinstance(c, Node)):
+            first.add(id(node))
+    outer = _outermost(root, marked)
+    rest = points[id(root)] - sum(points[id(x)] for x in outer)
+    while outer:
+        most = max(outer, key=lambda x: points[id(x)])  # the first of equals
+        held = points[id(most)]
+        own = attributes(most) if most.attributes else {}
+        named = [set(x) for x in names(f"{own.get('class', '')} {own.get('id', '')}")]
+        content = any(x <= FAVOURED | {"entry", "wrap"} for x in named)
+        least = LEAST_REST if content or not marked[id(most)] & READERS else LEAST_REST / 6
+        if not (rest < least and rest < held / 10 or id(most) in first and held > rest):
+            break
+        within = _outermost(most, marked)
+        outer = [x for x in outer if x is not most] + within
+        rest += held - sum(points[id(x)] for x in within)
+    gone = {id(x) for x in outer}
+    for node in order:
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) not in gone]
+
+
+def _outermost(root: Node, marked: dict[int, set[str]]) -> list[Node]:
+    """The marked elements below ``root`` that lie in no other one."""
+    found, stack = [], [c for c in reversed(root.children) if isinstance(c, Node)]
+    while stack:
+        node = stack.pop()
+        if id(node) in marked:
+            found.append(node)
+        else:
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return found
 
 
 def in_order(root: Node) -> list[Node]:
@@ -248,10 +328,6 @@ def blocks_of(nodes: list[Node | str]) -> list[str]:
     return found
 
 
-#: elements that hold running text
-PARAGRAPHS = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6 figcaption".split())
-
-
 def _measure(node: Node) -> list[Node]:
     """Sizes of all elements, bottom up, and the elements in page order."""
     order = in_order(node)
@@ -266,18 +342,28 @@ def link_density(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
 
+def _is_running(node: Node) -> bool:
+    """Whether an element is a paragraph, or a block with text of its own."""
+    loose = node.tag not in PARAGRAPHS and (node.tag in BLOCKS or not node.tag) and any(
+        isinstance(c, str) and not c.isspace() for c in node.children)
+    return node.size > 0 and (loose or node.tag in PARAGRAPHS)
+
+
+def _points(node: Node) -> float:
+    """The points of a paragraph: its length and commas, less the share of links."""
+    text = "".join(c for c in node.children if isinstance(c, str))
+    commas = text.count(",") + sum(_commas(c) for c in node.children if isinstance(c, Node) and c.tag not in BLOCKS)
+    return (min(node.size / 25.0, 1.0) + commas + min(node.size / 100.0, 3.0)) * (1.0 - link_density(node))
+
+
 def score(root: Node) -> list[Node]:
     """Scores all containers and returns them in page order."""
     order = _measure(root)
     containers: dict[int, Node] = {}
     for node in order:
-        loose = node.tag not in PARAGRAPHS and (node.tag in BLOCKS or not node.tag) and any(
-            isinstance(c, str) and not c.isspace() for c in node.children)
-        if node.tag not in PARAGRAPHS and not loose or not node.size:
+        if not _is_running(node):
             continue
-        text = "".join(c if isinstance(c, str) else " " * c.size for c in node.children)
-        commas = text.count(",") + sum(_commas(c) for c in node.children if isinstance(c, Node) and c.tag not in BLOCKS)
-        points = (min(node.size / 25.0, 1.0) + commas + min(node.size / 100.0, 3.0)) * (1.0 - link_density(node))
+        points, loose = _points(node), node.tag not in PARAGRAPHS
         level, above = 1.0, node if loose else node.parent
         while above is not None and above.tag != "html":
             if id(above) not in containers:
@@ -323,9 +409,13 @@ def best_nodes(root: Node) -> list[Node]:
         # a container whose parts share the text equally scores less than its parent
         while top.parent is not None and worth.get(id(top.parent), 0.0) >= worth[id(top)] and top.parent.tag not in ("body", ""):
             top = top.parent
+    # a wrapper without text of its own stands among the siblings of what it wraps
+    while top.parent is not None and top.parent.tag not in ("body", "main", "") and top.parent.size == top.size:
+        top = top.parent
     if top.tag in ("body", ""):
         return [top]
-    least = max(10.0, 0.2 * worth[id(top)])
+    best = max(worth.get(id(top), 0.0), max(worth[id(n)] for n in containers))
+    least = max(0.2 * best, min(10.0, 0.5 * best))
     articles: dict[int, int] = {}  # with text, at or below each element
     for node in reversed(in_order(root)):
         below = sum(articles[id(c)] for c in node.children if isinstance(c, Node))
@@ -341,8 +431,12 @@ def best_nodes(root: Node) -> list[Node]:
             in_main = set(path)
         node = node.parent
 
+    inner_size = top.size
+
     def belongs(node: Node, main: bool) -> bool:
         dense = link_density(node)
+        if node.size < inner_size / 2 and _is_teaser(node):
+            return False
         if worth.get(id(node), 0.0) >= least or main and dense < 0.5:
             return True
         running = node.tag in PARAGRAPHS or articles.get(id(node), 0) > 0
@@ -357,6 +451,23 @@ def best_nodes(root: Node) -> list[Node]:
     return kept
 
 
+def _is_teaser(node: Node) -> bool:
+    """Whether an article is a card that leads to another page: all its headings are links."""
+    if node.tag != "article":
+        inner = [c for c in node.children if isinstance(c, Node)]
+        return len(inner) > 0 and all(c.tag == "article" and _is_teaser(c) for c in inner if c.size)
+    tops = [h for h in headings(node) if h.size]
+    return bool(tops) and all(h.linked == h.size or _in_link(h, node) for h in tops)
+
+
+def _in_link(node: Node, top: Node) -> bool:
+    while node is not top:
+        node = node.parent
+        if node.tag == "a":
+            return True
+    return False
+
+
 def _parts(parent: Node, inner: Node) -> list[Node]:
     """The blocks below ``parent`` and ``inner``; what runs between them is a paragraph each."""
     parts: list[Node] = []
@@ -376,17 +487,25 @@ def _parts(parent: Node, inner: Node) -> list[Node]:
 
 
 def drop_link_lists(nodes: list[Node]) -> None:
-    """Lists and tables inside the article that are mostly links are menus."""
+    """Lists and tables inside the article that are mostly links are menus.
+
+    A list that leads to several hosts is one of sources, and stays.
+    """
     stack = list(nodes)
     while stack:
         node = stack.pop()
         own = [c for c in node.children if isinstance(c, Node)]
-        menus = [c for c in own if c.tag in ("ul", "ol", "dl", "table", "div", "section") and _links(c) > 1 and link_density(c) > 0.6]
+        menus = [c for c in own if c.tag in ("ul", "ol", "dl", "table", "div", "section") and _links(c) > 1 and link_density(c) > 0.6 and len(_hosts(c)) < 2]
         if menus:
             node.children = [c for c in node.children if isinstance(c, str) or c not in menus]
         stack += [c for c in own if c not in menus]
 
 
+def _hosts(node: Node) -> set[str]:
+    found = (_HREF.search(x.attributes) for x in in_order(node) if x.tag == "a")
+    return {m[1].lower() for m in found if m}
+
+
 def _links(node: Node) -> int:
     return sum(x.tag == "a" for x in in_order(node))
 
