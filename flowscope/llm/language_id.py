@@ -22,28 +22,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowscope.llm.rows import keyed_texts, text_column
+
 UNKNOWN = "und"
 #: labelled texts of each language that the models are fitted on, and words of each
 SAMPLE_TEXTS = 1_500
-SAMPLE_WORDS = 40_000
+SAMPLE_WORDS = 60_000
 ROUNDS = 3
-#: pieces of more letters are left out; longer words are scored in runs of this many letters
-MAX_PIECE, MAX_WORD = 10, 48
+#: letters of the longest runs that the models are fitted on; longer words are cut for that only
+FIT_LETTERS = 48
+#: longer words are summed one by one, so many positions at a time, and not kept
+LONG_WORD, POSITIONS = 48, 4_096
 #: pseudo-count of every piece, and probability of a letter that is no piece
 SMOOTHING, UNSEEN = 0.05, 1e-6
 #: keeps sums in range: every letter is scored this many times too high
 LETTER_SCALE = 30.0
 WORD_CACHE = 200_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: to a pattern these are word characters and no digits, but they are no letters either
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, long ones in several parts."""
-    found = _LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > MAX_WORD for w in found):
-        found = [w[i:i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
-    return found
+    """Lower-cased runs of letters."""
+    return _LETTERS.findall(text.lower()) if text else []
 
 
 #: stands for the space in front of a word
@@ -55,9 +58,9 @@ def read_pieces(path: str) -> list[str]:
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    plain = re.compile(rf"{SPACE}?[^\W\d_]*")
+    plain = re.compile(rf"{SPACE}?[^\W\d_{_NUMERALS}]*")
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if p and plain.fullmatch(p) and len(p) <= MAX_PIECE)
+    return sorted(p for p in found if p and plain.fullmatch(p))
 
 
 class Pieces:
@@ -65,6 +68,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
         hashes = np.zeros(len(pieces), np.uint64)
         for n in sorted({len(p) for p in pieces}):
             at = [i for i, p in enumerate(pieces) if len(p) == n]
@@ -108,7 +112,7 @@ def _hashes(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
 def piece_grid(pieces: Pieces, words: list[str]) -> list[np.ndarray]:
     """For words of one length: for each piece length, the piece number at every position."""
     codes = _codes([SPACE + w for w in words], len(words[0]) + 1)
-    return [pieces.look_up(h) for h in _hashes(codes, min(MAX_PIECE, codes.shape[1]))]
+    return [pieces.look_up(h) for h in _hashes(codes, min(pieces.longest, codes.shape[1]))]
 
 
 def _weights(grid: list[np.ndarray], probabilities: np.ndarray) -> list[np.ndarray]:
@@ -137,7 +141,9 @@ def word_scores(pieces: Pieces, probabilities: np.ndarray, words: list[str]) ->
     """Log probability of each word in each language."""
     out = np.empty((len(words), probabilities.shape[1]))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for n in np.unique(lengths):
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        out[i] = long_word_score(pieces, probabilities, words[i])
+    for n in np.unique(lengths[lengths <= LONG_WORD]):
         at = np.flatnonzero(lengths == n)
         for i in range(0, len(at), 4_096):
             some = at[i:i + 4_096]
@@ -146,6 +152,40 @@ def word_scores(pieces: Pieces, probabilities: np.ndarray, words: list[str]) ->
     return out
 
 
+def long_word_score(pieces: Pieces, probabilities: np.ndarray, word: str) -> np.ndarray:
+    """As ``word_scores``, for one word of any length.
+
+    Only the sums of the last positions are held, as a piece reaches back no further; they
+    are brought back into range by a factor for each language whose logarithm is added up.
+    """
+    text, longest = SPACE + word, pieces.longest
+    scale = LETTER_SCALE ** np.arange(1, longest + 1)[:, None]
+    last = np.zeros((longest, probabilities.shape[1]))  # the sum at the position before, and so on
+    last[0] = 1.0
+    logs = np.zeros(probabilities.shape[1])
+    for begin in range(0, len(text), POSITIONS):
+        end = min(begin + POSITIONS, len(text))
+        lead = max(0, begin - longest + 1)
+        codes = _codes([text[lead:end]], end - lead)
+        # by end and length of a piece: its number
+        numbers = np.zeros((end - begin, longest), np.int64)
+        for k, hashed in enumerate(_hashes(codes, min(longest, end - lead)), 1):
+            found = pieces.look_up(hashed)[0]  # by begin of the piece, from ``lead`` on
+            ends = np.arange(lead, lead + len(found)) + k - 1 - begin
+            numbers[ends[ends >= 0], k - 1] = found[ends >= 0]
+        weights = probabilities[numbers]
+        weights[:, 0] = np.maximum(weights[:, 0], UNSEEN)
+        weights *= scale
+        for weight in weights:
+            now = (last * weight).sum(0)
+            last[1:] = last[:-1].copy()
+            last[0] = now
+            if now.min() < 1e-100 or now.max() > 1e100:
+                logs += np.log(now)
+                last /= now
+    return np.log(last[0]) + logs - len(text) * np.log(LETTER_SCALE)
+
+
 def fit(pieces: Pieces, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Piece probabilities (piece number by language) from counts of words by language."""
     languages = counts.shape[1]
@@ -193,6 +233,10 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log probability of all ``words`` together in each language."""
+        long = [w for w in words if len(w) > LONG_WORD]
+        if long:
+            short = self.scores([w for w in words if len(w) <= LONG_WORD])
+            return short + sum(long_word_score(self.pieces, self.probabilities, w) for w in long)
         new = list({w for w in words if w not in self.cache})
         if self.used + len(new) > WORD_CACHE:
             self.cache.clear()
@@ -226,7 +270,7 @@ class Model:
 
     def _fill(self, parts: list[list[str]]) -> None:
         """New words of many texts are scored together."""
-        every = list({w for words in parts for w in words})
+        every = list({w for words in parts for w in words if len(w) <= LONG_WORD})
         if self.languages and len(every) < WORD_CACHE:
             self.scores(every)
 
@@ -235,13 +279,13 @@ class Model:
 SLICE = 512
 
 
-def _predict(model: Broadcast) -> Callable:
+def _predict(model: Broadcast, field: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                names, shares = own.predict(part.column("text").to_pylist())
+                names, shares = own.predict(text_column(part, field).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array(names, pa.string()), pa.array(shares, pa.float64())],
                     names=["key", "lang_pred", "score"])
@@ -250,11 +294,11 @@ def _predict(model: Broadcast) -> Callable:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each word of each text."""
+    """One row for each word of each text, long ones in parts."""
     for batch in batches:
         languages, words = [], []
         for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            own = words_of(text)
+            own = [w[i:i + FIT_LETTERS] for w in words_of(text) for i in range(0, len(w), FIT_LETTERS)]
             words += own
             languages += [language] * len(own)
         yield pa.RecordBatch.from_arrays(
@@ -275,13 +319,15 @@ def train(
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rank = F.xxhash64("text")
+    # different texts, however many copies they have; 2 % more or less matter to nothing
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(
+        F.approx_count_distinct(rank, 0.02).alias("n")).collect()}
     if not sizes:
         return Model(Pieces(read_pieces(vocabulary)), np.zeros((1, 0)), [])
-    rank = F.xxhash64("text")
     # the share of hashes that leaves about twice the sample is cut off before any shuffle
     share = F.create_map(*[
-        x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, 2.0 * sample_texts / n)))])
+        x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, 2.0 * sample_texts / max(n, 1))))])
     near = rows.withColumn("rank", rank).filter(
         F.col("rank") / F.lit(2.0 ** 64) + 0.5 <= F.element_at(share, F.col("lang")))
     nth = F.row_number().over(W.partitionBy("lang").orderBy("rank", "text"))
@@ -305,10 +351,11 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     """Per document: ``key``, ``lang_pred`` and ``score`` (0 to 1), over the whole text.
 
     A null text, or one without letters, is ``und`` with score 0. Of equally likely
-    languages the first by name is taken. Rows keep their multiplicity.
+    languages the first by name is taken. Rows keep their multiplicity. ``text`` may be a field
+    of ``key``, as in "row.text", and is then sent to the workers once.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows, field = keyed_texts(docs, key, text)
     kind = rows.schema["key"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(shared), f"key {kind}, lang_pred string, score double").select(
+    return rows.mapInArrow(_predict(shared, field), f"key {kind}, lang_pred string, score double").select(
         F.col("key").alias(key), "lang_pred", "score")
