@@ -25,11 +25,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.llm.rows import keyed_texts, text_column, whole_rows
 from flowscope.sizing import stored
 
 WINDOW = 10
 #: words of one shard; a single longer document is a shard by itself
-SHARD_WORDS = 500_000
+SHARD_WORDS = 250_000
 #: words of the test set in one broadcast
 BLOCK_WORDS = 1_000_000
 #: every so many-th position of a run of words is sampled
@@ -249,10 +250,10 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[list[int],
 RESULT = "n_words long, spans array<struct<begin:long,end:long>>, items array<long>"
 
 
-def _search(phrases: Broadcast) -> Callable:
+def _search(phrases: Broadcast, field: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = phrases.value
-        for keys, texts in _shards(batches):
+        for keys, texts in _shards(batches, field):
             sizes, spans, items = search_shard(texts, own)
             yield pa.RecordBatch.from_arrays([
                 keys, pa.array(sizes, pa.int64()),
@@ -264,12 +265,12 @@ def _search(phrases: Broadcast) -> Callable:
     return run
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
+def _shards(batches: Iterator[pa.RecordBatch], field: str | None) -> Iterator[tuple[pa.Array, list]]:
     """Rows of one partition in runs of about ``SHARD_WORDS`` words (six characters each)."""
     keys, texts, size = [], [], 0
     for batch in batches:
         begin = 0
-        for i, text in enumerate(batch.column("text")):
+        for i, text in enumerate(text_column(batch, field)):
             texts.append(text.as_py())
             size += len(texts[-1] or "") + 1
             if size >= 6 * SHARD_WORDS:
@@ -314,9 +315,9 @@ def _find(rows: DataFrame, key: str, text: str, blocks: Iterator[list[tuple]], w
     context = rows.sparkSession.sparkContext
 
     def search(rows: DataFrame, key: str, block: list[tuple]) -> DataFrame:
-        rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        rows, field = keyed_texts(rows, key, text)
         schema = f"key {rows.schema['key'].dataType.simpleString()}, {RESULT}"
-        return rows.mapInArrow(_search(context.broadcast(Phrases(block, window))), schema)
+        return rows.mapInArrow(_search(context.broadcast(Phrases(block, window)), field), schema)
 
     first, second = next(blocks), next(blocks, None)
     if second is None:
@@ -362,6 +363,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     Whole rows go through the search, so rows need no key. Only with a test set of several
     blocks they are joined with what was found, by a number of their own.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = _find(rows, "row", f"row.`{text}`", _blocks(benchmark, "item_id", "text"), WINDOW)
+    found = _find(whole_rows(docs), "row", f"row.{text}", _blocks(benchmark, "item_id", "text"), WINDOW)
     return found.filter(F.size("spans") == 0).select("row.*")
