@@ -5,7 +5,8 @@ on the content alone, so copied passages fall into the same chunks wherever they
 worker encodes each different chunk once and keeps it in a bounded cache that outlives
 texts, batches and tasks. Chunks cut words apart, so the joins are repaired: a window
 around the join is encoded again and widened word by word until its first and last words
-come out exactly as the two chunks have them.
+come out exactly as the two chunks have them. A word without end is not repaired chunk by
+chunk but kept open and encoded when it ends, so the work stays linear.
 
 Words are parted by spaces and line feeds; both are white space to every tokenizer
 that drops it, so what stands on either side is encoded independently. Words are encoded by
@@ -92,9 +93,12 @@ class Encoder:
         """Token ids of a whole text, equal to those of the library."""
         words: list[tuple[int, ...]] = []
         texts: list[str] = []  # of the last words, while a join may need them
-        for chunk in chunks_of(self.folded(text)):
+        for chunk, shared in whole_words(chunks_of(self.folded(text))):
             parts = split_words(chunk)
-            ids = self.encode_chunk(chunk, parts)
+            if shared:
+                ids = self.encode_chunk(chunk, parts)
+            else:  # its first word is encoded once, with what stands before it
+                ids = [(), *self.encode_words(parts[1:])] if texts else self.encode_words(parts)
             if texts:
                 ids, parts = self.repaired(words, texts, ids, parts)
             words += ids
@@ -198,6 +202,25 @@ def chunks_of(text: str) -> Iterator[str]:
             begin = end
 
 
+def whole_words(chunks: Iterator[str]) -> Iterator[tuple[str, bool]]:
+    """Chunks, and whether each is as the hash cut it.
+
+    Chunks without any border of words are parts of one unbroken word. They are held until
+    it ends and go out with the chunk that it ends in, so no part of it is encoded twice.
+    """
+    held: list[str] = []
+    for chunk in chunks:
+        if " " not in chunk and "\n" not in chunk:
+            held.append(chunk)
+        elif held:
+            yield "".join([*held, chunk]), False
+            held = []
+        else:
+            yield chunk, True
+    if held:
+        yield "".join(held), False
+
+
 #: rows turned into Python objects at once
 SLICE = 256
 
