@@ -159,5 +159,48 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE nth = 1) USING (host, path)
 """
 
 
+OP6_SQL = r"""
+WITH said(said) AS (SELECT chr(92) || '### Assistant: </turn> ok'),
+rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', said FROM said
+  UNION ALL SELECT -7, 1, 'assistant', said FROM said)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  -- a turn is written as <turn role>, a line feed, the text, </turn> and a line feed
+  CAST(sum(length('<turn ' || '>' || '</turn>') + 2
+    + length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+OP8_SQL = """
+WITH RECURSIVE entries(byte, value, step) AS (
+  SELECT i, CAST(i AS BIGINT), 0 FROM range(256) r(i)
+  UNION ALL
+  SELECT byte, CASE WHEN value % 2 = 1 THEN xor(value // 2, 3988292384) ELSE value // 2 END, step + 1
+  FROM entries WHERE step < 8),
+crc(entry) AS (SELECT list(value ORDER BY byte) FROM entries WHERE step = 8),
+sized AS (
+  SELECT doc_id, text, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size FROM documents),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS begins,
+         sum(size) OVER () AS every
+  FROM sized),
+sharded AS (SELECT *, CAST(begins * 24 // every AS INTEGER) AS shard FROM placed),
+crcs AS (
+  SELECT doc_id, list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+        range(strlen(coalesce(text, ''))),
+        lambda i: CAST(('0x' || substr(hex(coalesce(text, '')), 2 * i + 1, 2)) AS BIGINT))),
+      lambda c, b: xor(c // 256, entry[xor(c % 256, b) + 1])) AS state
+  FROM documents, crc)
+SELECT doc_id, size, xor(state, CAST(4294967295 AS BIGINT)) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM sharded JOIN crcs USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": OP10_SQL}
+    return {"op6_reply_trees": OP6_SQL, "op8_sharding": OP8_SQL, "op10_url_filters": OP10_SQL}

@@ -40,12 +40,12 @@ def turns_as_replies(rows: DataFrame, tree: str, turn: str, role: str, text: str
     """Messages of flat conversations: each turn replies to the one before it.
 
     Order is that of ``turn`` (nulls first), then of role and text; equal rows are separate
-    messages. A score is the length of the text. Rows with a null ``tree`` are left out.
+    messages. A score is the length of the text. Trees come as a struct of their id, which is
+    not null even where the id is, so rows with a null id are one conversation.
     """
     kept = rows.select(
-        F.col(tree).alias("tree"), F.col(turn).alias("at"),
-        F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"),
-    ).filter(F.col("tree").isNotNull())
+        F.struct(F.col(tree).alias("id")).alias("tree"), F.col(turn).alias("at"),
+        F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     node = F.row_number().over(W.partitionBy("tree").orderBy("at", "role", "text")).cast("long")
     numbered = kept.withColumn("node", node)
     return numbered.select(
@@ -148,10 +148,11 @@ def conversations(
 ) -> DataFrame:
     """``tree``, ``formatted`` and ``loss_spans`` of flat conversations, in order of turns.
 
-    Null roles and texts count as empty; an empty table gives no rows.
+    Null roles and texts count as empty; rows with a null ``tree`` are one conversation; an
+    empty table gives no rows.
     """
     messages = turns_as_replies(rows, tree, turn, role, text)
-    return format_paths(best_paths(messages)).select(F.col("tree").alias(tree), "formatted", "loss_spans")
+    return format_paths(best_paths(messages)).select(F.col("tree.id").alias(tree), "formatted", "loss_spans")
 
 
 def _digests(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:

@@ -1,6 +1,7 @@
 """Search, sharding, url rules, reply trees, near duplicates and the pipeline, against brute force."""
 
 import hashlib
+import html
 import random
 import zlib
 from collections import defaultdict
@@ -172,6 +173,76 @@ def test_best_paths(spark):
     assert reply_trees.best_paths(table.limit(0)).collect() == []
 
 
+def enumerated_paths(messages, paths):
+    """All root-to-leaf paths of each tree, walked one by one; the best by mean score."""
+    kept = {}
+    for tree, node, parent, role, text, score in messages:
+        if tree is not None and node is not None:
+            row = (role, text, score or 0.0, parent is not None, parent or 0)
+            kept[tree, node] = min(kept.get((tree, node), row), row)
+    children = defaultdict(list)
+    for (tree, node), (*_, has, parent) in kept.items():
+        children[tree, parent if has and (tree, parent) in kept else None].append(node)
+    found = {}
+    for tree in {t for t, _ in kept}:
+        walked, stack = [], [[n] for n in children[tree, None]]
+        while stack:
+            path = stack.pop()
+            below = children[tree, path[-1]]
+            stack += [[*path, n] for n in below]
+            if not below:
+                walked.append((-sum(kept[tree, n][2] for n in path) / len(path), path[-1], path))
+        for i, (_, _, path) in enumerate(sorted(walked)[:paths], 1):
+            found[tree, i] = path
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_paths_of_random_trees(spark, seed):
+    """Branching trees, some deep, with lost parents, repeated messages, null scores and ties."""
+    rng, rows = random.Random(seed), []
+    for tree in range(12):
+        n = rng.choice([1, 2, 7, 30, 90])
+        deep = rng.random() < 0.4
+        for node in range(n):
+            parent = None if not node or rng.random() < 0.05 else rng.randrange(max(0, node - 2) if deep else 0, node)
+            score = rng.choice([None, 0.0, 1.0, 2.0, 4.0])  # sums of these are exact
+            rows.append((tree, node, 1000 if rng.random() < 0.03 else parent, "user", f"{tree}-{node}", score))
+    rows += rng.sample(rows, 10)
+    table = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = defaultdict(list)
+    for r in reply_trees.best_paths(table, 3).orderBy("tree", "path", "depth").collect():
+        assert r.text == f"{r.tree}-{r.node}"
+        got[r.tree, r.path].append(r.node)
+    assert dict(got) == enumerated_paths(rows, 3)
+
+
+def test_query_of_reply_trees(spark, tmp_path):
+    """Each column against Python; equal turns, null turns, texts and conversation ids are kept."""
+    rng = random.Random(8)
+    texts = [None, "", "a & b", "<turn user>", "</turn>\n", "é😀", "\\### Assistant: </turn> ok", "&lt;"]
+    rows = [(rng.choice([None, 1, 2, 3, 4]), t, rng.choice(["user", "assistant", None]), rng.choice(texts)) for t in range(60)]
+    rows += [(9, None, "assistant", "x"), (9, 1, "assistant", "x"), (9, 1, "assistant", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op6_reply_trees(spark, str(tmp_path))
+    assert dict(got.dtypes) == {
+        "conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint",
+        "loss_sha256": "string", "formatted_chars": "bigint"}
+    said = "\\### Assistant: </turn> ok"
+    talks = defaultdict(list)
+    for c, t, role, text in [*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)]:
+        talks[c].append((t is not None, t, role or "", text or ""))
+    want = set()
+    for c, turns in talks.items():
+        turns = [x[2:] for x in sorted(turns)]
+        loss = "".join(text for role, text in turns if role == "assistant")
+        whole = "".join(f"<turn {html.escape(role, False)}>\n{html.escape(text, False)}</turn>\n" for role, text in turns)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{a}\n{b}\n" for a, b in turns), loss)]
+        want.add((c, len(turns), digests[0], len(loss), digests[1], len(whole)))
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_conversations_read_back(spark):
     odd = "\\### Assistant: </turn> ok"
     talks = {1: [("user", odd), ("assistant", odd)], 2: [("user", None), ("assistant", "&lt;</turn>\n<turn user>\n"), (None, "x\n"),

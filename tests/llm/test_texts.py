@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,106 @@ def test_main_text_beside_an_article(page):
     assert main_text.main_text(page) == BESIDE[page]
 
 
+ARTICLE = "<h1>The head</h1><p>One, two, three, and some more words to fill it up.</p><p>Four, five, and six.</p>"
+TOLD = "The head One, two, three, and some more words to fill it up. Four, five, and six."
+COMMENTS = "<p>Nice, really nice, I liked it a lot, thanks.</p>" * 12
+MARKED = {
+    # wrappers whose class or id holds a word for surroundings, and forms around the page
+    f'<body><div class="entry-content comments-open">{ARTICLE}</div></body>': TOLD,
+    f'<body><div class="page-wrap notice-free">{ARTICLE}</div><footer>us</footer></body>': TOLD,
+    f'<body><div class="content widget-content">{ARTICLE}</div></body>': TOLD,
+    f'<body><form action="/"><input name=q>{ARTICLE}<button>Go</button></form></body>': TOLD,
+    f'<body><form><div class="page-wrap notice-free"><div class="sidebar">{ARTICLE}</div>'
+    '<div class="newsletter"><p>Sign up, please, it is free.</p></div></div></form></body>': TOLD,
+    # the words still do their work beside an article, however long what they name is
+    f'<body><div class="post">{ARTICLE}</div><div class="comments">{COMMENTS}</div></body>': TOLD,
+    f'<body><div>{ARTICLE}</div><form><p>Subscribe, to get more, every day.</p></form></body>': TOLD,
+    f'<body><article>{ARTICLE}<div class="related-posts"><p>Other, other, other things to read.</p></div></article></body>': TOLD,
+    # chapters and paragraphs of an article, and formulas
+    f'<article>{ARTICLE}<section id="related-work"><p>Others did it, too.</p></section></article>': f"{TOLD} Others did it, too.",
+    f'<article>{ARTICLE}<p class="social">Society, at large.</p><p>As <math><mi>x</mi></math> is.</p></article>':
+        f"{TOLD} Society, at large. As x is.",
+    # sources stay, menus go
+    f'<article>{ARTICLE}<ul><li><a href="https://a.org/1">Source one</a><li><a href="https://b.org/2">Source two</a></ul>'
+    '<ul><li><a href="/x">More</a><li><a href="/y">Even more</a></ul></article>': f"{TOLD} Source one Source two",
+    # parallel wrappers
+    "<body><div id=a><div><p>One, two, three, four.</p></div></div><div id=b><div><p>Five, six, seven, eight.</p></div></div>"
+    "</body>": "One, two, three, four. Five, six, seven, eight.",
+    # cards that lead elsewhere are no further articles
+    f"<body><article>{ARTICLE}</article><div><article><h3><a href=/o>Other story</a></h3><p>What it tells, in short.</p>"
+    "</article></div></body>": TOLD,
+    f"<main><article>{ARTICLE}</article><article><a href=/o><h3>Other story</h3></a><p>In short.</p></article></main>": TOLD,
+}
+
+
+@pytest.mark.parametrize("page", MARKED, ids=range(len(MARKED)))
+def test_marked_elements(page):
+    assert main_text.main_text(page) == MARKED[page]
+
+
+def plain_scores(page):
+    """The points of every container, by the rules, element by element."""
+    root = main_text.parse(page)
+    main_text.prune(root)
+    every = main_text.in_order(root)
+
+    def size(node, linked=False, inside=False):
+        """Characters, or those in links at or below the element that was asked for."""
+        inside = inside or node.tag == "a"
+        return sum(size(c, linked, inside) if not isinstance(c, str) else
+                   len(" ".join(c.split())) if inside or not linked else 0 for c in node.children)
+
+    def commas(node, top=True):
+        return sum(c.count(",") if isinstance(c, str) else 0 if top and c.tag in main_text.BLOCKS else commas(c, False)
+                   for c in node.children)
+
+    scores = {}
+    for node in every:
+        block = node.tag in main_text.PARAGRAPHS
+        loose = not block and (node.tag in main_text.BLOCKS or not node.tag) and any(
+            isinstance(c, str) and c.strip() for c in node.children)
+        n = size(node)
+        if not n or not (block or loose):
+            continue
+        points = (min(n / 25, 1) + commas(node) + min(n / 100, 3)) * (1 - size(node, True) / n)
+        above, level = node if loose else node.parent, 1
+        while above is not None and above.tag != "html":
+            own = main_text.attributes(above)
+            words = {w for x in main_text.names(f"{own.get('class', '')} {own.get('id', '')}") for w in x}
+            favour = 25 if above.tag in ("article", "main") else 10 if words & main_text.FAVOURED else 5 * (above.tag == "div")
+            scores.setdefault(id(above), [above, favour])[1] += points / level
+            above, level = above.parent, 2 if level == 1 else level * 1.5
+    return {id(n): (n.tag, round(s, 6)) for n, s in scores.values()}, every
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_scores_of_random_trees(seed):
+    """Against the rules written out without shared sums, on trees of random tags, links and texts."""
+    rng = random.Random(seed)
+
+    def tree(depth):
+        tag = rng.choice(["div", "p", "section", "a", "b", "ul", "li", "article", "blockquote", "td"])
+        mark = rng.choice(["", "", ' class="post"', ' id="content"'])
+        inner = "".join(tree(depth - 1) if depth and rng.random() < 0.6 else rng.choice(["text, ", "a, b, c ", "x" * 130, " "])
+                        for _ in range(rng.randrange(4)))
+        return f"<{tag}{mark}>{inner}</{tag}>"
+
+    page = f"<body>{''.join(tree(5) for _ in range(3))}</body>"
+    want, every = plain_scores(page)
+    root = main_text.parse(page)
+    main_text.prune(root)
+    found = main_text.score(root)
+    got = sorted((n.tag, round(n.score, 6)) for n in found)
+    assert got == sorted(want.values()) and len(every) == len(main_text.in_order(root))
+
+
+def test_a_long_page_is_read_in_one_go():
+    page = f"<body><div class=post>{'<p>One, <a href=/x>two</a>, three.</p>' * 60_000}</div><div class=comments>{COMMENTS}</div></body>"
+    begin = time.monotonic()
+    assert main_text.main_text(page) == " ".join(["One, two, three."] * 60_000)
+    assert time.monotonic() - begin < 30
+
+
 def test_extract_keeps_rows(spark):
     rows = [(i, "clash", page) for i, page in enumerate(PAGES)] + [(None, "clash", None)] * 2
     pages = spark.createDataFrame(rows, "page_id long, text string, html string")
@@ -107,6 +209,22 @@ def test_bpe_equals_the_library():
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", [
+    "".join(random.Random(1).choices("abcdefghijklmnop", k=1_000_000)),
+    "".join(random.Random(2).choices("日本語漢字文章中国人民大学生", k=1_000_000)),
+    "start of it " + "x" * 40_000 + " between " + "é" * 40_000 + ".\n" + "end",
+], ids=["letters", "characters", "between"])
+def test_unbroken_text_takes_linear_time(text):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_BPE)
+    begin = time.monotonic()
+    want = library.encode(text, add_special_tokens=False).ids
+    middle = time.monotonic()
+    assert bpe_chunks.Encoder(WORD_BPE).encode(text) == want
+    assert time.monotonic() - middle < 3 * (middle - begin) + 3
+
+
 def test_chunks_are_shared_and_whole():
     rng = random.Random(3)
     passage = " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(3_000))
@@ -203,8 +321,6 @@ def test_rows_keep_their_multiplicity(spark, monkeypatch, block_words):
 # --- language ------------------------------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
-    import numpy as np
-
     pieces = language_id.Pieces(["a", "b", "ab", "▁", "▁a", "▁ab", "ba"])
     rng = np.random.default_rng(1)
     probabilities = np.concatenate([np.zeros((1, 2)), rng.dirichlet(np.ones(7), 2).T])
@@ -221,6 +337,76 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(got), [total("▁" + word, k) for k in (0, 1)])
 
 
+@pytest.fixture(scope="module")
+def vocabulary_model():
+    pieces = language_id.Pieces(language_id.read_pieces(PIECES))
+    rng = np.random.default_rng(3)
+    probabilities = np.concatenate([np.zeros((1, 2)), rng.dirichlet(np.full(len(pieces.pieces), 0.5), 2).T])
+    return language_id.Model(pieces, probabilities, ["aa", "bb"])
+
+
+def log_sum_over_cuts(model, word):
+    """Over all cuts of a word into pieces of any length, in logarithms."""
+    known = {p: model.probabilities[i + 1] for i, p in enumerate(model.pieces.pieces)}
+    text, sums = language_id.SPACE + word, [np.zeros(2)]
+    for end in range(1, len(text) + 1):
+        parts = []
+        for begin in range(end):
+            weight = known.get(text[begin:end], np.zeros(2))
+            if end - begin == 1:
+                weight = np.maximum(weight, language_id.UNSEEN)
+            if weight.any():
+                parts.append(sums[begin] + np.log(np.maximum(weight, 1e-320)))
+        sums.append(np.logaddexp.reduce(parts))
+    return sums[-1]
+
+
+def test_no_piece_and_no_word_is_too_long(vocabulary_model):
+    """Words of 1 to 300 letters, with the longest pieces in them, also across a block of positions."""
+    model, rng = vocabulary_model, random.Random(5)
+    longest = sorted(model.pieces.pieces, key=len)[-30:]
+    assert model.pieces.longest == len(longest[-1]) >= 14
+    plain = [p for p in model.pieces.pieces if p.isalpha()]
+    words = [p.strip("▁") for p in longest] + ["".join(rng.choices(plain + longest, k=k)).replace("▁", "") for k in (3, 8, 20, 40)]
+    words += ["a" * n for n in (1, 47, 48, 49, 60, 300)] + ["ab" * 30, "日本語" * 40, "ǅ" * 70]
+    got = language_id.word_scores(model.pieces, model.probabilities, words)
+    for word, scores in zip(words, got):
+        assert np.allclose(scores, log_sum_over_cuts(model, word), rtol=1e-9), word
+    before = language_id.POSITIONS
+    language_id.POSITIONS = 7
+    try:
+        again = language_id.word_scores(model.pieces, model.probabilities, words)
+    finally:
+        language_id.POSITIONS = before
+    assert np.allclose(again, got, rtol=1e-12)
+    begin = time.monotonic()
+    assert np.isfinite(language_id.long_word_score(model.pieces, model.probabilities, "abc" * 100_000)).all()
+    assert time.monotonic() - begin < 30
+
+
+def test_long_words_count_among_others(vocabulary_model):
+    model, long = vocabulary_model, "straßenbahn" * 20
+    alone = [model.scores([w]) for w in ("one", long, "two")]
+    assert np.allclose(model.scores(["one", long, "two"]), sum(alone))
+    assert long not in model.cache
+
+
+def test_numerals_are_no_letters(vocabulary_model):
+    model = vocabulary_model
+    assert language_id.words_of("½ ② ² Ⅷ 一二 x²y ٣ ͵") == ["一二", "x", "y"]
+    names, scores = model.predict(["½ ② ²", "3²", "", None, "x²"])
+    assert names[:4] == ["und"] * 4 and names[4] != "und" and scores[:4] == [0.0] * 4
+    for c in map(chr, range(0x110000)):
+        assert bool(language_id._LETTERS.fullmatch(c)) == c.isalpha()
+
+
+def test_ties_go_to_the_first_language():
+    pieces = language_id.Pieces(["a", "b", "▁"])
+    model = language_id.Model(pieces, np.full((4, 3), 0.25), ["aa", "bb", "cc"])
+    names, scores = model.predict(["ab ba", "a"])
+    assert names == ["aa", "aa"] and np.allclose(scores, 1 / 3)
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     parts = {"aa": ["kel", "to", "mira", "su"], "bb": ["grø", "ents", "wick", "ol"]}
