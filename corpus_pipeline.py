@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowscope.llm import decontaminate, jaccard_join, language_id
 from flowscope.llm.queries import bpe_digests, vocabulary
+from flowscope.llm.rows import whole_rows
 from flowscope.sizing import local_scratch, small_rows, stored
 
 #: a text whose likeliest language has a smaller share of the probability is rejected
@@ -20,9 +21,8 @@ LEAST_SCORE = 0.5
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language that the models know; null texts and texts without letters go."""
     model = language_id.train(docs, vocabulary("piece_bpe_32k.model"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return language_id.predict(rows, model, "row").filter(known).select("row.*")
+    return language_id.predict(whole_rows(docs), model, "row", "row.text").filter(known).select("row.*")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
