@@ -39,14 +39,15 @@ SMOOTHING, UNSEEN = 0.05, 1e-6
 LETTER_SCALE = 30.0
 WORD_CACHE = 200_000
 
-#: to a pattern these are word characters and no digits, but they are no letters either
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
-    return _LETTERS.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, found)):  # numerals that are no digits, as in x², are no letters
+        found = [w for part in found for w in "".join(c if c.isalpha() else " " for c in part).split(" ") if w]
+    return found
 
 
 #: stands for the space in front of a word
@@ -58,9 +59,8 @@ def read_pieces(path: str) -> list[str]:
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    plain = re.compile(rf"{SPACE}?[^\W\d_{_NUMERALS}]*")
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if p and plain.fullmatch(p))
+    return sorted(p for p in found if p and (p == SPACE or p.removeprefix(SPACE).isalpha()))
 
 
 class Pieces:
@@ -231,6 +231,9 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def forget(self) -> None:
+        self.cache, self.used, self.rows = {}, 0, self.rows[:0]
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Log probability of all ``words`` together in each language."""
         long = [w for w in words if len(w) > LONG_WORD]
@@ -289,6 +292,7 @@ def _predict(model: Broadcast, field: str | None) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array(names, pa.string()), pa.array(shares, pa.float64())],
                     names=["key", "lang_pred", "score"])
+        own.forget()  # the worker goes on to other work
 
     return run
 
