@@ -2,8 +2,8 @@
 
 A rolling hash over the last characters cuts every text into chunks at places that depend
 on the content alone, so copied passages fall into the same chunks wherever they stand. A
-worker encodes each different chunk once and keeps it in a bounded cache that outlives
-texts, batches and tasks. Chunks cut words apart, so the joins are repaired: a window
+task encodes each different chunk once and keeps it in a bounded cache that outlives texts
+and batches. Chunks cut words apart, so the joins are repaired: a window
 around the join is encoded again and widened word by word until its first and last words
 come out exactly as the two chunks have them. A word without end is not repaired chunk by
 chunk but kept open and encoded when it ends, so the work stays linear.
@@ -61,6 +61,9 @@ class Encoder:
         self.chunks: dict[str, list[tuple[int, ...]]] = {}
         self.chunk_chars = 0
 
+    def forget(self) -> None:
+        self.words, self.chunks, self.chunk_chars = {}, {}, 0
+
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Token ids of each word; every different one is encoded once."""
         found = [*map(self.words.get, words)]
@@ -234,6 +237,7 @@ def _encode(path: str, decoded: bool) -> Callable:
                 ids = [own.encode(t or "") for t in part.column("text").to_pylist()]
                 for rows in _id_batches(part.column("key"), ids):
                     yield _with_texts(rows, own) if decoded else rows
+        own.forget()  # the worker goes on to other work
 
     return run
 
