@@ -10,8 +10,8 @@ from flowscope.functions import round_np, without_nan
 from flowscope.sizing import small_or_same
 
 BINS_PER_E = 4096
-#: equal parts that a bin with a wanted rank is cut into
-CELLS = 4_096
+#: equal parts that a bin with a wanted rank is cut into, and rows of a bin that need no cutting
+CELLS, FEW_ROWS = 4_096, 1_000_000
 
 
 def positive_or_all(df: DataFrame, col: str) -> DataFrame:
@@ -90,13 +90,36 @@ def class_summary(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("samples"))
 
 
-def exact_percentiles(df: DataFrame, by: str, col: str, probs: dict[str, float]) -> DataFrame:
+def _cut_again(values: DataFrame, by: str, hit_bins: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values of the bins that are hit with their equal cells, and the cells that hold a wanted rank.
+
+    Values may crowd in one bin, so each is cut between its own ends.
+    """
+    part = F.floor((F.col("v") - F.col("low")) / (F.col("top") - F.col("low")) * F.lit(CELLS))
+    cell = F.when(F.col("top") > F.col("low"), part).otherwise(F.lit(0)).alias("cell")
+    fine = values.join(hit_bins.select(by, "bin", "low", "top"), [by, "bin"]).select(by, "bin", "v", cell)
+    cells = fine.groupBy(by, "bin", "cell").agg(F.count("*").alias("n"))
+    in_bin = W.partitionBy(by, "bin").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
+    hit_cells = (
+        cells.withColumn("less", F.sum("n").over(in_bin) - F.col("n"))
+        .join(ranks.select(by, "bin", "before", "lower", "upper"), [by, "bin"])
+        .withColumn("before", F.col("before") + F.col("less"))
+        .filter((F.col("lower") < F.col("before") + F.col("n")) & (F.col("upper") >= F.col("before")))
+        .select(by, "bin", "cell", "before").distinct()
+    )
+    return fine, hit_cells
+
+
+def exact_percentiles(
+    df: DataFrame, by: str, col: str, probs: dict[str, float], few_rows: int = FEW_ROWS,
+) -> DataFrame:
     """Count, mean, max and exact linearly interpolated percentiles of ``col`` per ``by``.
 
     The built-in exact ``percentile`` keeps every distinct value of a group in one buffer.
     Here a first pass counts values in fine bins of a rising function of the value, which
-    tells the bin that holds each wanted rank; a second pass counts again in equal cells of
-    those bins; a third one sorts the distinct values of the cells hit only. A group without any value gets nulls.
+    tells the bin that holds each wanted rank. Where such a bin holds more than ``few_rows``, a
+    second pass counts again in equal cells of those bins. The last one sorts the distinct
+    values of the cells hit only. A group without any value gets nulls.
     """
     value = without_nan(F.col(col).cast("double"))
     values = (
@@ -130,24 +153,17 @@ def exact_percentiles(df: DataFrame, by: str, col: str, probs: dict[str, float])
             (F.col("size") == 0)
             | ((F.col("lower") < F.col("before") + F.col("n")) & (F.col("upper") >= F.col("before")))
         )
-        .select(by, "bin", "before", "low", "top", "size", "mean", "max", "name", "lower", "upper")
+        .select(by, "bin", "n", "before", "low", "top", "size", "mean", "max", "name", "lower", "upper")
     )
     ranks = small_or_same(ranks)
-
-    # values may crowd in one bin, so each that is hit is cut again between its own ends
-    hit_bins = ranks.select(by, "bin", "low", "top").distinct()
-    part = F.floor((F.col("v") - F.col("low")) / (F.col("top") - F.col("low")) * F.lit(CELLS))
-    cell = F.when(F.col("top") > F.col("low"), part).otherwise(F.lit(0)).alias("cell")
-    fine = values.join(hit_bins, [by, "bin"]).select(by, "bin", "v", cell)
-    cells = fine.groupBy(by, "bin", "cell").agg(F.count("*").alias("n"))
-    in_bin = W.partitionBy(by, "bin").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
-    hit_cells = (
-        cells.withColumn("less", F.sum("n").over(in_bin) - F.col("n"))
-        .join(ranks.select(by, "bin", "before", "lower", "upper"), [by, "bin"])
-        .withColumn("before", F.col("before") + F.col("less"))
-        .filter((F.col("lower") < F.col("before") + F.col("n")) & (F.col("upper") >= F.col("before")))
-        .select(by, "bin", "cell", "before").distinct()
-    )
+    hit_bins = ranks.select(by, "bin", "n", "before", "low", "top").distinct()
+    if (hit_bins.agg(F.max("n")).first()[0] or 0) <= few_rows:
+        # no bin that is hit holds much, so its values are sorted as they are
+        whole = F.lit(0).cast("long").alias("cell")
+        fine = values.join(hit_bins.select(by, "bin"), [by, "bin"]).select(by, "bin", "v", whole)
+        hit_cells = hit_bins.select(by, "bin", whole, "before")
+    else:
+        fine, hit_cells = _cut_again(values, by, hit_bins, ranks)
     spread = (
         fine.join(small_or_same(hit_cells), [by, "bin", "cell"])
         .groupBy(by, "bin", "cell", "before", "v").agg(F.count("*").alias("n"))

@@ -299,6 +299,7 @@ def oracle_sql() -> dict[str, str]:
         "counter_deltas_hot_keys": _q(_deltas(True), DELTA_COLS),
         "counter_deltas_sessions": _q(
             _deltas(True, sessions=True), DELTA_COLS),
+        "stream_recorded_deltas": _q(_deltas(True, sessions=True), DELTA_COLS),
         "min_gap": _q(_deltas(True), DELTA_COLS + " WHERE dt > 600"),
         "active_only": _q(_deltas(True), DELTA_COLS + " WHERE dp > 0 OR packet_count > 0"),
         "flow_rates": _q(_deltas(True), RATE_COLS),
@@ -426,6 +427,10 @@ def oracle_sql() -> dict[str, str]:
         "forest_importance": """
             SELECT 'e' || i AS feature, CAST(i AS INTEGER) AS pos, TRUE AS usable, 1e0 AS total
             FROM range((SELECT max(len(embedding)) FROM embeddings)) r(i)""",
+        "informative_features": """
+            SELECT feature, CAST(pos AS INTEGER) AS pos, feature IN ('pkts_per_s', 'byts_per_s') AS informative
+            FROM (VALUES ('flow_duration', 0), ('pkts_per_s', 1), ('byts_per_s', 2), ('pkt_len_mean', 3),
+                         ('byte_count', 4), ('packet_count', 5)) v(feature, pos)""",
         "train_logistic": _q(VECTORS, KNOWN),
         "train_tree": _q(VECTORS, KNOWN),
         "train_forest": _q(VECTORS, KNOWN),

@@ -30,6 +30,7 @@ from flowscope.sizing import scratch_dir
 from flowscope.streaming import counters as sc
 from flowscope.streaming import packets as sp
 from flowscope.streaming import port_rate as spr
+from flowscope.streaming import recorded as srec
 from flowscope.streaming import scoring as ss
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,6 +378,26 @@ def stream_forwarding_decisions(s: SparkSession, d: str, salts: int = 1) -> Data
     return s.read.parquet(f"{path}/rows").select("seq", "dpid", "in_port", "eth_src", "eth_dst", "out_port")
 
 
+def stream_recorded_deltas(s: SparkSession, d: str) -> DataFrame:
+    """Polls and the turns of recording in slices, and a turn an hour later that lets the last polls out."""
+    polls = _stats(s, d).select("flow_key", "event_ts", "event_id", "packet_count", "byte_count")
+    turns = srec.switch_events(tv.recording_windows(s, d))
+    end = polls.agg((F.max("event_ts") + F.expr("INTERVAL 1 HOUR")).alias("event_ts")).select(
+        "event_ts", F.lit(False).alias("on"))
+    rows = polls.unionByName(turns.unionByName(end), allowMissingColumns=True)
+
+    def start(stream: DataFrame, path: str):
+        deltas = srec.stream_recorded_deltas(
+            stream.filter(F.col("on").isNull()), stream.filter(F.col("on").isNotNull()).select("event_ts", "on"),
+            tiebreak="event_id", buckets=8)
+        return (
+            deltas.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True).start(f"{path}/rows"))
+
+    path = _in_slices(s, rows.filter(F.col("event_ts").isNotNull()), EVENT_US, "recorded-deltas", start)
+    return s.read.parquet(f"{path}/rows").select(*DELTAS)
+
+
 def keep_last_known_port(s: SparkSession, d: str) -> DataFrame:
     path = _in_slices(
         s, _packet_rows(s, d), EVENT_US, "port-table",
@@ -448,6 +469,15 @@ def predict_reloaded(s: SparkSession, d: str) -> DataFrame:
     return every
 
 
+def informative_features(s: SparkSession, d: str) -> DataFrame:
+    """Whether the forest finds a column worth a tenth or more, on flows whose class shows in two of them."""
+    rows = tv.telling_flows(s, d, "event_id").drop("event_ts", "dpid", "flow_key")
+    rows = cl.traffic_columns(ft.stratified_split(ft.encode_label(rows), key="event_id"))
+    columns = [c for c in rows.columns if c not in ("label", "label_index", "split", "event_id")]
+    found = ft.forest_importance(rows.filter("split = 'train'"), columns)
+    return found.select("feature", "pos", (F.col("importance") >= 0.1).alias("informative"))
+
+
 def _told_batches(s: SparkSession, d: str, name: str, write: Callable) -> str:
     """Flows with telling rates as a stream that the winner of a run over them scores."""
     folder, _ = _told_run(s, d)
@@ -765,6 +795,7 @@ def queries() -> dict[str, Query]:
         "stratified_split": lambda s, d: _split(s, d).select("event_id", "scenario", "split"),
         "stratified_split_overall": _split_overall,
         "forest_importance": forest_importance,
+        "informative_features": informative_features,
         "assemble": _assembled,
         "fit_scaler": _fit_scaler,
         "apply_scaler": _apply_scaler,
@@ -810,6 +841,7 @@ def queries() -> dict[str, Query]:
         "emit_metrics_winner": emit_metrics_winner,
         "stream_forwarding_decisions": stream_forwarding_decisions,
         "stream_forwarding_decisions_salted": partial(stream_forwarding_decisions, salts=3),
+        "stream_recorded_deltas": stream_recorded_deltas,
         "stream_unique_port_rate": stream_unique_port_rate,
         "keep_last_known_port": keep_last_known_port,
         "keep_live_devices": keep_live_devices,

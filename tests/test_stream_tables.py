@@ -7,11 +7,13 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from flowscope.functions import relative_bin
+from flowscope.operators.counters import counter_deltas
 from flowscope.operators.packets import drop_lldp, forwarding_decisions, last_known_port, live_devices
 from flowscope.operators.telemetry import scenario_t0
 from flowscope.schemas import DEVICE_STATE, METRICS, PACKET_IN, TIMING
 from flowscope.streaming import packets as sp
 from flowscope.streaming.port_rate import PortRates, stream_unique_port_rate
+from flowscope.streaming.recorded import stream_recorded_deltas
 
 IP, LLDP = 0x0800, 0x88CC
 
@@ -179,3 +181,37 @@ def test_discovery_frames_are_not_decided(spark, tmp_path):
     decide(spark, str(tmp_path / "in"), str(tmp_path))
     assert {k: v[-1] for k, v in decisions(spark, str(tmp_path)).items()} == {1: "2"}
     assert drop_lldp(spark.createDataFrame(rows, PACKET_IN)).count() == 1
+
+
+def recorded(spark, folders, path, **options):
+    """Drain both streams, from the checkpoint that the run before left."""
+    polls = spark.readStream.schema("flow_key string, event_ts timestamp, packet_count long, byte_count long, n int").parquet(folders[0])
+    control = spark.readStream.schema("event_ts timestamp, on boolean").parquet(folders[1])
+    query = (
+        stream_recorded_deltas(polls, control, tiebreak="n", **options).writeStream.format("parquet")
+        .option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start(f"{path}/o"))
+    assert query.awaitTermination(120)
+
+
+def test_recording_turns_clear_the_state(spark, tmp_path):
+    """Off and on between two polls, turns that change nothing, rows out of order, restarts, null flows."""
+    rng = random.Random(4)
+    poll_schema, control_schema = "flow_key string, event_ts timestamp, packet_count long, byte_count long, n int", "event_ts timestamp, on boolean"
+    polls = [(rng.choice(["a", "b", "c", None]), at(i / 3), 2**53 + i * i, rng.choice([None, i]), i) for i in range(360)]
+    turns = [(4, True), (30, False), (30.1, True), (41, True), (50, False), (52, False), (60, True), (80, False), (80, True), (110, False)]
+    folders, path = (str(tmp_path / "p"), str(tmp_path / "t")), str(tmp_path)
+    arrived = sorted(polls, key=lambda r: r[1].timestamp() + rng.random() * 8)
+    for i in range(3):
+        append(spark, folders[0], arrived[120 * i:120 * i + 120], poll_schema)
+        append(spark, folders[1], [(at(t), on) for t, on in turns if 40 * i <= t < 40 * i + 40], control_schema)
+        recorded(spark, folders, path, buckets=3)
+    append(spark, folders[1], [(at(1_000), False)], control_schema)
+    recorded(spark, folders, path, buckets=3)
+    windows = [(4, 30), (30.1, 50), (60, 80), (80, 110)]
+    sessions = [(*p, i) for p in polls for i, (a, b) in enumerate(windows) if at(a) <= p[1] < at(b)]
+    want = counter_deltas(
+        spark.createDataFrame(sessions, poll_schema + ", session int"), "flow_key", tiebreak="n", session="session")
+    got = spark.read.parquet(f"{path}/o")
+    columns = [c for c in want.columns if c in got.columns]
+    assert {"n", "dt", "delta_packet_count", "prev_byte_count"} <= set(columns) and got.count() > 200
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
