@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from flowscope.functions import order_key
+from flowscope.sizing import small_or_same
 
 ROWS_PER_CHUNK = 20_000_000
 MICROS = 1_000_000
@@ -27,6 +28,8 @@ GRIDS = [60 * MICROS, MICROS, MICROS // 1000]
 SAMPLES = 20
 #: chunks that one instant may be cut into
 ROOM = 1 << 20
+#: chunks that all hot rows are cut into at most; their borders are known to the driver
+MOST_CHUNKS = 4096
 
 
 def time_cuts(df: DataFrame, ts: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> list[int]:
@@ -82,12 +85,12 @@ def chunked(df: DataFrame, ts: str, cuts: list[int]) -> DataFrame:
 def hot_keys(df: DataFrame, keys: list[str], rows_per_chunk: int) -> DataFrame | None:
     """Keys with more rows than a chunk, and their counts; None where there are none.
 
-    Counted by partial aggregation over the key columns alone. At most one row for each
-    ``rows_per_chunk`` rows comes to the driver.
+    Counted by partial aggregation over the key columns alone. Few of them are a local
+    relation; many stay where they are and are joined as any other table.
     """
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > F.lit(rows_per_chunk))
-    found = counted.toArrow()
-    return df.sparkSession.createDataFrame(found, schema=counted.schema) if found.num_rows else None
+    found = small_or_same(counted)
+    return None if found is not counted and found.isEmpty() else found
 
 
 def order_cuts(
@@ -96,13 +99,15 @@ def order_cuts(
     """Borders (epoch microseconds, tiebreak) about ``rows_per_chunk`` of ``total`` rows apart.
 
     Chosen from a sample, which decides about the balance only. Without a tiebreak rows of
-    one instant stay together, as nothing orders them.
+    one instant stay together, as nothing orders them. There are at most ``MOST_CHUNKS``
+    chunks, so what comes to the driver does not grow with ``total``.
     """
+    wanted = min(max(total // rows_per_chunk, 1), MOST_CHUNKS)
     tie = F.lit(None).cast("int") if tiebreak is None else F.col(tiebreak)
     timed = rows.filter(F.col(ts).isNotNull()).select(F.unix_micros(ts).alias("us"), tie.alias("tie"))
-    seen = timed.sample(min(1.0, SAMPLES / rows_per_chunk), seed=0).collect()
+    seen = timed.sample(min(1.0, SAMPLES * wanted / total), seed=0).collect()
     seen = sorted(map(tuple, seen), key=lambda r: (r[0], r[1] is not None, r[1]))
-    chunks = min(max(total // rows_per_chunk, 1), len(seen))
+    chunks = min(wanted, len(seen))
     return sorted({seen[i * len(seen) // chunks] for i in range(1, chunks)}, key=lambda r: (r[0], r[1] is not None, r[1]))
 
 

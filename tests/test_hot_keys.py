@@ -58,6 +58,25 @@ def test_chunks_rise_with_time_and_tiebreak(spark):
     assert chunks == sorted(chunks) and len(set(chunks)) > 15
 
 
+def test_what_comes_to_the_driver_does_not_grow_with_the_rows(spark, monkeypatch):
+    """Borders and hot keys are as many as the limits say, whatever the rows, and cut as right."""
+    from flowscope import sizing
+    from flowscope.operators import ordered
+
+    monkeypatch.setattr(ordered, "MOST_CHUNKS", 16)
+    timed = spark.range(20_000).select(F.timestamp_seconds(F.col("id") % 977).alias("ts"), F.col("id").alias("tie"))
+    cuts = order_cuts(timed, "ts", "tie", 20_000, 5)
+    assert 8 < len(cuts) < 16
+    df = timed.withColumn("key", (F.col("tie") % 50).cast("string")).withColumn("v", F.col("tie"))
+    # more hot keys than go to the driver are never there as a local relation
+    monkeypatch.setattr(ordered, "small_or_same", lambda found: sizing.small_or_same(found, 10))
+    hot = hot_keys(df, ["key"], 5)
+    assert hot.count() == 50 and "LocalTableScan" not in hot._jdf.queryExecution().executedPlan().toString()
+    want = with_previous(df, ["key"], "ts", ["v"], "tie", 10**9)
+    got = with_previous(df, ["key"], "ts", ["v"], "tie", 5).select(*want.columns)
+    assert got.count() == 20_000 and got.exceptAll(want).isEmpty()
+
+
 def test_the_plan_is_unchanged_without_hot_keys(spark):
     df = spark.range(1_000).selectExpr(
         "CAST(id % 50 AS STRING) AS flow_key", "timestamp_seconds(id) AS event_ts", "id AS packet_count",
