@@ -14,9 +14,13 @@ from flowscope.sources.ledger import KeptTable
 from flowscope.streaming.learned_ports import LESSON, MISSING, LearnedPorts
 
 QUESTION = LESSON + 1
+#: groups that addresses are dealt to
+BUCKETS = 64
 
 
-def stream_forwarding_decisions(packets: DataFrame, late: str = "10 seconds", salts: int = 1) -> DataFrame:
+def stream_forwarding_decisions(
+    packets: DataFrame, late: str = "10 seconds", salts: int = 1, buckets: int = BUCKETS,
+) -> DataFrame:
     """Streaming form of ``forwarding_decisions``; needs the RocksDB state store.
 
     A decision comes when the watermark, the newest event time less ``late``, has passed its
@@ -24,7 +28,8 @@ def stream_forwarding_decisions(packets: DataFrame, late: str = "10 seconds", sa
     rows dropped by the watermark. Link-layer discovery frames teach and ask nothing, but
     their times move the watermark.
 
-    The state is one port per device and address, and the packets not yet due. With
+    The state is one port per device and address, and the packets not yet due. Addresses are
+    dealt to ``buckets`` groups, which is the most tasks that decide at a time. With
     ``salts`` the questions about one address are dealt to so many tasks, and each of them
     gets all its lessons: for addresses that are asked for much more often than they send.
     Packets have the columns of the packet-in table.
@@ -54,18 +59,18 @@ def stream_forwarding_decisions(packets: DataFrame, late: str = "10 seconds", sa
     discovery = F.col("ethertype").eqNullSafe(F.lit(ETHERTYPE_LLDP))
     rows = F.when(~discovery & F.col("event_ts").isNotNull(), F.array(*lessons, question))
     state = T.StructType.fromDDL(
-        "kind int, us long, seq long, eth_src string, eth_dst string, in_port long, ethertype long, port long")
+        "kind int, us long, seq long, eth_src string, eth_dst string, in_port long, ethertype long, port long, "
+        "dpid long, mac string")
     out = T.StructType.fromDDL(
         "us long, seq long, dpid long, in_port long, eth_src string, eth_dst string, ethertype long, learned long")
-    # the state has no device, as its key has it
-    asked = T.StructType([*state.fields, T.StructField("dpid", T.LongType())])
     decided = (
         packets.withWatermark("event_ts", late)
-        .select("event_ts", whole("dpid").alias("device"), F.inline(rows))
-        .withColumn("dpid", F.col("device"))
-        .groupBy("device", "mac", "salt")
+        .select("event_ts", whole("dpid").alias("dpid"), F.inline(rows))
+        .withColumn("bucket", F.pmod(F.xxhash64("dpid", "mac", "salt"), F.lit(buckets)).cast("int"))
+        .drop("salt")
+        .groupBy("bucket")
         .transformWithStateInPandas(
-            statefulProcessor=LearnedPorts(asked, out.fieldNames()), outputStructType=out,
+            statefulProcessor=LearnedPorts(state, out.fieldNames()), outputStructType=out,
             outputMode="Append", timeMode="EventTime"))
 
     def back(c: str, kind: T.DataType):

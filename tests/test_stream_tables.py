@@ -94,6 +94,19 @@ def test_nothing_is_decided_before_the_watermark(spark, tmp_path):
     assert {k: v[-1] for k, v in decisions(spark, path).items()} == {0: "FLOOD", 1: "8", 2: "5"}
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_waiting_packets_are_blocks_of_the_state(spark, tmp_path, salts):
+    """What waits, and the calls for it, go with the groups and not with packets and addresses."""
+    rows = [(at(i / 1_000), i, i % 3, i % 9, f"s{i % 400}", f"s{(7 * i) % 500}", IP) for i in range(1_200)]
+    folder, path = str(tmp_path / "in"), str(tmp_path)
+    append(spark, folder, rows, PACKET_IN)
+    waiting = decide(spark, folder, path, salts=salts)[-1]["stateOperators"][0]["numRowsTotal"]
+    assert waiting <= 4 * sp.BUCKETS
+    append(spark, folder, [heartbeat(1_000)], PACKET_IN)
+    decide(spark, folder, path, salts=salts)
+    assert decisions(spark, path) == batch_decisions(spark, rows)
+
+
 @pytest.mark.parametrize("kind", ["ports", "devices"])
 def test_kept_tables_equal_the_batch_after_every_batch(spark, tmp_path, kind):
     """Also where the stream is started again, and where a batch is put in twice."""
