@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from flowscope.operators.forests import Forest
 from flowscope.schemas import N_FEATURES, SEED, SELECTOR_TREES, TEST_SIZE
 from flowscope.sizing import small_or_same
 
-MAX_DEPTH = 30  # the deepest tree Spark grows
+MAX_DEPTH = 30  # of all trees
 
 
 def class_index(df: DataFrame, label: str = "label") -> DataFrame:
@@ -136,11 +136,8 @@ def forest_importance(
     label: str = "label_index",
 ) -> DataFrame:
     """Importance of each column in a forest fitted on ``train``."""
-    forest = RandomForestClassifier(
-        featuresCol="_features", labelCol=label, numTrees=trees, seed=seed,
-        maxDepth=MAX_DEPTH, cacheNodeIds=True)
-    fitted = forest.fit(assemble(train, cols, "_features").select("_features", label))
-    weights = fitted.featureImportances.toArray()
+    rows = assemble(train, cols, "_features").select("_features", label)
+    weights = Forest(rows, trees, seed, MAX_DEPTH, label, features="_features").importances()
     rows = [(name, float(weights[i]), i) for i, name in enumerate(cols)]
     return train.sparkSession.createDataFrame(rows, "feature string, importance double, pos int")
 

@@ -5,23 +5,17 @@ from __future__ import annotations
 import time
 
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.operators.evaluation import best_model
-from flowscope.operators.features import balanced_weights
+from flowscope.operators.features import MAX_DEPTH, balanced_weights
+from flowscope.operators.forests import Forest
 from flowscope.schemas import FOREST_TREES, LOGISTIC_ITERATIONS, MODEL_NAMES, SEED
 from flowscope.sources.artifacts import save_model
 
 LABEL = "label_index"
-MAX_DEPTH = 30  # the deepest tree Spark grows
-# deep trees: keep each row's node with the row instead of sending all trees every level
-DEEP = {"cacheNodeIds": True}
 
 
 def train_logistic(train: DataFrame, max_iter: int = LOGISTIC_ITERATIONS) -> Model:
@@ -34,18 +28,14 @@ def train_logistic(train: DataFrame, max_iter: int = LOGISTIC_ITERATIONS) -> Mod
 
 
 def train_tree(train: DataFrame, seed: int = SEED, max_depth: int = MAX_DEPTH) -> Model:
-    return DecisionTreeClassifier(
-        featuresCol="features", labelCol=LABEL, maxDepth=max_depth, seed=seed, **DEEP).fit(train)
+    return Forest(train, 1, seed, max_depth, LABEL, single=True).model()
 
 
 def train_forest(
     train: DataFrame, trees: int = FOREST_TREES, seed: int = SEED, max_depth: int = MAX_DEPTH
 ) -> Model:
     """Forest with class weights that balance the classes."""
-    return RandomForestClassifier(
-        featuresCol="features", labelCol=LABEL, numTrees=trees, weightCol="weight",
-        maxDepth=max_depth, seed=seed, **DEEP,
-    ).fit(balanced_weights(train, LABEL))
+    return Forest(balanced_weights(train, LABEL), trees, seed, max_depth, LABEL, weight="weight").model()
 
 
 def training_cost(train: DataFrame, **options: dict) -> tuple[DataFrame, dict[str, Model]]:
