@@ -21,7 +21,7 @@ from flowscope.operators.features import (
 )
 from flowscope.operators.models import inference_cost, predict_all, training_cost, winner
 from flowscope.schemas import IDENTITY, N_FEATURES
-from flowscope.sizing import stored
+from flowscope.sizing import dealt, stored
 from flowscope.sources import save_model, save_split, write_result
 
 
@@ -49,9 +49,10 @@ def prepare(
     """
     # several passes follow: the shuffle that removes copies must not be run for each.
     # Metadata takes part in cleaning and in the split, and is dropped afterwards
-    cleaned = stored(clean(raw.drop(*IDENTITY), key))
+    cleaned = stored(dealt(clean(raw.drop(*IDENTITY), key), raw.count()))
     classes = class_list(cleaned)
-    rows = traffic_columns(stratified_split(encode_label(cleaned, classes), "label", key=key))
+    # nor the hashes of whole rows that the split goes by
+    rows = stored(traffic_columns(stratified_split(encode_label(cleaned, classes), "label", key=key)))
     columns = [c for c in rows.columns if c not in ("label", "label_index", "split", key)]
 
     train = rows.filter(F.col("split") == "train")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 100_000
 SMALL_BYTES = 64 << 20
 SETTING = "spark.checkpoint.dir"
+#: rows of a table that one task keeps for several passes; a trainer's form of them is larger
+ROWS_PER_TASK = 250_000
 
 
 def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> pa.Table | None:
@@ -63,6 +65,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowscope-{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of up to ``rows`` rows, in parts of ``ROWS_PER_TASK`` at most where that takes more tasks than there are.
+
+    Spark sizes the parts of a shuffle by their bytes there, where repeated values hardly count.
+    """
+    parts = -(-rows // ROWS_PER_TASK)
+    return df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut.
 

@@ -2,7 +2,7 @@ import pytest
 from conftest import at
 from pyspark.sql import functions as F
 
-from flowscope import sources
+from flowscope import sizing, sources
 from flowscope.operators.models import export_winner
 from flowscope.plans.learning import learning_run, prepare, scoring_pipeline, train_and_evaluate
 from flowscope.schemas import METRICS, MODEL_NAMES, RAW_FLOWS, TRAFFIC_FEATURES
@@ -37,6 +37,19 @@ def test_prepare(raw):
     assert shares == {"train": 480, "test": 120}
 
 
+def test_prepared_rows_lie_in_parts_of_bounded_size(raw, monkeypatch):
+    monkeypatch.setattr(sizing, "ROWS_PER_TASK", 60)
+    rows, _ = prepare(raw)
+    assert rows.rdd.getNumPartitions() == 11  # 655 rows before cleaning, 60 each
+    assert rows.count() == 600
+
+
+def test_prepared_rows_are_not_split_again_at_every_pass(raw):
+    rows, _ = prepare(raw)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "Join" not in plan
+
+
 def test_models_beat_the_majority(trained):
     metrics, models, fitted = trained
     scores = {r["Model"]: r for r in metrics.collect()}
