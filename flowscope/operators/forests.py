@@ -174,10 +174,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]
                    np.frombuffer(row["label"], np.int16), np.frombuffer(row["weight"]))
 
 
-def _bag(plan: Growth, tree: int, block: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the rows that a tree takes, and their weights; the same whenever it is asked."""
+def _drawn(plan: Growth, tree: int, block: int, weight: np.ndarray) -> np.ndarray:
+    """What each row weighs in a tree, 0 where it takes no part; the same whenever it is asked."""
     if plan.bagged:
-        weight = weight * np.random.default_rng([plan.seed, tree, block]).poisson(1.0, len(weight))
+        return weight * np.random.default_rng([plan.seed, tree, block]).poisson(1.0, len(weight))
+    return weight
+
+
+def _bag(plan: Growth, tree: int, block: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows that a tree takes, and their weights."""
+    weight = _drawn(plan, tree, block, weight)
     taken = np.flatnonzero(weight > 0)
     return taken, weight[taken]
 
@@ -193,12 +199,43 @@ def _subset(plan: Growth, tree: int, node: int) -> np.ndarray:
 COUNTS = "tree int, node int, counts binary"
 
 
+def _towards(nodes: Nodes, wanted: list[int]) -> set[int]:
+    """The ``wanted`` nodes and all above them."""
+    above = {int(child): i for i in np.flatnonzero(nodes.feature >= 0) for child in (nodes.left[i], nodes.left[i] + 1)}
+    found = set()
+    for node in wanted:
+        while node is not None and node not in found:
+            found.add(node)
+            node = above.get(node)
+    return found
+
+
+def _arriving(nodes: Nodes, wanted: list[int], way: set[int], columns: np.ndarray, rows: np.ndarray) -> Iterator[tuple]:
+    """The ``wanted`` nodes with their rows in order; other rows are left as soon as they turn off the ``way``."""
+    ends, waiting = set(wanted), [(0, rows)]
+    while waiting:
+        node, rows = waiting.pop()
+        if not len(rows):
+            continue
+        if node in ends:
+            yield node, rows
+            continue
+        left = int(nodes.left[node])
+        right = columns[nodes.feature[node]][rows] > nodes.bin[node]
+        if left in way:
+            waiting.append((left, rows[~right]))
+        if left + 1 in way:
+            waiting.append((left + 1, rows[right]))
+
+
 def _count(plan: Growth, tops: list[Nodes], active: dict[int, list[int]]):
     """Weights per chosen feature, bin and class of every active node, and rows in the last place."""
     width = plan.classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, np.ndarray] = {}
+        ways = {tree: _towards(tops[tree], nodes) for tree, nodes in active.items()}
+        subsets = {(tree, node): _subset(plan, tree, node) for tree, nodes in active.items() for node in nodes}
 
         def full() -> pa.RecordBatch:
             out = pa.RecordBatch.from_pydict({
@@ -209,20 +246,18 @@ def _count(plan: Growth, tops: list[Nodes], active: dict[int, list[int]]):
             return out
 
         for block, bins, label, weight in _blocks(batches, plan.features):
+            columns, y = np.ascontiguousarray(bins.T), label.astype(np.int64)
             for tree, nodes in active.items():
-                taken, w = _bag(plan, tree, block, weight)
-                own, y = bins[taken], label[taken]
-                at = route(tops[tree], own)
-                for node in nodes:
-                    here = np.flatnonzero(at == node)
-                    if not len(here):
-                        continue
+                w = _drawn(plan, tree, block, weight)
+                for node, here in _arriving(tops[tree], nodes, ways[tree], columns, np.flatnonzero(w > 0)):
                     counts = found.setdefault((tree, node), np.zeros((plan.chosen, plan.bins, width)))
-                    for j, f in enumerate(_subset(plan, tree, node)):
-                        cell = own[here, f].astype(np.int64) * width
-                        size = plan.bins * width
-                        counts[j] += np.bincount(cell + y[here], w[here], size).reshape(-1, width)
-                        counts[j] += np.bincount(cell + plan.classes, minlength=size).reshape(-1, width)
+                    own_y, own_w = y[here], w[here]
+                    for j, f in enumerate(subsets[tree, node]):
+                        own = columns[f][here]
+                        cell = own * np.int64(plan.classes) + own_y
+                        size = plan.bins * plan.classes
+                        counts[j, :, :-1] += np.bincount(cell, own_w, size).reshape(-1, plan.classes)
+                        counts[j, :, -1] += np.bincount(own, minlength=plan.bins)
                 if len(found) > 1_000:
                     yield full()
         if found:
@@ -328,9 +363,12 @@ CHUNK = "tree int, leaf int, depth int, block long, bins binary, label binary, w
 def _deal(plan: Growth, tops: list[Nodes], depths: list[list[int]]):
     """The rows of every open node of every tree, packed."""
 
+    # a tree that ended above asks for no rows
+    unfinished = [(tree, top) for tree, top in enumerate(tops) if ((top.value == OPEN) & (top.feature < 0)).any()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, bins, label, weight in _blocks(batches, plan.features):
-            for tree, top in enumerate(tops):
+            for tree, top in unfinished:
                 taken, w = _bag(plan, tree, block, weight)
                 own, y = bins[taken], label[taken]
                 at = route(top, own)

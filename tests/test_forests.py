@@ -1,11 +1,13 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from flowscope import sources
+from flowscope.operators import forests
 from flowscope.operators.features import MAX_DEPTH, forest_importance
-from flowscope.operators.forests import OPEN, Forest, Growth, grow, route, votes_of
+from flowscope.operators.forests import OPEN, Forest, Growth, Nodes, grow, route, votes_of
 from flowscope.operators.models import train_forest
 
 
@@ -65,6 +67,42 @@ def test_rows_sent_to_subtrees_get_the_votes_of_the_whole_model(noise):
     assert len(sent) == 1200 and all(sent[i] == whole[i % 600] for i in sent)
 
 
+def _packed(rows, classes, seed):
+    rng = np.random.default_rng(seed)
+    bins = rng.integers(0, 32, (rows, 4), np.uint8)
+    label, weight = rng.integers(0, classes, rows).astype(np.int16), rng.random(rows) + 0.5
+    return bins, label, weight, pa.RecordBatch.from_pydict({
+        "block": pa.array([7], pa.int64()), "bins": [bins.tobytes()], "label": [label.tobytes()],
+        "weight": [weight.tobytes()]})
+
+
+def test_counts_above_the_border_are_those_of_the_rows_that_arrive():
+    plan = Growth(2, 3, 4, 2, True, 30, 1)
+    top = Nodes(*map(np.array, ([2, 0, -1, -1, -1], [15, 9, 0, 0, 0], [1, 3, 0, 0, 0], [OPEN] * 5)), np.zeros((0, 3), np.int64))
+    bins, label, weight, batch = _packed(500, 3, 4)
+    counted = [r for b in forests._count(plan, [top, top], {0: [2, 3], 1: [4]})(iter([batch])) for r in b.to_pylist()]
+    assert {(r["tree"], r["node"]) for r in counted} == {(0, 2), (0, 3), (1, 4)}
+    for r in counted:
+        counts = np.frombuffer(r["counts"]).reshape(2, 32, 4)
+        taken, w = forests._bag(plan, r["tree"], 7, weight)
+        here = route(top, bins[taken]) == r["node"]
+        for j, f in enumerate(forests._subset(plan, r["tree"], r["node"])):
+            for b in range(32):
+                own = here & (bins[taken, f] == b)
+                assert counts[j, b, :3] == pytest.approx(np.bincount(label[taken][own], w[own], 3))
+                assert counts[j, b, 3] == own.sum()
+
+
+def test_trees_that_ended_above_are_asked_for_no_rows(monkeypatch):
+    plan = Growth(2, 3, 4, 2, True, 30, 1)
+    leaves = Nodes(*map(np.array, ([0, -1, -1], [15, 0, 0], [1, 0, 0], [OPEN, 1, 2])), np.zeros((0, 3), np.int64))
+    *_, batch = _packed(500, 3, 4)
+    asked = []
+    monkeypatch.setattr(forests, "_bag", lambda *a: asked.append(a[1]))
+    assert list(forests._deal(plan, [leaves, leaves], [[0, 1, 1]] * 2)(iter([batch]))) == []
+    assert not asked
+
+
 def test_depth_is_kept_across_the_border(noise):
     for limit in (100, 10_000):
         forest = Forest(noise, 3, 1, 4, "label_index", limit=limit)
