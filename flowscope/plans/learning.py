@@ -49,10 +49,11 @@ def prepare(
     """
     # several passes follow: the shuffle that removes copies must not be run for each.
     # Metadata takes part in cleaning and in the split, and is dropped afterwards
-    cleaned = stored(dealt(clean(raw.drop(*IDENTITY), key), raw.count()))
+    cleaned = stored(clean(raw.drop(*IDENTITY), key))
     classes = class_list(cleaned)
     # nor the hashes of whole rows that the split goes by
-    rows = stored(traffic_columns(stratified_split(encode_label(cleaned, classes), "label", key=key)))
+    rows = traffic_columns(stratified_split(encode_label(cleaned, classes), "label", key=key))
+    rows = stored(dealt(rows, cleaned.count()))
     columns = [c for c in rows.columns if c not in ("label", "label_index", "split", key)]
 
     train = rows.filter(F.col("split") == "train")

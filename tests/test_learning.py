@@ -40,7 +40,7 @@ def test_prepare(raw):
 def test_prepared_rows_lie_in_parts_of_bounded_size(raw, monkeypatch):
     monkeypatch.setattr(sizing, "ROWS_PER_TASK", 60)
     rows, _ = prepare(raw)
-    assert rows.rdd.getNumPartitions() == 11  # 655 rows before cleaning, 60 each
+    assert rows.rdd.getNumPartitions() == 10
     assert rows.count() == 600
 
 
