@@ -13,31 +13,31 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two columns ``a`` and ``b`` of one sortable type. Each round links, for
     every node, its larger neighbours to its smallest (large star), then its smaller ones
-    (small star), until nothing changes; the number of rounds grows with the logarithm of
+    (small star), until neither moves a link; the number of rounds grows with the logarithm of
     the number of nodes. A node with very many links is grouped by a minimum, which is taken
-    before the shuffle, and its links are joined, not collected.
+    before the shuffle, and its links are joined, not collected. A round has five shuffles.
     """
-    both = edges.select("a", "b").filter(F.col("a") != F.col("b"))
-    pairs = stored(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    known = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = known.filter(F.col("a") != F.col("b"))
     while True:
         # large star: of the neighbours of a node, the larger ones go to its smallest
-        around = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.min("b").alias("least"))
-        least = least.select("a", F.least("a", "least").alias("least"))
-        large = (
-            around.filter(F.col("b") > F.col("a")).join(least, "a")
-            .select(F.col("b").alias("a"), F.col("least").alias("b")).distinct())
+        around = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("link"))
+        least = around.groupBy(F.col("link.a").alias("node")).agg(F.min("link.b").alias("least"))
+        least = least.select("node", F.least("node", "least").alias("least"))
+        large = pairs.join(least, F.col("b") == F.col("node")).select(
+            "a", F.col("least").alias("b"), (F.col("least") != F.col("b")).alias("moved"))
         # small star: the smaller neighbours of a node, and itself, go to its smallest
-        low = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = (
-            large.join(low, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-            .unionByName(low.select("a", F.col("least").alias("b")))
-            .filter(F.col("a") != F.col("b")).distinct())
-        following = stored(small)
-        same = following.exceptAll(pairs).isEmpty() and pairs.exceptAll(following).isEmpty()
-        pairs = following
-        if same:
+        low = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+        other = F.col("b") != F.col("least")
+        small = large.join(low, F.col("a") == F.col("node")).select(
+            F.when(other, F.col("b")).otherwise(F.col("a")).alias("a"), F.col("least").alias("b"),
+            (F.col("moved") | other).alias("moved"))
+        following = stored(small.groupBy("a", "b").agg(F.max("moved").alias("moved")))
+        pairs = following.select("a", "b")
+        # where nothing moved, every link led to the smallest already
+        if following.filter("moved").isEmpty():
             break
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    return nodes.join(pairs.select(F.col("a").alias("node"), F.col("b").alias("least")), "node", "left").select(
-        "node", F.coalesce("least", "node").alias("component"))
+    # a node whose only link is to itself is in no pair
+    places = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "b"), F.struct(F.col("b").alias("node"), "b"))).alias("at"))
+    alone = known.filter(F.col("a") == F.col("b")).select(F.col("a").alias("node"), "b")
+    return places.select("at.*").unionByName(alone).groupBy("node").agg(F.min("b").alias("component"))

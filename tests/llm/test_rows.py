@@ -278,6 +278,20 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == {x: find(x) for x in parent}
 
 
+def test_components_take_few_stages(spark):
+    """A table in many parts is written in as many files by each shuffle, however few its rows."""
+    context, group = spark.sparkContext, "few stages"
+    context.setJobGroup(group, group)
+    try:
+        got = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+        status = context.statusTracker()
+        stages = {x for job in status.getJobIdsForGroup(group) for x in status.getJobInfo(job).stageIds}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.component for r in got} == {0} and len(got) == 41
+    assert len(stages) < 135
+
+
 def brute_groups(rows):
     sets = []
     for _, t in rows:
