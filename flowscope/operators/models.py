@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.ml import Model
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +28,8 @@ def train_logistic(train: DataFrame, max_iter: int = LOGISTIC_ITERATIONS) -> Mod
 
 
 def train_tree(train: DataFrame, seed: int = SEED, max_depth: int = MAX_DEPTH) -> Model:
-    # a deep tree: keep each row's node with the row instead of sending the tree every level
-    return DecisionTreeClassifier(
-        featuresCol="features", labelCol=LABEL, maxDepth=max_depth, seed=seed, cacheNodeIds=True).fit(train)
+    """One tree over all rows and features; as a forest's, its lower parts are a table."""
+    return Forest(train, 1, seed, max_depth, LABEL, single=True).model()
 
 
 def train_forest(

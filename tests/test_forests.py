@@ -8,7 +8,7 @@ from flowscope import sources
 from flowscope.operators import forests
 from flowscope.operators.features import MAX_DEPTH, forest_importance
 from flowscope.operators.forests import OPEN, Forest, Growth, Nodes, grow, route, votes_of
-from flowscope.operators.models import train_forest
+from flowscope.operators.models import train_forest, train_tree
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,22 @@ def test_the_driver_keeps_few_nodes_of_trees_that_cannot_learn(noise):
         [v for _, v in sorted(_predicted(Forest(noise, 1, 1, MAX_DEPTH, "label_index", single=True, limit=100).model(), noise).items())]))
 
 
+def test_the_driver_keeps_few_nodes_of_a_tree_that_cannot_learn(noise, monkeypatch):
+    kept = []
+
+    def growing(*args):
+        kept.extend(forests_grow_tops(*args[:3], 100))
+        return kept
+
+    forests_grow_tops = forests._grow_tops
+    monkeypatch.setattr(forests, "_grow_tops", growing)
+    model = train_tree(noise)
+    nodes = sum(len(r.feature) // 2 for r in model.tables.collect())
+    assert 1 < sum(len(t.feature) for t in kept) < nodes / 5
+    said = _predicted(model, noise)
+    assert all(r.label_index == said[r.id][0] for r in noise.select("id", "label_index").collect())
+
+
 def test_rows_sent_to_subtrees_get_the_votes_of_the_whole_model(noise):
     model = Forest(noise, 8, 1, MAX_DEPTH, "label_index", limit=100).model()
     whole = _predicted(model, noise)
