@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,10 +43,20 @@ NUMERATOR, DENOMINATOR = 80, 100
 CHUNK, CHUNK_GRAMS = 4_096, 1_000_000
 #: sets in one block of a group
 BLOCK = 1_000
-WORD_CACHE = 150_000
-
-_mix = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
+#: sets of a cell that are compared one with another, without a trie
+FEW = 12
+#: bytes of text that are cut into words together, and rows
+PIECE, PIECE_ROWS = 2 << 20, 256
+#: longer words are hashed one by one
+LONG_WORD = 32
+
+_mix, _mix_word = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: A-Z lower-cased, every kind of ASCII white space a blank
+_plain = np.arange(256, dtype=np.uint8)
+_plain[65:91] += 32
+_plain[[9, 10, 11, 12, 13]] = 32
+#: the first bytes of eight, as a little-endian number
+_first = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -53,36 +64,108 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _words
-    if len(known) > WORD_CACHE:
-        known.clear()
-    get, hashed = known.get, xxhash.xxh3_64_intdigest
-    found = [*map(get, words)]
-    for i, h in enumerate(found):
-        if h is None:
-            found[i] = known[words[i]] = hashed(words[i])
-    return np.array(found, np.uint64)
-
-
-def gram_set(words: list[bytes], n: int = N) -> np.ndarray:
-    """Sorted different 64-bit hashes of all runs of ``n`` words; of fewer words, one run."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = _word_hashes(words)
-    width = min(n, len(words))
-    hashed = np.full(len(codes) - width + 1, width, np.uint64)
-    for k in range(width):
-        hashed = (hashed ^ codes[k:len(codes) - width + 1 + k]) * _mix
-        hashed ^= hashed >> np.uint64(29)
-    return np.unique(hashed)
-
-
 def sequence_key(words: list[bytes]) -> bytes:
     """Equal for equal word sequences."""
     return xxhash.xxh3_128_digest(b" ".join(words)) if words else b""
 
 
+class Cut:
+    """Texts cut into words together: ``words_of`` each, as places in one array of bytes."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.fill_null("") if texts.null_count else texts
+        wide = pa.types.is_large_string(texts.type)
+        _, places, data = texts.buffers()
+        ends = np.frombuffer(places, np.int64 if wide else np.int32, len(texts) + 1, texts.offset * (8 if wide else 4))
+        ends = ends.astype(np.int64)
+        size = int(ends[-1] - ends[0])
+        self.padded = np.zeros(size + 8, np.uint8)
+        self.bytes = self.padded[:size]
+        if size:
+            np.take(_plain, np.frombuffer(data, np.uint8, size, int(ends[0])), out=self.bytes)
+        ends -= ends[0]
+        filled = ends[1:] > ends[:-1]
+        heads, tails = ends[:-1][filled], ends[1:][filled] - 1
+        self.word = self.bytes != 32
+        opens, closes = self.word.copy(), self.word.copy()
+        opens[1:] &= ~self.word[:-1]
+        opens[heads] = self.word[heads]
+        closes[:-1] &= ~self.word[1:]
+        closes[tails] = self.word[tails]
+        self.starts = np.flatnonzero(opens)
+        self.lengths = np.flatnonzero(closes) + 1 - self.starts
+        # the words of text i are those from cuts[i] up to cuts[i + 1]
+        self.cuts = np.searchsorted(self.starts, ends)
+        self.counts = np.diff(self.cuts)
+
+    def keys(self) -> list[bytes]:
+        """``sequence_key`` of each text."""
+        follows = np.ones(len(self.starts), bool)
+        follows[self.cuts[:-1][self.counts > 0]] = False
+        kept = self.word.copy()
+        kept[self.starts[follows] - 1] = True
+        joined = memoryview(self.bytes[kept].tobytes())
+        letters = np.concatenate([[0], np.cumsum(self.lengths)])
+        sizes = np.diff(letters[self.cuts]) + np.maximum(self.counts - 1, 0)
+        ends = np.cumsum(sizes)
+        return [xxhash.xxh3_128_digest(joined[i:j]) if j > i else b"" for i, j in zip((ends - sizes).tolist(), ends.tolist())]
+
+    def _codes(self) -> np.ndarray:
+        """A hash of each word."""
+        eights = np.ndarray((len(self.bytes),), "<u8", self.padded, strides=(1,))
+        codes = self.lengths.astype(np.uint64) * _mix_word
+        some = np.flatnonzero(self.lengths <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            some = some[self.lengths[some] > at]
+            if not len(some):
+                break
+            piece = eights[self.starts[some] + at] & _first[np.minimum(self.lengths[some] - at, 8)]
+            code = (codes[some] ^ piece) * _mix
+            code ^= code >> np.uint64(29)
+            code *= _mix_word
+            codes[some] = code ^ (code >> np.uint64(32))
+        for i in np.flatnonzero(self.lengths > LONG_WORD).tolist():
+            codes[i] = xxhash.xxh3_64_intdigest(self.bytes[self.starts[i]:self.starts[i] + self.lengths[i]])
+        return codes
+
+    def gram_sets(self, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the sorted different 64-bit hashes of all runs of ``n`` words (of fewer
+        words, of the one run), behind one another, and where the set of each text ends."""
+        codes = self._codes()
+        sizes = np.where(self.counts >= n, self.counts - n + 1, self.counts > 0)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(owner)) - begins[owner] + self.cuts[owner]
+        grams = np.empty(len(owner), np.uint64)
+        width = np.minimum(self.counts, n)[owner]
+        for w in range(1, n + 1):
+            some = np.flatnonzero(width == w)
+            if len(some):
+                hashed, first = np.full(len(some), w, np.uint64), at[some]
+                for k in range(w):
+                    hashed = (hashed ^ codes[first + k]) * _mix
+                    hashed ^= hashed >> np.uint64(29)
+                grams[some] = hashed
+        for i, j in zip(begins.tolist(), ends.tolist()):
+            grams[i:j].sort()
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        return grams[new], np.cumsum(np.bincount(owner[new], minlength=len(sizes)))
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a column ``text``, of about ``PIECE`` bytes or one row at most."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    before = np.cumsum(sizes, dtype=np.int64) - sizes
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(before, before[at] + PIECE, "right"))
+        end = max(min(end, at + PIECE_ROWS), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def enough(shared, size) -> bool:
     """Whether ``shared`` n-grams of a set of ``size`` can make it similar to any other."""
     return DENOMINATOR * shared >= NUMERATOR * size
@@ -125,7 +208,7 @@ def _chunk_rows(ids: list, keys: list[bytes], sets: list[np.ndarray], chunk: int
     """
     grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams)
     grams, owners = grams[order], owners[order]
     new = np.ones(len(grams), bool)
     new[1:] = grams[1:] != grams[:-1]
@@ -164,17 +247,19 @@ def _scan(buckets: int) -> Callable:
         ids, keys, sets, seen, count = [], [], [], set(), 0
         chunk = TaskContext.get().partitionId() << 32  # the same when a lost task is run again
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
-                    words = words_of(text)
-                    own = sequence_key(words) or b"\0" * 16
-                    ids.append(key)
-                    keys.append(own)
-                    sets.append(None if own in seen else gram_set(words))
-                    if own not in seen:
-                        seen.add(own)
-                        count += len(sets[-1])
+            for part in pieces(batch):
+                cut = Cut(part.column("text"))
+                own = [key or b"\0" * 16 for key in cut.keys()]
+                grams, ends = cut.gram_sets()
+                begin = 0
+                for key, end in zip(own, ends.tolist()):
+                    sets.append(None if key in seen else grams[begin:end])
+                    if key not in seen:
+                        seen.add(key)
+                        count += end - begin
+                    begin = end
+                ids += part.column("key").to_pylist()
+                keys += own
                 if len(ids) >= CHUNK or count >= CHUNK_GRAMS:
                     yield _chunk_batch(ids, keys, sets, chunk, buckets)
                     chunk += 1
@@ -208,7 +293,7 @@ def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         grams = [_unpack(x) for x in packed["keys"]]
         lengths = [len(g) for g in grams]
         whole = np.concatenate(grams)
-        order = np.argsort(whole, kind="stable")
+        order = np.argsort(whole)
         ordered = whole[order]
         new = np.ones(len(whole), bool)
         new[1:] = ordered[1:] != ordered[:-1]
@@ -265,19 +350,18 @@ def sized_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each n-gram of each set."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            sets = [gram_set(words_of(t)) for t in part.column("text").to_pylist()]
-            grams = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        for part in pieces(batch):
+            grams, ends = Cut(part.column("text")).gram_sets()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(part.column("node").to_numpy(), [len(x) for x in sets])), pa.array(grams)],
+                [pa.array(np.repeat(part.column("node").to_numpy(), np.diff(ends, prepend=0))), pa.array(grams.view(np.int64))],
                 names=["node", "gram"])
 
 
 def _key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [sequence_key(words_of(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["node", "text", "gram_key"])
+        for part in pieces(batch):
+            keys = Cut(part.column("text")).keys()
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=["node", "text", "gram_key"])
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
@@ -411,30 +495,77 @@ class PrefixTree:
             stack += [(child, shared, passed) for child in node.children.values()]
 
 
-def _join_cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Links in one cell of a group, as one pair for each set that is linked."""
-    rows = rows.sort_values(["n_grams", "node"])
-    nodes, sizes = rows["node"].to_numpy(), rows["n_grams"].tolist()
-    flat = np.concatenate(rows["grams"].to_list()).astype(np.int64)
-    often = np.concatenate(rows["often"].to_list()).astype(np.int64)
+def _linked_few(sizes: list[int], grams: list[np.ndarray]) -> list[int]:
+    """For each of a few sets one of its class; each set is compared with those not yet linked with it."""
+    heads, ordered = list(range(len(sizes))), [np.sort(g) for g in grams]
+    for at in range(1, len(sizes)):
+        for other in range(at):
+            few, many = sorted((ordered[at], ordered[other]), key=len)
+            if heads[at] == heads[other] or not similar(len(few), sizes[at], sizes[other]):
+                continue
+            place = np.minimum(np.searchsorted(many, few), len(many) - 1)
+            if similar(int((many[place] == few).sum()), sizes[at], sizes[other]):
+                gone = heads[other]
+                heads = [heads[at] if h == gone else h for h in heads]
+    return heads
+
+
+def _linked_many(sizes: list[int], grams: list[np.ndarray], often: np.ndarray) -> list[int]:
+    """For each set one of its class, by the trie."""
     # numbers in the global order, frequent first, so that paths through the trie are shared
-    different, first = np.unique(flat, return_index=True)
+    different, first, place = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
     rank = np.empty(len(different), np.int64)
     rank[np.lexsort((different, -often[first]))] = np.arange(len(different))
-    numbers = rank[np.searchsorted(different, flat)]
-    cuts = np.cumsum([0, *map(len, rows["grams"])])
+    numbers, cuts = rank[place], np.cumsum([0, *map(len, grams)])
     tree = PrefixTree(sizes)
-    for at in range(len(nodes)):
-        grams = np.sort(numbers[cuts[at]:cuts[at + 1]])
-        tree.link_similar(at, grams)
-        tree.insert(at, grams)
-    heads = nodes[[tree.find(i) for i in range(len(nodes))]]
+    for at in range(len(sizes)):
+        one = np.sort(numbers[cuts[at]:cuts[at + 1]])
+        tree.link_similar(at, one)
+        tree.insert(at, one)
+    return [tree.find(i) for i in range(len(sizes))]
+
+
+def _join_cell(rows: pa.Table) -> pa.RecordBatch:
+    """Links in one cell of a group, as one pair for each set that is linked."""
+    rows = rows.sort_by([("n_grams", "ascending"), ("node", "ascending")]).combine_chunks()
+    nodes, sizes = rows["node"].to_numpy(), rows["n_grams"].to_pylist()
+    lists = rows["grams"].combine_chunks()
+    flat, cuts = lists.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+    grams = [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+    if len(sizes) <= FEW:
+        found = _linked_few(sizes, grams)
+    else:
+        found = _linked_many(sizes, grams, rows["often"].combine_chunks().flatten().to_numpy().astype(np.int64))
+    heads = nodes[found]
     linked = heads != nodes
-    return pd.DataFrame({"a": nodes[linked], "b": heads[linked]})
+    return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(heads[linked])], names=["a", "b"])
+
+
+def _join_cells(cells: int) -> Callable:
+    """Cell after cell of sorted rows, whose first ``cells`` columns name the cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            names = np.column_stack([batch.column(i).to_numpy() for i in range(cells)])
+            cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
+                same = held and all(held[0].column(c)[0] == batch.column(c)[i] for c in range(cells))
+                if held and not same:
+                    yield _join_cell(pa.Table.from_batches(held))
+                    held = []
+                if j > i:
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield _join_cell(pa.Table.from_batches(held))
+
+    return run
 
 
 def _cells(members: DataFrame, cells: list[str]) -> DataFrame:
-    return members.groupBy(*cells).applyInPandas(_join_cell, "a long, b long")
+    rows = members.select(*cells, "node", "n_grams", "grams", "often")
+    sorted_rows = rows.repartition(*cells).sortWithinPartitions(*cells)
+    return sorted_rows.mapInArrow(_join_cells(len(cells)), "a long, b long")
 
 
 def linked_sets(sets: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -401,3 +401,42 @@ def test_stages_on_odd_rows(spark):
             assert out.columns == docs.columns
             assert out.exceptAll(table).isEmpty()
         assert corpus_pipeline.STAGES[-1][1](spark, table, FOLDER).count() == table.count()
+
+
+def test_texts_cut_together_have_the_words_and_sets_of_each(monkeypatch):
+    """No Python call for a word, unless it is long."""
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    rng = random.Random(5)
+    parts = ["a", "B", "é", "\x00", "x" * 7, "y" * 8, "z" * 9, "漢字", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "w" * 32]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(500)] + [None, "", " ", "A  b\nc d e f"]
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda word: hash(bytes(word)) % 2**64 if len(word) > 32 else 1 / 0)
+    for column in (pa.array(["x", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        cut = jaccard_join.Cut(column)
+        assert cut.keys() == [jaccard_join.sequence_key(jaccard_join.words_of(t)) for t in texts]
+        grams, ends = cut.gram_sets()
+        sets = [frozenset(x.tolist()) for x in np.split(grams, ends[:-1])]
+        of = {}
+        for text, hashed in zip(texts, sets):
+            words = jaccard_join.words_of(text)
+            n = min(5, len(words))
+            want = frozenset(tuple(words[i:i + n]) for i in range(len(words) - n + 1)) if words else frozenset()
+            assert len(hashed) == len(want) and of.setdefault(want, hashed) == hashed
+        assert len(set(of.values())) == len(of)
+    assert [p.num_rows for p in jaccard_join.pieces(pa.record_batch([pa.array(["a" * (3 << 20), "b", None, "c"])], ["text"]))] == [1, 3]
+
+
+def test_few_sets_are_linked_as_by_the_trie():
+    import numpy as np
+
+    rng = random.Random(2)
+    base = rng.sample(range(1000), 40)
+    sets = [np.array(sorted({x for x in base if rng.random() > 0.07 * (i % 3)} | {1000 + i}), np.int64) for i in range(12)]
+    sizes = [len(s) for s in sets]
+    often = np.concatenate([np.full(len(s), 2, np.int64) for s in sets])
+    classes = []
+    for heads in (jaccard_join._linked_few(sizes, sets), jaccard_join._linked_many(sizes, sets, often)):
+        classes.append({frozenset(i for i, h in enumerate(heads) if h == head) for head in heads})
+    assert classes[0] == classes[1] and 1 < len(classes[0]) < 12
