@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 from operator import and_
 
@@ -100,15 +100,22 @@ def _scores(operator: Callable) -> Query:
 
 # --- sources and sinks -----------------------------------------------------------------
 
-def _write_stats(s: SparkSession, d: str, slices: int = 1) -> str:
-    """Flow polls as parquet files, in ``slices`` steps of time."""
-    path = scratch_dir(s, "flow-stats")
+def _write_steps(s: SparkSession, d: str, path: str, slices: int) -> Iterator[int]:
+    """Write flow polls as parquet files, one step of time before each number that is yielded."""
     stats = tv.flow_stats(s, d)
     ends = stats.agg(F.min(F.unix_micros("event_ts")), F.max(F.unix_micros("event_ts"))).first()
     step = (ends[1] - ends[0]) // slices + 1
     part = F.floor((F.unix_micros("event_ts") - F.lit(ends[0])) / F.lit(step))
     for i in range(slices):
         stats.filter(part == i).write.mode("append").parquet(path)
+        yield i
+
+
+def _write_stats(s: SparkSession, d: str, slices: int = 1) -> str:
+    """Flow polls as parquet files, in ``slices`` steps of time."""
+    path = scratch_dir(s, "flow-stats")
+    for _ in _write_steps(s, d, path, slices):
+        pass
     return path
 
 
@@ -257,30 +264,25 @@ def train_and_evaluate(s: SparkSession, d: str) -> DataFrame:
 
 # --- streaming -------------------------------------------------------------------------
 
-def _drain(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all input there is into files, and read them."""
-    path = scratch_dir(s, name)
-    (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
-    )
-    return s.read.schema(stream.schema).parquet(f"{path}/rows")
-
+def _in_steps(s: SparkSession, d: str, name: str, start: Callable, slices: int = 3) -> str:
+    """Flow polls written in steps of time, each drained as one micro-batch; the stream goes on where it stopped.
 
-def _stream(s: SparkSession, d: str) -> DataFrame:
+    The files of a step are in no order of time, so they are taken together: a sample older
+    than the newest one of its flow is ignored. ``start(stream, path)`` begins the query with
+    its checkpoint under ``path``.
+    """
     s.conf.set("spark.sql.streaming.stateStore.providerClass", sc.ROCKSDB)
-    path = _write_stats(s, d, slices=3)
-    return sources.read_flow_stats(s, path, streaming=True, files_per_trigger=1)
+    path = scratch_dir(s, name)
+    for _ in _write_steps(s, d, f"{path}/in", slices):
+        stream = sources.read_flow_stats(s, f"{path}/in", streaming=True, files_per_trigger=None)
+        start(stream, path).awaitTermination()
+    return path
 
 
 def _captured(s: SparkSession, d: str, name: str, sink: Callable) -> DataFrame:
     """What ``sink(path)`` writes of the captured micro-batches."""
-    path = scratch_dir(s, name)
-    sc.stream_capture(
-        _stream(s, d), lambda: tv.scenario_log(s, d), lambda: tv.recording_windows(s, d),
-        sink(f"{path}/rows"), f"{path}/checkpoint", ttl_seconds=None,
-    ).awaitTermination()
+    path = _in_steps(s, d, name, lambda stream, path: sc.stream_capture(
+        stream, lambda: tv.scenario_log(s, d), lambda: tv.recording_windows(s, d), sink(f"{path}/rows"), f"{path}/checkpoint", ttl_seconds=None))
     return s.read.parquet(f"{path}/rows").drop("batch_id")
 
 
@@ -289,8 +291,18 @@ def stream_capture(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_counter_deltas(s: SparkSession, d: str) -> DataFrame:
-    polls = cap.with_flow_key(_stream(s, d))
-    rows = _drain(s, sc.stream_counter_deltas(polls, "flow_key", ttl_seconds=None), "stream-deltas")
+    schemas = []
+
+    def start(stream: DataFrame, path: str):
+        rows = sc.stream_counter_deltas(cap.with_flow_key(stream), "flow_key", ttl_seconds=None)
+        schemas.append(rows.schema)
+        return (
+            rows.writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True).start(f"{path}/rows"))
+
+    path = _in_steps(s, d, "stream-deltas", start)
+    rows = s.read.schema(schemas[0]).parquet(f"{path}/rows")
     return _ts_us(rows).select("ts_us", *[c for c in DELTAS if c != "event_id"])
 
 

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 
 from flowscope.operators.counters import COUNTERS, add_deltas, flow_features
 from flowscope.operators.intervals import label_by_scenario, within_recording
 from flowscope.plans.capture import rated, with_flow_key
 from flowscope.schemas import IDENTITY
-from flowscope.streaming.previous_sample import MISSING, PreviousSample
+from flowscope.streaming.previous_sample import BLOCK, BUCKET, FLOW, MISSING, PreviousSamples, blocks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TTL_SECONDS = 3600
+#: groups that keys are dealt to; a micro-batch calls Python once for each of them
+BUCKETS = 1024
 
 
 def _packed(df: DataFrame) -> DataFrame:
@@ -48,6 +51,21 @@ def _is_whole(f: T.StructField) -> bool:
     return isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
+def _as_text(column: Column, kind: T.DataType) -> Column:
+    """Text that is equal for equal keys."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (column + F.lit(0.0)).cast("string")  # one zero
+    if isinstance(kind, T.BinaryType):
+        return F.hex(column)
+    return column.cast("string") if isinstance(kind, T.AtomicType) else F.to_json(F.struct(column))
+
+
+def _key_text(df: DataFrame, keys: list[str]) -> Column:
+    """All of a key as one text; each part bears its length, and null is its own value."""
+    texts = [_as_text(F.col(f"`{k}`"), df.schema[k].dataType) for k in keys]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+
+
 def stream_counter_deltas(
     df: DataFrame,
     key: str | list[str],
@@ -56,13 +74,15 @@ def stream_counter_deltas(
     tiebreak: str | None = None,
     session: str | None = None,
     ttl_seconds: int | None = TTL_SECONDS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming form of ``counter_deltas``.
 
-    The session is part of the key, so a new recording starts from no state. What one key
-    brings in one micro-batch is sorted together; the source's files or bytes per trigger
-    bound it. Needs the RocksDB state store. A time to live follows the clock, so Spark
-    never sees such a stream as finished: give None to drain what there is and stop.
+    The session is part of the key, so a new recording starts from no state. Keys are dealt
+    to ``buckets`` groups; what one group brings in one micro-batch is sorted together, and
+    its state is read and written as a whole. The source's files or bytes per trigger bound
+    it. Needs the RocksDB state store. A time to live follows the clock, so Spark never sees
+    such a stream as finished: give None to drain what there is and stop.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if session is not None:
@@ -70,14 +90,19 @@ def stream_counter_deltas(
     order = [ts] if tiebreak is None else [ts, tiebreak]
     names = list(dict.fromkeys([*order, *counters]))
     packed = _packed(df)
+    fields = packed.schema.fields
     carried = T.StructType([T.StructField(c, packed.schema[c].dataType) for c in names])
     out = T.StructType([
-        *packed.schema.fields,
+        *fields,
         *[T.StructField(f"prev_{f.name}", f.dataType) for f in carried],
     ])
     ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
-    sampled = packed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=PreviousSample(order, carried, out.fieldNames(), ttl_ms),
+    keyed = packed.withColumn(FLOW, _key_text(packed, keys))
+    rows = to_arrow_schema(keyed.schema)
+    dealt = keyed.withColumn(BUCKET, F.pmod(F.xxhash64(FLOW), F.lit(buckets)).cast("int")).mapInArrow(
+        blocks(rows), f"{BUCKET} int, {BLOCK} binary")
+    sampled = dealt.groupBy(BUCKET).transformWithStateInPandas(
+        statefulProcessor=PreviousSamples(rows, order, carried, out.fieldNames(), ttl_ms),
         outputStructType=out,
         outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",
