@@ -26,7 +26,7 @@ from flowscope.plans import capture as cap
 from flowscope.plans import learning as ln
 from flowscope.plans import reports as rp
 from flowscope.schemas import DEFAULT_SCENARIO, IDENTITY, MODEL_NAMES, PACKET_IN, SCENARIOS
-from flowscope.sizing import scratch_dir
+from flowscope.sizing import scratch_dir, stored
 from flowscope.streaming import counters as sc
 from flowscope.streaming import packets as sp
 from flowscope.streaming import port_rate as spr
@@ -281,8 +281,10 @@ def _in_steps(s: SparkSession, d: str, name: str, start: Callable, slices: int =
 
 def _captured(s: SparkSession, d: str, name: str, sink: Callable) -> DataFrame:
     """What ``sink(path)`` writes of the captured micro-batches."""
+    # they are read for every micro-batch
+    log, windows = stored(tv.scenario_log(s, d)), stored(tv.recording_windows(s, d))
     path = _in_steps(s, d, name, lambda stream, path: sc.stream_capture(
-        stream, lambda: tv.scenario_log(s, d), lambda: tv.recording_windows(s, d), sink(f"{path}/rows"), f"{path}/checkpoint", ttl_seconds=None))
+        stream, lambda: log, lambda: windows, sink(f"{path}/rows"), f"{path}/checkpoint", ttl_seconds=None))
     return s.read.parquet(f"{path}/rows").drop("batch_id")
 
 
